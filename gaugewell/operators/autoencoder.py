@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -96,19 +97,21 @@ def reconstruction_error(
 
     @arrow_udf("double")
     def score(rows: pa.Array) -> pa.Array:
-        # only complete rows arrive here as non-null, so the values form a matrix
-        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        scaled = _scale(x, low, high, rule)
-        with np.errstate(over="ignore", invalid="ignore"):
-            error = np.mean((Weights(layers).activations(scaled)[-1] - scaled) ** 2, axis=1)
+        fits = pc.fill_null(pc.equal(pc.list_value_length(rows), width), False)
+        usable = fits.to_numpy(zero_copy_only=False).copy()
+        values = rows.filter(fits).flatten()
+        gaps = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
+        x = values.to_numpy(zero_copy_only=False).reshape(-1, width)
+        usable[usable] = ~gaps
+        scaled = _scale(x[~gaps], low, high, rule)
         out = np.zeros(len(rows))
-        present = rows.is_valid().to_numpy(zero_copy_only=False)
-        out[present] = error
-        return pa.array(out, mask=~present)
+        with np.errstate(over="ignore", invalid="ignore"):
+            out[usable] = np.mean((Weights(layers).activations(scaled)[-1] - scaled) ** 2, axis=1)
+        return pa.array(out, mask=None if on_error == "zero" else ~usable)
 
-    complete = (F.size(features) == width) & ~F.exists(features, lambda v: v.isNull())
-    scored = score(F.when(complete, features.cast("array<double>")))
-    return F.coalesce(scored, F.lit(0.0)) if on_error == "zero" else scored
+    # Filters on the score must not be pushed below it: they would carry a second
+    # copy of the call, and of the whole array expression, into the plan.
+    return score.asNondeterministic()(features.cast("array<double>"))
 
 
 def score(

@@ -1,4 +1,4 @@
-"""Dashboard panels as Spark SQL over a ``monitoring`` view."""
+"""Dashboard panels as Spark SQL over the monitoring table."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from gaugewell.functions.scalar import severity_counter, severity_error
 from gaugewell.schema import SENSOR_BANDS
 
-VIEW = "monitoring"
-
-
 def _panel(spark: SparkSession, table: DataFrame, columns: str, machine_id: int) -> DataFrame:
-    query = f"SELECT id, created_at, {columns} FROM {{{VIEW}}} WHERE machine_id = {{machine_id}} ORDER BY id"
-    return spark.sql(query, machine_id=F.lit(machine_id), **{VIEW: table})
+    query = f"SELECT id, created_at, {columns} FROM {{monitoring}} WHERE machine_id = :machine_id ORDER BY id"
+    return spark.sql(query, args={"machine_id": machine_id}, monitoring=table)
 
 
 def error_panel(spark: SparkSession, table: DataFrame, machine_id: int) -> DataFrame:

@@ -747,11 +747,11 @@ def anomaly_counter_chunked(spark, sf_dir):
     return serving.count_anomalies(rows, **FORCE_SPLIT).drop("ts")
 
 
-RESET_SQL = f"""{HISTORY}, asof AS (
+RESET_SQL = f"""{HISTORY}, timed AS (
   SELECT l.*, h.threshold FROM live l ASOF JOIN history h ON l.machine_id = h.machine_id AND l.ts >= h.effective_at),
 timeline AS (
   SELECT machine_id, ts, id, reconstruction_error, threshold, 1 AS kind,
-         CASE WHEN reconstruction_error > threshold THEN 1 ELSE -1 END AS step FROM asof
+         CASE WHEN reconstruction_error > threshold THEN 1 ELSE -1 END AS step FROM timed
   UNION ALL SELECT machine_id, effective_at, id, NULL, threshold, 0, 0 FROM history),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY ts, kind, id) AS rn FROM timeline)"""
 
