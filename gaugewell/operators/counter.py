@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewell.operators.ordering import CHUNK, SPLIT, plan_chunks
+from gaugewell.operators.ordering import CHUNK, SPLIT, ChunkPlan, plan_chunks
 from gaugewell.schema import COUNTER_LIMIT
 
 # Step codes. CARRY sets the counter to the value it brings along.
@@ -37,6 +37,7 @@ def bounded_counter(
     name: str = "anomaly_counter",
     start: DataFrame | None = None,
     limit: int = COUNTER_LIMIT,
+    chunks: ChunkPlan | None = None,
     **chunking,
 ) -> DataFrame:
     """Add the counter after each row, in (ts, tie) order per machine.
@@ -46,7 +47,7 @@ def bounded_counter(
     once on (machine, chunk) and replayed as a stream of Arrow batches; only
     machines too large for one task are first summarised per chunk.
     """
-    plan = plan_chunks(rows, [machine], ts, tie, **chunking)
+    plan = chunks or plan_chunks(rows, [machine], ts, tie, **chunking)
     cut = plan.assign(rows.withColumn(_STEP, F.col(step).cast("int")))
     carried = None
     if start is not None:

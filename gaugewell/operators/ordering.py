@@ -27,7 +27,11 @@ BIN_HOURS = 1
 
 @dataclass(frozen=True)
 class ChunkPlan:
-    """How to cut the histories of the large keys; ``bins`` is None if there are none."""
+    """How to cut the histories of the large keys; ``bins`` is None if there are none.
+
+    A plan may be used for any subset of the rows it was made from, so it can
+    be made once from the raw input and shared by the operators behind it.
+    """
 
     keys: tuple[str, ...]
     ts: str
@@ -119,6 +123,7 @@ def row_sequence(
     ts: str,
     tie: str,
     name: str = "seq",
+    chunks: ChunkPlan | None = None,
     **chunking,
 ) -> DataFrame:
     """Gap-free 1-based number in (ts, tie) order, per key or (no keys) over all rows.
@@ -126,7 +131,7 @@ def row_sequence(
     Rows are numbered inside their chunk; chunks of a split key are shifted by
     the rows before them. There are at most twice ``pieces`` such chunks.
     """
-    plan = plan_chunks(rows, keys, ts, tie, **chunking)
+    plan = chunks or plan_chunks(rows, keys, ts, tie, **chunking)
     cut = plan.assign(rows)
     local = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)).cast("long")
     if plan.bins is None:
@@ -152,6 +157,7 @@ def carry_value(
     value: str,
     name: str,
     forward: bool = True,
+    chunks: ChunkPlan | None = None,
     **chunking,
 ) -> DataFrame:
     """Newest non-null ``value`` up to each row, or with ``forward=False`` the next one from it on.
@@ -159,7 +165,7 @@ def carry_value(
     One shuffle on (key, chunk). A split key gets, per chunk, the value that
     crosses the chunk's edge; there are at most twice ``pieces`` of those.
     """
-    plan = plan_chunks(rows, keys, ts, tie, **chunking)
+    plan = chunks or plan_chunks(rows, keys, ts, tie, **chunking)
     cut = plan.assign(rows)
     ordered = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
     if forward:

@@ -25,16 +25,23 @@ def exact_medians(rows: DataFrame, columns: list[str], by: list[str] | None = No
     """
     by = by or []
     for margin in (2.0 / _SKETCH, 16.0 / _SKETCH, None):
-        found = _bracketed_medians(rows, columns, by, margin).persist()
-        if margin is None or found.where(F.col("median").isNull() & (F.col("n") > 0)).isEmpty():
+        found = _bracketed_medians(rows, columns, by, margin)
+        if by:
+            found = found.persist()
+            missed = not found.where(F.col("median").isNull() & (F.col("n") > 0)).isEmpty()
+        else:
+            # one record per column
+            records = found.collect()
+            missed = any(r["median"] is None and r["n"] > 0 for r in records)
+            found = rows.sparkSession.createDataFrame(records, found.schema)
+        if not missed:
             return found
         found.unpersist()
-    raise AssertionError("unreachable")
+    raise AssertionError("a bracket over the whole range cannot miss")
 
 
 def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margin: float | None) -> DataFrame:
-    infinite = F.lit(float("inf"))
-    nan = F.lit(float("nan"))
+    infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
 
     def bracket(c: str):
         v = F.col(c).cast("double")
@@ -44,44 +51,56 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
             q = F.percentile_approx(F.nanvl(v, infinite), [0.5 - margin, 0.5 + margin], F.lit(_SKETCH))
             # NaN sorts above infinity and is covered only by a NaN bound
             lo, hi = q[0], F.when(q[1] == infinite, nan).otherwise(q[1])
-        return F.struct(F.count(v).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).alias(c)
+        return F.struct(F.count(v).alias("n"), lo.alias("lo"), hi.alias("hi")).alias(c)
 
     brackets = rows.groupBy(*by).agg(*[bracket(c) for c in columns])
     if by:
-        edges = {c: F.col(f"_bounds.{c}") for c in columns}
-        packed = brackets.select(*by, F.struct(*columns).alias("_bounds"))
-        source = rows.join(packed, by)
+        source = rows.join(brackets.select(*by, F.struct(*columns).alias("_bounds")), by)
+        edges = {c: (F.col(f"_bounds.{c}.lo"), F.col(f"_bounds.{c}.hi")) for c in columns}
     else:
-        # one row of len(columns) brackets
+        # a single row with one bracket per column
         only = brackets.first()
-        edges = {c: F.struct(F.lit(only[c]["lo"]).alias("lo"), F.lit(only[c]["hi"]).alias("hi")) for c in columns}
-        source = rows
-
-    def relevant(c: str):
-        v, e = F.col(c).cast("double"), edges[c]
-        return F.when(
-            v <= e["hi"],
-            F.struct(F.lit(c).alias("column"), F.when(v >= e["lo"], v).alias("value")),
-        )
+        source, brackets = rows, rows.sparkSession.createDataFrame([only], brackets.schema)
+        edges = {c: (F.lit(only[c]["lo"]), F.lit(only[c]["hi"])) for c in columns}
+
+    def near(i: int, c: str):
+        v, (lo, hi) = F.col(c).cast("double"), edges[c]
+        return F.when(v <= hi, F.struct(F.lit(i).alias("idx"), F.when(v >= lo, v).alias("value")))
 
     # values under the bracket share the NULL group, so they cost one record per task
+    group = [*by, "idx"]
     counts = (
-        source.select(*by, F.explode(F.filter(F.array(*[relevant(c) for c in columns]), lambda s: s.isNotNull())).alias("s"))
-        .groupBy(*by, F.col("s.column").alias("column"), F.col("s.value").alias("value"))
+        source.select(*by, F.explode(F.array(*[near(i, c) for i, c in enumerate(columns)])).alias("s"))
+        .where(F.col("s").isNotNull())
+        .groupBy(*by, F.col("s.idx").alias("idx"), F.col("s.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("k"))
     )
     long = brackets.select(
-        *by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["n"].alias("n"),
-                                         F.col(c)["lo"].alias("lo"), F.col(c)["hi"].alias("hi")) for c in columns]))
+        *by,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("idx"),
+                        F.lit(c).alias("column"),
+                        *[F.col(c)[part].alias(part) for part in ("n", "lo", "hi")],
+                    )
+                    for i, c in enumerate(columns)
+                ]
+            )
+        ),
     )
-    group = [*by, "column"]
-    under = counts.where(F.col("value").isNull()).select(*group, F.col("k").alias("under"))
     span = F.col("hi") - F.col("lo")
-    bin_ = F.when(
-        (span > 0) & (span < infinite) & ~F.isnan("value"),
-        F.floor((F.col("value") - F.col("lo")) / span * _VALUE_BINS).cast("long"),
-    ).otherwise(F.lit(0).cast("long"))
-    binned = counts.where(F.col("value").isNotNull()).join(long, group).withColumn("bin", bin_)
+    bin_ = (
+        F.when(F.col("value").isNull(), F.lit(-1))
+        .when(
+            (span > 0) & (span < infinite) & ~F.isnan("value"),
+            F.floor((F.col("value") - F.col("lo")) / span * _VALUE_BINS),
+        )
+        .otherwise(F.lit(0))
+        .cast("long")
+    )
+    binned = counts.join(long, group).withColumn("bin", bin_)
 
     # ranks are 0-based; the two middle ranks coincide for an odd count
     first_rank, second_rank = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
@@ -89,8 +108,7 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
     per_bin = (
         binned.groupBy(*group, "bin")
         .agg(F.sum("k").alias("rows"), F.first("n").alias("n"))
-        .join(under, group, "left")
-        .withColumn("start", F.coalesce("under", F.lit(0)) + F.coalesce(F.sum("rows").over(in_order), F.lit(0)))
+        .withColumn("start", F.coalesce(F.sum("rows").over(in_order), F.lit(0)))
         .where((F.col("start") <= second_rank) & (F.col("start") + F.col("rows") > first_rank))
         .select(*group, "bin", "start")
     )
@@ -104,9 +122,9 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         return F.max(F.when(covers, F.col("value")))
 
     middle = placed.groupBy(*group).agg(value_at(first_rank).alias("a"), value_at(second_rank).alias("b"))
-    return long.join(middle, group, "left").select(
-        *group, "n", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) / 2).alias("median")
-    )
+    a, b = F.col("a"), F.col("b")
+    median = F.when(a == b, a).otherwise(a + (b - a) / 2)
+    return long.join(middle, group, "left").select(*by, "column", "n", median.alias("median"))
 
 
 def stratified_split(

@@ -22,6 +22,7 @@ from gaugewell.operators import autoencoder as ae
 from gaugewell.operators import prepare, selection
 from gaugewell.operators.batching import assign_batches, batch_last_counter
 from gaugewell.operators.failures import breakdown_windows, exclude_before_failure, exclude_before_failure_ordered
+from gaugewell.operators.ordering import plan_chunks
 from gaugewell.operators.scaler import Scaler, scaler_statistics
 from gaugewell.operators.thresholds import (
     attach_threshold,
@@ -730,7 +731,8 @@ _COUNTER_BAND = "CASE WHEN c >= 15 THEN 'red' WHEN c >= 10 THEN 'orange' WHEN c
 )
 def anomaly_counter(spark, sf_dir):
     flagged = serving.flag_anomalies(readings(spark, sf_dir), thresholds(spark, sf_dir))
-    counted = serving.count_anomalies(flagged.drop("machine_status", "threshold"))
+    chunks = plan_chunks(readings(spark, sf_dir), ["machine_id"], "ts", "id")
+    counted = serving.count_anomalies(flagged.drop("machine_status", "threshold"), chunks=chunks)
     return counted.withColumn("severity", fn.severity_counter(F.col("anomaly_counter")))
 
 
@@ -793,8 +795,10 @@ check("batch_assign_split", f"SELECT id, seq, CAST((seq - 1) // 20 AS BIGINT) AS
 )
 def batch_last(spark, sf_dir):
     flagged = serving.flag_anomalies(readings(spark, sf_dir), thresholds(spark, sf_dir))
-    counted = serving.count_anomalies(flagged.select("machine_id", "id", "ts", "anomaly"))
-    stored = batch_last_counter(assign_batches(counted))
+    raw = readings(spark, sf_dir)
+    chunks, arrival = plan_chunks(raw, ["machine_id"], "ts", "id"), plan_chunks(raw, [], "ts", "id")
+    counted = serving.count_anomalies(flagged.select("machine_id", "id", "ts", "anomaly"), chunks=chunks)
+    stored = batch_last_counter(assign_batches(counted, chunks=arrival))
     return stored.select("machine_id", "id", "batch_id", "anomaly_counter", "stored_counter")
 
 
@@ -812,9 +816,11 @@ monitoring AS (SELECT (1::BIGINT << 40) + b.seq AS id, make_timestamp(((epoch_us
 
 
 def _monitoring(spark, sf_dir) -> str:
-    counted = serving.score_batch(vectors(spark, sf_dir), scorer(spark, sf_dir), vector_thresholds(spark, sf_dir))
+    raw = vectors(spark, sf_dir)
+    counted = serving.score_batch(raw, scorer(spark, sf_dir), vector_thresholds(spark, sf_dir))
     path = scratch_path(spark, "monitoring")
-    writers.append_monitoring(writers.monitoring_rows(counted, ORIGIN_BATCH, 1, ingested_at="ts"), path, 1)
+    arrival = plan_chunks(raw, [], "ts", "id")
+    writers.append_monitoring(writers.monitoring_rows(counted, ORIGIN_BATCH, 1, ingested_at="ts", chunks=arrival), path, 1)
     return path
 
 

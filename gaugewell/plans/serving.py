@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugewell.functions.scalar import anomaly_flag
 from gaugewell.operators.autoencoder import Weights, reconstruction_error
 from gaugewell.operators.counter import DOWN, RESET, UP, bounded_counter
-from gaugewell.operators.ordering import carry_value
+from gaugewell.operators.ordering import carry_value, plan_chunks
 from gaugewell.operators.scaler import Scaler
 from gaugewell.operators.thresholds import attach_threshold, merge_events
 from gaugewell.schema import SENSORS
@@ -72,19 +72,24 @@ def count_with_history(
             F.lit(-1).cast("long").alias("event_order"),
         )
         events = events.unionByName(opening, allowMissingColumns=True)
-    filled = carry_value(events, ["machine_id"], ts, "event_order", known, "threshold", **chunking)
+    chunks = plan_chunks(events, ["machine_id"], ts, "event_order", **chunking)
+    filled = carry_value(events, ["machine_id"], ts, "event_order", known, "threshold", chunks=chunks)
     filled = filled.where(F.col("event_order") >= 0)
     usable = filled.where(F.col("is_control") | (F.col("threshold").isNotNull() & F.col(error).isNotNull()))
     flagged = usable.withColumn(
         "anomaly", F.when(~F.col("is_control"), anomaly_flag(F.col(error), F.col("threshold")))
     ).withColumn("step", F.when(F.col("is_control"), RESET).when(F.col("anomaly"), UP).otherwise(DOWN))
     counters = start.select("machine_id", "counter") if start is not None else None
-    counted = bounded_counter(flagged, ts=ts, tie="event_order", start=counters, **chunking)
+    counted = bounded_counter(flagged, ts=ts, tie="event_order", start=counters, chunks=chunks)
     if keep_control:
         return counted.drop("step", known)
     return counted.where(~F.col("is_control")).drop("step", known, "is_control", "event_order")
 
 
 def score_batch(readings: DataFrame, scorer: Scorer, thresholds: DataFrame, ts: str = "ts", tie: str = "id", **chunking) -> DataFrame:
-    """The whole batch request: score, flag, count."""
-    return count_anomalies(flag_anomalies(scorer(readings), thresholds), ts, tie, **chunking)
+    """The whole batch request: score, flag, count.
+
+    Busy machines are looked up in the raw readings, so scoring runs once.
+    """
+    chunks = plan_chunks(readings, ["machine_id"], ts, tie, **chunking)
+    return count_anomalies(flag_anomalies(scorer(readings), thresholds), ts, tie, chunks=chunks)

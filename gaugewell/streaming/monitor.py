@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugewell.functions.messages import accepted, rejects
+from gaugewell.operators.ordering import plan_chunks
 from gaugewell.plans.serving import Scorer, count_anomalies, count_with_history, flag_anomalies
 from gaugewell.schema import ORIGIN_STREAM
 from gaugewell.sources.writers import append_monitoring, monitoring_rows
@@ -64,8 +65,11 @@ class MonitorJob:
     ts: str = "ts"
     tie: str = "id"
 
-    def _store(self, counted: DataFrame, batch_id: int) -> None:
-        rows = monitoring_rows(counted, ORIGIN_STREAM, batch_id, ts=self.ts, tie=self.tie, ingested_at=self.ts)
+    def _store(self, counted: DataFrame, raw: DataFrame, batch_id: int) -> None:
+        arrival = plan_chunks(raw, [], self.ts, self.tie)
+        rows = monitoring_rows(
+            counted, ORIGIN_STREAM, batch_id, ts=self.ts, tie=self.tie, ingested_at=self.ts, chunks=arrival
+        )
         append_monitoring(rows, self.table, batch_id)
 
     def _refuse(self, decoded: DataFrame, batch_id: int) -> None:
@@ -81,10 +85,12 @@ class MonitorJob:
         def handle(batch: DataFrame, batch_id: int) -> None:
             batch.persist(StorageLevel.MEMORY_AND_DISK)
             before = states.before(batch.sparkSession, batch_id)
+            chunks = plan_chunks(batch, ["machine_id"], self.ts, self.tie)
             flagged = flag_anomalies(accepted(batch), thresholds)
-            counted = count_anomalies(flagged, self.ts, self.tie, start=before.select("machine_id", "counter"))
+            start = before.select("machine_id", "counter")
+            counted = count_anomalies(flagged, self.ts, self.tie, start=start, chunks=chunks)
             counted.persist(StorageLevel.MEMORY_AND_DISK)
-            self._store(counted, batch_id)
+            self._store(counted, batch, batch_id)
             self._refuse(batch, batch_id)
             states.write(_advance(before, counted, self.ts, self.tie), batch_id)
             counted.unpersist()
@@ -114,7 +120,7 @@ class MonitorJob:
             readings = good.where(F.col("set_threshold").isNull()).drop("set_threshold")
             counted = count_with_history(readings, written, self.ts, self.tie, start=before, keep_control=True)
             counted.persist(StorageLevel.MEMORY_AND_DISK)
-            self._store(counted.where(~F.col("is_control")), batch_id)
+            self._store(counted.where(~F.col("is_control")), batch, batch_id)
             self._refuse(batch, batch_id)
             states.write(_advance(before, counted, self.ts, "event_order"), batch_id)
             counted.unpersist()
