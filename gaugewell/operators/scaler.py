@@ -11,24 +11,24 @@ from gaugewell.functions.scalar import scale_serve, scale_train
 from gaugewell.schema import SCALER_SCHEMA, SENSORS
 
 
-def _range(sensor: str):
-    # NaN counts as missing
-    number = F.nanvl(F.col(sensor).cast("double"), F.lit(None).cast("double"))
-    return F.struct(F.min(number).alias("min"), F.max(number).alias("max"))
+RULES = {"train": scale_train, "serve": scale_serve}
 
 
-RULES = {"train": scale_train, "serve": scale_serve}
+def _ranges(rows: DataFrame, sensors: list[str], by: list[str]) -> DataFrame:
+    """Columns ``low_<sensor>`` and ``high_<sensor>`` from one aggregate; NaN counts as missing."""
+    number = {s: F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")) for s in sensors}
+    lows = [F.min(number[s]).alias(f"low_{s}") for s in sensors]
+    return rows.groupBy(*by).agg(*lows, *[F.max(number[s]).alias(f"high_{s}") for s in sensors])
 
 
 def scaler_statistics(rows: DataFrame, sensors: list[str] = SENSORS, by: list[str] | None = None) -> DataFrame:
-    """Smallest and largest value per sensor: one aggregate, then one record per sensor."""
+    """Smallest and largest value per sensor, one record per sensor (and group)."""
     by = by or []
-    wide = rows.groupBy(*by).agg(*[_range(s).alias(s) for s in sensors])
     records = [
-        F.struct(F.lit(i).alias("sensor_idx"), F.col(s)["min"].alias("min"), F.col(s)["max"].alias("max"))
+        F.struct(F.lit(i).alias("sensor_idx"), F.col(f"low_{s}").alias("min"), F.col(f"high_{s}").alias("max"))
         for i, s in enumerate(sensors)
     ]
-    return wide.select(*by, F.inline(F.array(*records)))
+    return _ranges(rows, sensors, by).select(*by, F.inline(F.array(*records)))
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,8 @@ class Scaler:
 
     @classmethod
     def fit(cls, rows: DataFrame, sensors: list[str] = SENSORS) -> Scaler:
-        return cls.from_table(scaler_statistics(rows, sensors))
+        found = _ranges(rows, sensors, []).first()
+        return cls(tuple(found[f"low_{s}"] for s in sensors), tuple(found[f"high_{s}"] for s in sensors))
 
     def to_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
@@ -68,7 +69,6 @@ class Scaler:
 
 def scale_by(rows: DataFrame, sensors: list[str], by: list[str], rule: str = "train") -> DataFrame:
     """Scale with the statistics of the row's own group."""
-    stats = rows.groupBy(*by).agg(*[_range(s).alias(f"_{s}") for s in sensors])
-    joined = rows.join(stats, by, "left")
-    scaled = {s: RULES[rule](F.col(s), F.col(f"_{s}")["min"], F.col(f"_{s}")["max"]).alias(s) for s in sensors}
+    joined = rows.join(_ranges(rows, sensors, by), by, "left")
+    scaled = {s: RULES[rule](F.col(s), F.col(f"low_{s}"), F.col(f"high_{s}")).alias(s) for s in sensors}
     return joined.select(*[scaled.get(c, F.col(c)) for c in rows.columns])

@@ -89,6 +89,9 @@ WEIGHTS_SCHEMA = T.StructType(
 # The stored table has one more sensor column than a reading; it is never filled.
 MONITORING_SENSORS = [*SENSORS, f"sensor_{SENSOR_COUNT:02d}"]
 
+# The stored table is split by machine_id modulo this number, however many machines there are.
+MACHINE_BUCKETS = 16
+
 MONITORING_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),

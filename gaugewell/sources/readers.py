@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.operators.selection import not_null
-from gaugewell.schema import MONITORING_SCHEMA, SCALER_SCHEMA, SENSORS, history_schema
+from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA, SCALER_SCHEMA, SENSORS, history_schema
 
 # Fixed value: the time text of the sensor history.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -77,7 +77,7 @@ def read_scaler_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_monitoring(spark: SparkSession, path: str, machine_id: int | None = None, buckets: int = 256) -> DataFrame:
+def read_monitoring(spark: SparkSession, path: str, machine_id: int | None = None, buckets: int = MACHINE_BUCKETS) -> DataFrame:
     """The monitoring table, or one machine of it read from its own bucket folders only."""
     table = spark.read.schema(f"{_ddl()}, ingest_batch long, machine_bucket int").parquet(path)
     if machine_id is not None:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.scalar import round_to_second
 from gaugewell.operators.ordering import row_sequence
-from gaugewell.schema import MONITORING_SCHEMA, MONITORING_SENSORS
+from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA, MONITORING_SENSORS
 
 # Ids of one append lie in their own range of this many values.
 ID_RANGE = 1 << 40
-BUCKETS = 256
 
 
 def write_scored(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -72,7 +71,7 @@ def monitoring_rows(
     return numbered.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in MONITORING_SCHEMA.fields])
 
 
-def append_monitoring(rows: DataFrame, path: str, append_id: int, buckets: int = BUCKETS) -> None:
+def append_monitoring(rows: DataFrame, path: str, append_id: int, buckets: int = MACHINE_BUCKETS) -> None:
     """Append under the folder of this append; repeating it replaces the same rows.
 
     Within the append rows go to a fixed number of machine buckets. The rebalance
