@@ -19,10 +19,14 @@ from gaugewell.session import join_side
 CHUNK = "_chunk"
 SPLIT = "_split"
 _BIN = "_bin"
-_PLAN = ["_base", "_pieces", "_lo", "_hi", "_by_tie"]
 
 MIN_CHUNK_ROWS = 1_000_000
 BIN_HOURS = 1
+_MICROS = BIN_HOURS * 3_600_000_000
+# An hour that is too large is cut at these quantiles; 2**10 - 1 of them make a 10-step binary search.
+_QUANTILE_STEPS = [1 << k for k in range(9, -1, -1)]
+_QUANTILES = [i / 1024 for i in range(1, 1024)]
+_QUANTILE_ROWS = 2_000
 
 
 @dataclass(frozen=True)
@@ -37,22 +41,37 @@ class ChunkPlan:
     ts: str
     tie: str
     bins: DataFrame | None
+    cuts: DataFrame | None = None
 
     def assign(self, rows: DataFrame) -> DataFrame:
         """Add the chunk number (a function of the row alone) and whether its key is split."""
         if self.bins is None:
             return rows.withColumns({CHUNK: F.lit(0).cast("long"), SPLIT: F.lit(False)})
         micros = epoch_micros(F.col(self.ts))
-        joined = rows.withColumn(_BIN, _bin(micros)).join(self.bins, [*self.keys, _BIN], "left")
-        at = F.when(F.col("_by_tie"), F.col(self.tie)).otherwise(micros)
-        width = (F.col("_hi") - F.col("_lo") + 1).cast("double") / F.col("_pieces")
-        piece = F.least(F.col("_pieces") - 1, F.floor((at - F.col("_lo")) / width).cast("long"))
-        chunk = F.coalesce(F.col("_base") + piece, F.lit(0).cast("long"))
-        return joined.withColumns({CHUNK: chunk, SPLIT: F.col("_base").isNotNull()}).drop(_BIN, *_PLAN)
+        on = [*self.keys, _BIN]
+        joined = rows.withColumn(_BIN, _bin(micros)).join(self.bins, on, "left")
+        base = F.col("_base")
+        if self.cuts is not None:
+            joined = joined.join(self.cuts, on, "left")
+            place = _place(micros, F.col(self.tie), F.col("_from"))
+            passed = F.aggregate(
+                F.array(*[F.lit(n) for n in _QUANTILE_STEPS]),
+                F.lit(0),
+                lambda at, step: at + F.when(F.get(F.col("_cuts"), at + step - 1) <= place, step).otherwise(F.lit(0)),
+            )
+            piece = F.floor(passed * F.col("_from.pieces") / 1024).cast("long")
+            base = base + F.when(F.col("_cuts").isNotNull(), piece).otherwise(F.lit(0))
+        chunk = F.coalesce(base, F.lit(0).cast("long"))
+        return joined.withColumns({CHUNK: chunk, SPLIT: F.col("_base").isNotNull()}).drop(_BIN, "_base", "_from", "_cuts")
 
 
 def _bin(micros: Column) -> Column:
-    return F.floor(micros / F.lit(BIN_HOURS * 3_600_000_000)).cast("long")
+    return F.floor(micros / F.lit(_MICROS)).cast("long")
+
+
+def _place(micros: Column, tie: Column, origin: Column) -> Column:
+    """(time, tie) of one hour as a single number that keeps the order: whole microseconds plus a fraction."""
+    return (micros - origin["t0"]).cast("double") + (tie - origin["i0"]).cast("double") / origin["ties"]
 
 
 def plan_chunks(
@@ -67,10 +86,10 @@ def plan_chunks(
 
     The share is ``max(min_rows, total / pieces)`` rows, so fewer than
     ``pieces`` keys can exceed it, and only those few counts reach the driver.
-    Their rows are counted per hour; hours are packed into chunks up to the
-    share, and an hour that is itself too large is cut evenly by time, or by
-    ``tie`` (a whole number) when all its rows carry the same timestamp.
-    Reads the key, time and tie columns only.
+    Their rows are counted per hour and hours are packed into chunks up to the
+    share. An hour that is itself too large is cut at quantiles of (ts, tie),
+    so bursts and rows of one instant are spread as well. Reads the key, time
+    and tie columns only; ``tie`` is a whole number.
     """
     spark = rows.sparkSession
     pieces = pieces or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -87,34 +106,36 @@ def plan_chunks(
     total = largest[0]["n"] if largest else 0
     share = max(min_rows, -(-total // pieces))
     large = [r["k"] for r in largest if r["level"] == 0 and r["n"] > share]
-    plan = ChunkPlan(tuple(keys), ts, tie, None)
     if not large:
-        return plan
+        return ChunkPlan(tuple(keys), ts, tie, None)
 
     if keys:
         listed = spark.createDataFrame([tuple(k) for k in large], narrow.select(*keys).schema)
         narrow = narrow.join(F.broadcast(listed), keys, "left_semi")
-    per_hour = narrow.groupBy(*keys, _bin(F.col("_t")).alias(_BIN)).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_t").alias("t0"),
-        F.max("_t").alias("t1"),
-        F.min("_i").alias("i0"),
-        F.max("_i").alias("i1"),
+    narrow = narrow.withColumn(_BIN, _bin(F.col("_t")))
+    on = [*keys, _BIN]
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy(_BIN).rowsBetween(Window.unboundedPreceding, -1))
+    origin = F.struct(
+        F.ceil(F.col("n") / F.lit(share)).cast("long").alias("pieces"),
+        F.col("t0"),
+        F.col("i0"),
+        (F.col("i1") - F.col("i0") + 1).cast("double").alias("ties"),
     )
-    before = F.coalesce(
-        F.sum("n").over(Window.partitionBy(*keys).orderBy(_BIN).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    hours = (
+        narrow.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("t0"), F.min("_i").alias("i0"), F.max("_i").alias("i1"))
+        .select(*on, "n", F.floor(F.coalesce(before, F.lit(0)) / F.lit(share)).cast("long").alias("_base"), origin.alias("_from"))
     )
-    same_time = F.col("t0") == F.col("t1")
-    bins = per_hour.select(
-        *keys,
-        _BIN,
-        F.floor(before / F.lit(share)).cast("long").alias("_base"),
-        F.ceil(F.col("n") / F.lit(share)).cast("long").alias("_pieces"),
-        F.when(same_time, F.col("i0")).otherwise(F.col("t0")).alias("_lo"),
-        F.when(same_time, F.col("i1")).otherwise(F.col("t1")).alias("_hi"),
-        same_time.alias("_by_tie"),
+    bins = join_side(hours.select(*on, "_base"))
+    # at most ``pieces`` hours can be too large
+    full = hours.where(F.col("n") > share).select(*on, "_from")
+    cuts = (
+        narrow.join(F.broadcast(full), on)
+        .groupBy(*on, "_from")
+        .agg(F.percentile_approx(_place(F.col("_t"), F.col("_i"), F.col("_from")), _QUANTILES, F.lit(10_000)).alias("_cuts"))
     )
-    return ChunkPlan(tuple(keys), ts, tie, join_side(bins))
+    cuts = join_side(cuts, _QUANTILE_ROWS)
+    return ChunkPlan(tuple(keys), ts, tie, bins, None if cuts.isEmpty() else cuts)
 
 
 def row_sequence(

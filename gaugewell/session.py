@@ -48,12 +48,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def join_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it really holds at most ``limit`` rows.
+    """Fix the rows of a small table and mark it for broadcast, if it really is small.
 
-    The check reads at most ``limit + 1`` rows. A larger table comes back as
-    it is, so the join shuffles (and adaptive execution splits skewed keys).
+    The check reads at most ``limit + 1`` rows. A larger table is written to the
+    shared folder instead, so that every later use sees the same rows too, and
+    the join shuffles (adaptive execution splits skewed keys).
     """
+    spark = df.sparkSession
     rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    if len(rows) <= limit:
+        return F.broadcast(spark.createDataFrame(rows, df.schema))
+    path = scratch_path(spark, "side")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
