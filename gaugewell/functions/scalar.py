@@ -66,18 +66,11 @@ def severity_counter(counter: Column) -> Column:
 def scale_train(x: Column, low: Column, high: Column) -> Column:
     """Min-max scaling as in training: NaN and 0/0 become 0, infinities the float32 limits."""
     shifted = x - low
-    span = high - low
-    ratio = F.when(span != 0.0, shifted / F.nullif(span, F.lit(0.0))).otherwise(
-        F.when(shifted > 0.0, F.lit(float("inf"))).when(shifted < 0.0, F.lit(float("-inf"))).otherwise(F.lit(0.0))
-    )
-    # NaN sorts above every number here, so it has to be caught before the comparisons
-    return (
-        F.when(x.isNull(), F.lit(None).cast("double"))
-        .when(F.isnan(shifted) | F.isnan(ratio), F.lit(0.0))
-        .when(ratio == F.lit(float("inf")), F.lit(FLOAT32_MAX))
-        .when(ratio == F.lit(float("-inf")), F.lit(-FLOAT32_MAX))
-        .otherwise(ratio)
-    )
+    ratio = F.nanvl(F.try_divide(shifted, high - low), F.lit(0.0))
+    bounded = F.least(F.greatest(ratio, F.lit(-FLOAT32_MAX)), F.lit(FLOAT32_MAX))
+    # no ratio: the range is zero, and only the direction is left
+    direction = F.nanvl(F.signum(shifted), F.lit(0.0)) * F.lit(FLOAT32_MAX)
+    return F.when(x.isNotNull(), F.when(high != low, bounded).otherwise(direction))
 
 
 def scale_serve(x: Column, low: Column, high: Column) -> Column:

@@ -72,7 +72,8 @@ class Weights:
         return values
 
 
-def _scale(x: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> np.ndarray:
+def scale_rows(x: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> np.ndarray:
+    """The scaling rules of ``scale_train`` and ``scale_serve`` on a matrix of rows."""
     span = high - low
     if rule == "serve":
         return (x - low) / np.where(span == 0.0, 1.0, span)
@@ -103,7 +104,7 @@ def reconstruction_error(
         gaps = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(axis=1)
         x = values.to_numpy(zero_copy_only=False).reshape(-1, width)
         usable[usable] = ~gaps
-        scaled = _scale(x[~gaps], low, high, rule)
+        scaled = scale_rows(x[~gaps], low, high, rule)
         out = np.zeros(len(rows))
         with np.errstate(over="ignore", invalid="ignore"):
             out[usable] = np.mean((Weights(layers).activations(scaled)[-1] - scaled) ** 2, axis=1)

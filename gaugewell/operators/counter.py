@@ -38,6 +38,7 @@ def bounded_counter(
     start: DataFrame | None = None,
     limit: int = COUNTER_LIMIT,
     chunks: ChunkPlan | None = None,
+    placed: bool = False,
     **chunking,
 ) -> DataFrame:
     """Add the counter after each row, in (ts, tie) order per machine.
@@ -45,10 +46,12 @@ def bounded_counter(
     ``step`` holds UP, DOWN or RESET. ``start`` (machine, counter) gives
     counters to begin with; machines not in it begin at 0. Rows are shuffled
     once on (machine, chunk) and replayed as a stream of Arrow batches; only
-    machines too large for one task are first summarised per chunk.
+    machines too large for one task are first summarised per chunk. ``placed``
+    says that ``chunks.place`` was applied already.
     """
     plan = chunks or plan_chunks(rows, [machine], ts, tie, **chunking)
-    cut = plan.assign(rows.withColumn(_STEP, F.col(step).cast("int")))
+    stepped = rows.withColumn(_STEP, F.col(step).cast("int"))
+    cut = stepped if placed else plan.assign(stepped)
     carried = None
     if start is not None:
         carried = start.select(
@@ -62,7 +65,9 @@ def bounded_counter(
     if carried is not None:
         head = carried.withColumns({_FIRST: F.lit(0), _STEP: F.lit(CARRY)})
         body = body.unionByName(head, allowMissingColumns=True)
-    ordered = body.repartition(machine, CHUNK).sortWithinPartitions(machine, CHUNK, _FIRST, ts, tie)
+    if carried is not None or not placed:
+        body = body.repartition(*plan.groups)
+    ordered = body.sortWithinPartitions(machine, CHUNK, _FIRST, ts, tie)
     kept = [c for c in ordered.columns if c not in (CHUNK, _FIRST, _STEP, _CARRIED)]
     schema = T.StructType([ordered.schema[c] for c in kept] + [T.StructField(name, T.IntegerType())])
 
@@ -76,7 +81,16 @@ def bounded_counter(
             carry = batch.column(_CARRIED).to_pylist()
             out = []
             for first, code, value in zip(begins, codes, carry):
-                x = _apply(0 if first else x, code, value, limit)
+                if first:
+                    x = 0
+                if code == UP:
+                    if x < limit:
+                        x += 1
+                elif code == DOWN:
+                    if x > 0:
+                        x -= 1
+                else:
+                    x = 0 if code == RESET else value
                 out.append(x)
             mine = pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(out, pa.int32())], names=[*kept, name]

@@ -43,6 +43,16 @@ class ChunkPlan:
     bins: DataFrame | None
     cuts: DataFrame | None = None
 
+    @property
+    def groups(self) -> list[str]:
+        """Columns that keep together what has to be ordered together."""
+        return list(self.keys) if self.bins is None else [*self.keys, CHUNK]
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """Assign chunks and shuffle once; the ordered operators behind it need no further shuffle."""
+        cut = self.assign(rows)
+        return cut.repartition(*self.groups) if self.groups else cut.coalesce(1)
+
     def assign(self, rows: DataFrame) -> DataFrame:
         """Add the chunk number (a function of the row alone) and whether its key is split."""
         if self.bins is None:
@@ -95,10 +105,12 @@ def plan_chunks(
     pieces = pieces or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = rows.select(*keys, epoch_micros(F.col(ts)).alias("_t"), F.col(tie).cast("long").alias("_i"))
 
-    keyed = narrow.select(F.struct(*[F.col(k) for k in keys] or [F.lit(0)]).alias("k"))
+    # counts first, so that the roll-up to the total works on one record per key
+    per_key = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     largest = (
-        keyed.rollup("k")
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+        per_key.select("n", F.struct(*[F.col(k) for k in keys] or [F.lit(0)]).alias("k"))
+        .rollup("k")
+        .agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
         .orderBy(F.desc("level"), F.desc("n"))
         .limit(pieces + 1)
         .collect()
@@ -126,16 +138,18 @@ def plan_chunks(
         .agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("t0"), F.min("_i").alias("i0"), F.max("_i").alias("i1"))
         .select(*on, "n", F.floor(F.coalesce(before, F.lit(0)) / F.lit(share)).cast("long").alias("_base"), origin.alias("_from"))
     )
-    bins = join_side(hours.select(*on, "_base"))
-    # at most ``pieces`` hours can be too large
+    hours = join_side(hours)
+    bins = hours.select(*on, "_base")
+    # fewer than ``pieces`` hours can be too large
     full = hours.where(F.col("n") > share).select(*on, "_from")
+    if full.isEmpty():
+        return ChunkPlan(tuple(keys), ts, tie, bins)
     cuts = (
         narrow.join(F.broadcast(full), on)
         .groupBy(*on, "_from")
         .agg(F.percentile_approx(_place(F.col("_t"), F.col("_i"), F.col("_from")), _QUANTILES, F.lit(10_000)).alias("_cuts"))
     )
-    cuts = join_side(cuts, _QUANTILE_ROWS)
-    return ChunkPlan(tuple(keys), ts, tie, bins, None if cuts.isEmpty() else cuts)
+    return ChunkPlan(tuple(keys), ts, tie, bins, join_side(cuts, _QUANTILE_ROWS))
 
 
 def row_sequence(
@@ -154,7 +168,7 @@ def row_sequence(
     """
     plan = chunks or plan_chunks(rows, keys, ts, tie, **chunking)
     cut = plan.assign(rows)
-    local = F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)).cast("long")
+    local = F.row_number().over(Window.partitionBy(*plan.groups).orderBy(ts, tie)).cast("long")
     if plan.bins is None:
         return cut.withColumn(name, local).drop(CHUNK, SPLIT)
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -179,22 +193,25 @@ def carry_value(
     name: str,
     forward: bool = True,
     chunks: ChunkPlan | None = None,
+    placed: bool = False,
     **chunking,
 ) -> DataFrame:
     """Newest non-null ``value`` up to each row, or with ``forward=False`` the next one from it on.
 
     One shuffle on (key, chunk). A split key gets, per chunk, the value that
     crosses the chunk's edge; there are at most twice ``pieces`` of those.
+    ``placed`` says that ``chunks.place`` was applied; its columns then stay.
     """
     plan = chunks or plan_chunks(rows, keys, ts, tie, **chunking)
-    cut = plan.assign(rows)
-    ordered = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
+    cut = rows if placed else plan.assign(rows)
+    extra = [] if placed else [CHUNK, SPLIT]
+    ordered = Window.partitionBy(*plan.groups).orderBy(ts, tie)
     if forward:
         local = F.last(value, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     else:
         local = F.first(value, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
     if plan.bins is None:
-        return cut.withColumn(name, local).drop(CHUNK, SPLIT)
+        return cut.withColumn(name, local).drop(*extra)
     nearest = F.max_by if forward else F.min_by
     present = F.when(F.col(value).isNotNull(), F.struct(ts, tie))
     edges = cut.where(SPLIT).groupBy(*keys, CHUNK).agg(nearest(F.col(value), present).alias("_edge"))
@@ -205,4 +222,4 @@ def carry_value(
         crossing = F.first("_edge", ignorenulls=True).over(by_chunk.rowsBetween(1, Window.unboundedFollowing))
     edges = edges.select(*keys, CHUNK, crossing.alias("_cross"))
     filled = cut.withColumn("_local", local).join(F.broadcast(edges), [*keys, CHUNK], "left")
-    return filled.withColumn(name, F.coalesce("_local", "_cross")).drop(CHUNK, SPLIT, "_local", "_cross")
+    return filled.withColumn(name, F.coalesce("_local", "_cross")).drop(*extra, "_local", "_cross")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.operators.autoencoder import WIDTHS, Weights
+from gaugewell.operators.autoencoder import WIDTHS, Weights, scale_rows
 from gaugewell.operators.scaler import Scaler
 from gaugewell.schema import SENSORS
 
@@ -79,17 +79,18 @@ def _adam(flat, first, second, gradient, step):
 _RESULT = "position int, total double, first double, second double, weight double, batches double, loss double"
 
 
-def _run_epoch(scaled: DataFrame, flat, first, second, steps: int, shapes, epoch: int, seed: int):
-    spark = scaled.sparkSession
+def _run_epoch(data: DataFrame, scaler: Scaler, flat, first, second, steps: int, shapes, epoch: int, seed: int):
+    spark = data.sparkSession
     state = spark.sparkContext.broadcast((flat, first, second))
     size = len(flat)
+    low, high = np.array(scaler.low, dtype=float), np.array(scaler.high, dtype=float)
 
     def mini_batches(batches: Iterator[pa.RecordBatch], rng) -> Iterator[np.ndarray]:
         rest = None
         for batch in batches:
             column = batch.column(0)
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-            x = x[rng.permutation(len(x))]
+            x = scale_rows(x, low, high, "train")[rng.permutation(len(x))]
             x = x if rest is None else np.vstack([rest, x])
             full = len(x) - len(x) % MINI_BATCH
             for at in range(0, full, MINI_BATCH):
@@ -120,7 +121,7 @@ def _run_epoch(scaled: DataFrame, flat, first, second, steps: int, shapes, epoch
 
     # the partitions' parameters are averaged by Spark; one record per parameter comes back
     averaged = (
-        scaled.mapInArrow(learn, _RESULT)
+        data.mapInArrow(learn, _RESULT)
         .groupBy("position")
         .agg(
             (F.sum("total") / F.sum("weight")).alias("w"),
@@ -156,8 +157,9 @@ def train_autoencoder(
     fair mix; each epoch shuffles them again inside the Arrow batches.
     """
     scaler = Scaler.fit(rows, sensors)
-    scaled = rows.select(F.array(*scaler.columns(sensors, "train")).alias("x"), F.xxhash64(F.col(tie), F.lit(seed)).alias("h"))
-    spread = scaled.repartition(partitions, "h") if partitions else scaled.repartition("h")
+    raw = F.array(*[F.col(s).cast("double") for s in sensors]).alias("x")
+    hashed = rows.select(raw, F.xxhash64(F.col(tie), F.lit(seed)).alias("h"))
+    spread = hashed.repartition(partitions, "h") if partitions else hashed.repartition("h")
     data = spread.select("x").persist()
     try:
         weights = Weights.initial((len(sensors), *WIDTHS[1:-1], len(sensors)), seed)
@@ -166,7 +168,7 @@ def train_autoencoder(
         m, v, steps = np.zeros_like(w), np.zeros_like(w), 0
         losses: list[float] = []
         for epoch in range(epochs):
-            w, m, v, steps, loss = _run_epoch(data, w, m, v, steps, shapes, epoch, seed)
+            w, m, v, steps, loss = _run_epoch(data, scaler, w, m, v, steps, shapes, epoch, seed)
             losses.append(loss)
             if should_stop(losses, patience):
                 break

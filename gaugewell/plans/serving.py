@@ -73,14 +73,15 @@ def count_with_history(
         )
         events = events.unionByName(opening, allowMissingColumns=True)
     chunks = plan_chunks(events, ["machine_id"], ts, "event_order", **chunking)
-    filled = carry_value(events, ["machine_id"], ts, "event_order", known, "threshold", chunks=chunks)
+    here = {"chunks": chunks, "placed": True}
+    filled = carry_value(chunks.place(events), ["machine_id"], ts, "event_order", known, "threshold", **here)
     filled = filled.where(F.col("event_order") >= 0)
     usable = filled.where(F.col("is_control") | (F.col("threshold").isNotNull() & F.col(error).isNotNull()))
     flagged = usable.withColumn(
         "anomaly", F.when(~F.col("is_control"), anomaly_flag(F.col(error), F.col("threshold")))
     ).withColumn("step", F.when(F.col("is_control"), RESET).when(F.col("anomaly"), UP).otherwise(DOWN))
     counters = start.select("machine_id", "counter") if start is not None else None
-    counted = bounded_counter(flagged, ts=ts, tie="event_order", start=counters, chunks=chunks)
+    counted = bounded_counter(flagged, ts=ts, tie="event_order", start=counters, **here)
     if keep_control:
         return counted.drop("step", known)
     return counted.where(~F.col("is_control")).drop("step", known, "is_control", "event_order")
