@@ -802,6 +802,30 @@ def batch_last(spark, sf_dir):
     return stored.select("machine_id", "id", "batch_id", "anomaly_counter", "stored_counter")
 
 
+@check(
+    "batch_response",
+    f"""WITH RECURSIVE {_flagged_sql()}, {_walk('flagged')},
+        b AS (SELECT reconstruction_error AS e, c, seq, (seq - 1) // 20 AS batch_id FROM (
+                SELECT reconstruction_error, c, row_number() OVER (ORDER BY ts, id) AS seq FROM flagged JOIN walk USING (machine_id, rn)))
+        SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS errors, arg_min(e, seq) AS first_error,
+               arg_max(e, seq) AS last_error, CAST(arg_max(c, seq) AS INTEGER) AS anomaly_counter FROM b GROUP BY batch_id""",
+)
+def batch_response(spark, sf_dir):
+    raw = readings(spark, sf_dir)
+    chunks, arrival = plan_chunks(raw, ["machine_id"], "ts", "id"), plan_chunks(raw, [], "ts", "id")
+    flagged = serving.flag_anomalies(raw, thresholds(spark, sf_dir))
+    counted = serving.count_anomalies(flagged.drop("machine_status", "threshold"), chunks=chunks)
+    answers = serving.batch_response(assign_batches(counted, chunks=arrival))
+    errors = F.col("reconstruction_errors")
+    return answers.select(
+        "batch_id",
+        F.size(errors).alias("errors"),
+        errors[0].alias("first_error"),
+        F.element_at(errors, -1).alias("last_error"),
+        "anomaly_counter",
+    )
+
+
 # --- monitoring table and panels ----------------------------------------------
 
 MONITORED = f"""{SCORED}, {VECTORS}, {VECTOR_THRESHOLDS}, base AS (

@@ -94,3 +94,17 @@ def score_batch(readings: DataFrame, scorer: Scorer, thresholds: DataFrame, ts:
     """
     chunks = plan_chunks(readings, ["machine_id"], ts, tie, **chunking)
     return count_anomalies(flag_anomalies(scorer(readings), thresholds), ts, tie, chunks=chunks)
+
+
+def batch_response(counted: DataFrame, batch: str = "batch_id", seq: str = "seq") -> DataFrame:
+    """One record per request: its errors in order and the counter after its last reading.
+
+    A request arrives as one message, so its list is no longer than that message.
+    """
+    item = F.struct(F.col(seq), F.col("reconstruction_error").alias("error"), F.col("anomaly_counter").alias("counter"))
+    answers = counted.groupBy(batch).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return answers.select(
+        batch,
+        F.transform("_items", lambda i: i["error"]).alias("reconstruction_errors"),
+        F.element_at("_items", -1)["counter"].alias("anomaly_counter"),
+    )

@@ -132,3 +132,11 @@ class MonitorJob:
         writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", self.checkpoint)
         return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
+
+
+def throughput(query: StreamingQuery) -> dict[str, float]:
+    """Rows, seconds and rows per second of the micro-batches the query still remembers."""
+    progress = query.recentProgress
+    rows = sum(p["numInputRows"] for p in progress)
+    seconds = sum(p["durationMs"].get("triggerExecution", 0) for p in progress) / 1000
+    return {"rows": rows, "seconds": seconds, "rows_per_second": rows / seconds if seconds else 0.0}
