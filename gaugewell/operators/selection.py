@@ -42,26 +42,44 @@ def exact_medians(rows: DataFrame, columns: list[str], by: list[str] | None = No
 
 def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margin: float | None) -> DataFrame:
     infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
+    wanted = [] if margin is None else [0.5 - margin, 0.5 + margin]
 
-    def bracket(c: str):
+    def sketch(i: int, c: str):
         v = F.col(c).cast("double")
-        if margin is None:
-            lo, hi = -infinite, nan
-        else:
-            q = F.percentile_approx(F.nanvl(v, infinite), [0.5 - margin, 0.5 + margin], F.lit(_SKETCH))
-            # NaN sorts above infinity and is covered only by a NaN bound
-            lo, hi = q[0], F.when(q[1] == infinite, nan).otherwise(q[1])
-        return F.struct(F.count(v).alias("n"), lo.alias("lo"), hi.alias("hi")).alias(c)
-
-    brackets = rows.groupBy(*by).agg(*[bracket(c) for c in columns])
+        found = [F.count(v).alias(f"n_{i}")]
+        if wanted:
+            found.append(F.percentile_approx(F.nanvl(v, infinite), wanted, F.lit(_SKETCH)).alias(f"q_{i}"))
+        return found
+
+    def bracket(i: int, c: str):
+        # NaN sorts above infinity and is covered only by a NaN bound
+        q = F.col(f"q_{i}")
+        lo, hi = (q[0], F.when(q[1] == infinite, nan).otherwise(q[1])) if wanted else (-infinite, nan)
+        return F.struct(F.col(f"n_{i}").alias("n"), lo.alias("lo"), hi.alias("hi")).alias(c)
+
+    parts = ("n", "lo", "hi")
+    sketches = rows.groupBy(*by).agg(*[part for i, c in enumerate(columns) for part in sketch(i, c)])
+    if not by:
+        # a single row, which stays on the driver from here on
+        sketches = rows.sparkSession.createDataFrame([sketches.first()], sketches.schema)
+    brackets = sketches.select(*by, *[bracket(i, c) for i, c in enumerate(columns)])
     if by:
         source = rows.join(brackets.select(*by, F.struct(*columns).alias("_bounds")), by)
         edges = {c: (F.col(f"_bounds.{c}.lo"), F.col(f"_bounds.{c}.hi")) for c in columns}
+        each = [
+            F.struct(F.lit(i).alias("idx"), F.lit(c).alias("column"), *[F.col(c)[p].alias(p) for p in parts])
+            for i, c in enumerate(columns)
+        ]
+        long = brackets.select(*by, F.inline(F.array(*each)))
     else:
         # a single row with one bracket per column
         only = brackets.first()
-        source, brackets = rows, rows.sparkSession.createDataFrame([only], brackets.schema)
-        edges = {c: (F.lit(only[c]["lo"]), F.lit(only[c]["hi"])) for c in columns}
+        source = rows
+        edges = {c: (F.lit(only[c]["lo"]).cast("double"), F.lit(only[c]["hi"]).cast("double")) for c in columns}
+        listed = [(i, c, *[only[c][p] for p in parts]) for i, c in enumerate(columns)]
+        long = F.broadcast(
+            rows.sparkSession.createDataFrame(listed, "idx int, column string, n long, lo double, hi double")
+        )
 
     def near(i: int, c: str):
         v, (lo, hi) = F.col(c).cast("double"), edges[c]
@@ -75,21 +93,6 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         .groupBy(*by, F.col("s.idx").alias("idx"), F.col("s.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    long = brackets.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("idx"),
-                        F.lit(c).alias("column"),
-                        *[F.col(c)[part].alias(part) for part in ("n", "lo", "hi")],
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        ),
-    )
     span = F.col("hi") - F.col("lo")
     bin_ = (
         F.when(F.col("value").isNull(), F.lit(-1))
