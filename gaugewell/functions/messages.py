@@ -28,9 +28,15 @@ def encode_batches(rows: DataFrame, sensors: list[str] = SENSORS, batch: str = "
     )
 
 
-def _filled(parsed: Column, schema: T.StructType) -> list[Column]:
-    """Absent and null fields read as zero, as a decoder with zero values gives them."""
-    return [F.coalesce(parsed[f.name], F.lit(0).cast(f.dataType)).alias(f.name) for f in schema.fields]
+def _filled(parsed: str, schema: T.StructType) -> list[Column]:
+    """Absent and null numbers read as zero, as a decoder with zero values gives them."""
+
+    def text(field: T.StructField) -> str:
+        kind = field.dataType.simpleString()
+        zero = f"CAST(0 AS {kind})" if isinstance(field.dataType, T.NumericType) else "NULL"
+        return f"coalesce({parsed}.`{field.name}`, {zero}) AS `{field.name}`"
+
+    return [F.expr(text(f)) for f in schema.fields]
 
 
 def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructType | None = None) -> DataFrame:
@@ -48,7 +54,7 @@ def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructT
     return staged.select(
         *messages.columns,
         (row.isNull() | row[_BAD].isNotNull()).alias("malformed"),
-        *_filled(row, schema),
+        *_filled("_parsed", schema),
     )
 
 

@@ -79,6 +79,11 @@ def scale_serve(x: Column, low: Column, high: Column) -> Column:
     return (x - low) / F.when(span == 0.0, F.lit(1.0)).otherwise(span)
 
 
+def sensor_array(sensors) -> Column:
+    """The sensor columns as one array of doubles, in the given order."""
+    return F.expr(f"array({', '.join(f'CAST(`{s}` AS DOUBLE)' for s in sensors)})")
+
+
 def row_mse(actual: Column, other: Column) -> Column:
     """Mean squared difference of two equally long arrays; NULL if the lengths differ."""
     squares = F.zip_with(actual, other, lambda a, b: (a - b) * (a - b))

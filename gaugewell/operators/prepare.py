@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewell.functions.scalar import fill_null
+from gaugewell.functions.scalar import fill_null, sensor_array
 from gaugewell.operators.selection import exact_medians
 from gaugewell.schema import BROKEN, MISSING, NORMAL, RECOVERING, SENSORS
 
@@ -80,7 +80,7 @@ def clean(rows: DataFrame, imputer: Imputer | None = None) -> DataFrame:
 def features(rows: DataFrame, sensors: list[str] = SENSORS, name: str = "features") -> DataFrame:
     """Sensor columns as one array in sensor order; other columns stay beside it."""
     other = [c for c in rows.columns if c not in set(sensors)]
-    return rows.select(*other, F.array(*[F.col(s).cast("double") for s in sensors]).alias(name))
+    return rows.select(*other, sensor_array(sensors).alias(name))
 
 
 def by_status(rows: DataFrame, status: str = "machine_status") -> DataFrame:

@@ -16,9 +16,10 @@ RULES = {"train": scale_train, "serve": scale_serve}
 
 def _ranges(rows: DataFrame, sensors: list[str], by: list[str]) -> DataFrame:
     """Columns ``low_<sensor>`` and ``high_<sensor>`` from one aggregate; NaN counts as missing."""
-    number = {s: F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double")) for s in sensors}
-    lows = [F.min(number[s]).alias(f"low_{s}") for s in sensors]
-    return rows.groupBy(*by).agg(*lows, *[F.max(number[s]).alias(f"high_{s}") for s in sensors])
+    # one expression text per sensor; building them from parts costs a call per part
+    number = {s: f"nanvl(CAST(`{s}` AS DOUBLE), CAST(NULL AS DOUBLE))" for s in sensors}
+    lows = [F.expr(f"min({number[s]}) AS `low_{s}`") for s in sensors]
+    return rows.groupBy(*by).agg(*lows, *[F.expr(f"max({number[s]}) AS `high_{s}`") for s in sensors])
 
 
 def scaler_statistics(rows: DataFrame, sensors: list[str] = SENSORS, by: list[str] | None = None) -> DataFrame:

@@ -41,28 +41,30 @@ def exact_medians(rows: DataFrame, columns: list[str], by: list[str] | None = No
 
 
 def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margin: float | None) -> DataFrame:
-    infinite, nan = F.lit(float("inf")), F.lit(float("nan"))
+    infinite = F.lit(float("inf"))
     wanted = [] if margin is None else [0.5 - margin, 0.5 + margin]
 
-    def sketch(i: int, c: str):
-        v = F.col(c).cast("double")
-        found = [F.count(v).alias(f"n_{i}")]
+    # expression texts: a wide table has many of them, and building them from parts costs a call per part
+    def sketch(i: int, c: str) -> list[str]:
+        found = [f"count(`{c}`) AS n_{i}"]
         if wanted:
-            found.append(F.percentile_approx(F.nanvl(v, infinite), wanted, F.lit(_SKETCH)).alias(f"q_{i}"))
+            value = f"nanvl(CAST(`{c}` AS DOUBLE), double('infinity'))"
+            found.append(f"percentile_approx({value}, array({wanted[0]}D, {wanted[1]}D), {_SKETCH}) AS q_{i}")
         return found
 
-    def bracket(i: int, c: str):
+    def bracket(i: int, c: str) -> str:
         # NaN sorts above infinity and is covered only by a NaN bound
-        q = F.col(f"q_{i}")
-        lo, hi = (q[0], F.when(q[1] == infinite, nan).otherwise(q[1])) if wanted else (-infinite, nan)
-        return F.struct(F.col(f"n_{i}").alias("n"), lo.alias("lo"), hi.alias("hi")).alias(c)
+        lo, hi = "double('-infinity')", "double('nan')"
+        if wanted:
+            lo, hi = f"q_{i}[0]", f"if(q_{i}[1] = double('infinity'), {hi}, q_{i}[1])"
+        return f"named_struct('n', n_{i}, 'lo', {lo}, 'hi', {hi}) AS `{c}`"
 
     parts = ("n", "lo", "hi")
-    sketches = rows.groupBy(*by).agg(*[part for i, c in enumerate(columns) for part in sketch(i, c)])
+    sketches = rows.groupBy(*by).agg(*[F.expr(part) for i, c in enumerate(columns) for part in sketch(i, c)])
     if not by:
         # a single row, which stays on the driver from here on
         sketches = rows.sparkSession.createDataFrame([sketches.first()], sketches.schema)
-    brackets = sketches.select(*by, *[bracket(i, c) for i, c in enumerate(columns)])
+    brackets = sketches.select(*by, *[F.expr(bracket(i, c)) for i, c in enumerate(columns)])
     if by:
         source = rows.join(brackets.select(*by, F.struct(*columns).alias("_bounds")), by)
         edges = {c: (F.col(f"_bounds.{c}.lo"), F.col(f"_bounds.{c}.hi")) for c in columns}

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewell.functions.scalar import sensor_array
 from gaugewell.operators.autoencoder import WIDTHS, Weights, scale_rows
 from gaugewell.operators.scaler import Scaler
 from gaugewell.schema import SENSORS
@@ -157,8 +158,7 @@ def train_autoencoder(
     fair mix; each epoch shuffles them again inside the Arrow batches.
     """
     scaler = Scaler.fit(rows, sensors)
-    raw = F.array(*[F.col(s).cast("double") for s in sensors]).alias("x")
-    hashed = rows.select(raw, F.xxhash64(F.col(tie), F.lit(seed)).alias("h"))
+    hashed = rows.select(sensor_array(sensors).alias("x"), F.xxhash64(F.col(tie), F.lit(seed)).alias("h"))
     spread = hashed.repartition(partitions, "h") if partitions else hashed.repartition("h")
     data = spread.select("x").persist()
     try:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewell.functions.scalar import sensor_array
 from gaugewell.operators.autoencoder import Weights, reconstruction_error
 from gaugewell.operators.failures import breakdown_windows, exclude_before_failure
 from gaugewell.operators.prepare import Imputer, by_status, clean
@@ -32,8 +33,8 @@ def training_rows(cleaned: DataFrame, exclude: bool = True, machine: str | None
 
 def evaluate(rows: DataFrame, weights: Weights, scaler: Scaler, sensors: list[str] = SENSORS) -> DataFrame:
     """Append the reconstruction error under training-side scaling to every row."""
-    x = F.array(*[F.col(s).cast("double") for s in sensors])
-    return rows.withColumn("reconstruction_errors", reconstruction_error(x, weights, scaler, rule="train"))
+    error = reconstruction_error(sensor_array(sensors), weights, scaler, rule="train")
+    return rows.withColumn("reconstruction_errors", error)
 
 
 def breakdown_report(scored: DataFrame, machine: str | None = None, tie: str = "id") -> DataFrame:

@@ -164,7 +164,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         vec.alias("id"),
         (started + F.make_dt_interval(secs=vec * F.lit(0.7).cast("decimal(3,1)"))).alias("ts"),
         F.col("label").alias("machine_id"),
-        *[F.col("embedding")[i].cast("double").alias(s) for i, s in enumerate(SENSORS)],
+        *[F.expr(f"CAST(embedding[{i}] AS DOUBLE) AS {s}") for i, s in enumerate(SENSORS)],
         status.alias("machine_status"),
     )
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.functions.scalar import anomaly_flag
+from gaugewell.functions.scalar import anomaly_flag, sensor_array
 from gaugewell.operators.autoencoder import Weights, reconstruction_error
 from gaugewell.operators.counter import DOWN, RESET, UP, bounded_counter
 from gaugewell.operators.ordering import carry_value, plan_chunks
@@ -27,8 +27,7 @@ class Scorer:
     on_error: str = "reject"
 
     def __call__(self, readings: DataFrame, name: str = "reconstruction_error") -> DataFrame:
-        x = F.array(*[F.col(s).cast("double") for s in self.sensors])
-        error = reconstruction_error(x, self.weights, self.scaler, self.rule, self.on_error)
+        error = reconstruction_error(sensor_array(self.sensors), self.weights, self.scaler, self.rule, self.on_error)
         return readings.withColumn(name, error)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.scalar import round_to_second
 from gaugewell.operators.ordering import row_sequence
-from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA, MONITORING_SENSORS
+from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA
 
 # Ids of one append lie in their own range of this many values.
 ID_RANGE = 1 << 40
@@ -61,14 +61,16 @@ def monitoring_rows(
     values = {
         "id": F.lit(append_id * ID_RANGE) + F.col("_seq"),
         "created_at": round_to_second(arrived),
-        "machine_id": F.col("machine_id"),
-        "reconstruction_error": F.col("reconstruction_error"),
-        "anomaly": F.col("anomaly"),
-        "anomaly_counter": F.col("anomaly_counter"),
         "origin": F.lit(origin),
-        **{s: F.col(s) if s in scored.columns else F.lit(None) for s in MONITORING_SENSORS},
     }
-    return numbered.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in MONITORING_SCHEMA.fields])
+
+    def stored(field):
+        if field.name in values:
+            return values[field.name].cast(field.dataType).alias(field.name)
+        source = field.name if field.name in scored.columns else "NULL"
+        return F.expr(f"CAST({source} AS {field.dataType.simpleString()}) AS {field.name}")
+
+    return numbered.select(*[stored(f) for f in MONITORING_SCHEMA.fields])
 
 
 def append_monitoring(rows: DataFrame, path: str, append_id: int, buckets: int = MACHINE_BUCKETS) -> None:
