@@ -205,21 +205,18 @@ def carry_value(
     plan = chunks or plan_chunks(rows, keys, ts, tie, **chunking)
     cut = rows if placed else plan.assign(rows)
     extra = [] if placed else [CHUNK, SPLIT]
-    ordered = Window.partitionBy(*plan.groups).orderBy(ts, tie)
-    if forward:
-        local = F.last(value, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        local = F.first(value, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    # the next value is the newest one when read backwards; a frame that runs to the
+    # end of the group would be evaluated anew for every row
+    toward = F.asc if forward else F.desc
+    so_far = Window.partitionBy(*plan.groups).orderBy(toward(ts), toward(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    local = F.last(value, ignorenulls=True).over(so_far)
     if plan.bins is None:
         return cut.withColumn(name, local).drop(*extra)
     nearest = F.max_by if forward else F.min_by
     present = F.when(F.col(value).isNotNull(), F.struct(ts, tie))
     edges = cut.where(SPLIT).groupBy(*keys, CHUNK).agg(nearest(F.col(value), present).alias("_edge"))
-    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
-    if forward:
-        crossing = F.last("_edge", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        crossing = F.first("_edge", ignorenulls=True).over(by_chunk.rowsBetween(1, Window.unboundedFollowing))
+    passed = Window.partitionBy(*keys).orderBy(toward(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    crossing = F.last("_edge", ignorenulls=True).over(passed)
     edges = edges.select(*keys, CHUNK, crossing.alias("_cross"))
     filled = cut.withColumn("_local", local).join(F.broadcast(edges), [*keys, CHUNK], "left")
     return filled.withColumn(name, F.coalesce("_local", "_cross")).drop(*extra, "_local", "_cross")

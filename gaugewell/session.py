@@ -39,7 +39,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     session, where driver and executors are one process, may do without it.
     """
     global _local_scratch
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
