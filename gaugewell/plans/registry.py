@@ -32,7 +32,7 @@ from gaugewell.operators.thresholds import (
 )
 from gaugewell.operators.training import train_autoencoder
 from gaugewell.plans import offline, panels, serving
-from gaugewell.schema import MONITORING_SENSORS, ORIGIN_BATCH, ORIGIN_STREAM, SENSOR_BANDS, SENSORS
+from gaugewell.schema import ORIGIN_BATCH, ORIGIN_STREAM, SENSOR_BANDS, SENSORS
 from gaugewell.session import scratch_path
 from gaugewell.sources import readers, writers
 from gaugewell.streaming.monitor import MonitorJob
