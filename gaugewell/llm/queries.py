@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import scratch_path
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, packing, simhash
 from .common import table
+from .encoding import vocabulary
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,11 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), k=4, radius=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest_index"), dict(docs.dtypes)["doc_id"], buckets=32)
@@ -49,5 +55,17 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_exact_dedup": op3_exact_dedup}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
+    )
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op10_packing": op10_packing,
+}
 SQL = {"op1_decontaminate": OP1_SQL, "op3_exact_dedup": OP3_SQL}
