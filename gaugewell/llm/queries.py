@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import scratch_path
 
-from . import decontaminate, exact_dedup, packing, simhash
+from . import decontaminate, exact_dedup, packing, quality, simhash
 from .common import table
 from .encoding import vocabulary
 
@@ -55,6 +55,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)
 """
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return packed.select(
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op10_packing": op10_packing,
 }
 SQL = {"op1_decontaminate": OP1_SQL, "op3_exact_dedup": OP3_SQL}
