@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import scratch_path
 
-from . import decontaminate, exact_dedup, packing, quality, simhash
+from . import decontaminate, exact_dedup, line_dedup, packing, quality, simhash
 from .common import table
 from .encoding import vocabulary
 
@@ -59,6 +59,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = line_dedup.drop_common_lines(docs, counts=True)
+    return rest.select("doc_id", "n_gone", "n_partners", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return packed.select(
@@ -71,6 +77,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
 SQL = {"op1_decontaminate": OP1_SQL, "op3_exact_dedup": OP3_SQL}
