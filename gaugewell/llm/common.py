@@ -39,3 +39,12 @@ def repeated(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as column ``times`` says; the column goes."""
     columns = [c for c in df.columns if c != times]
     return df.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias("_copy")).select(*columns)
+
+
+def spans_text(found: Column | str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def of_kinds(found: Column | str, *kinds: str) -> Column:
+    return F.filter(found, lambda s: s["kind"].isin(*kinds))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import scratch_path
 
-from . import decontaminate, exact_dedup, line_dedup, packing, quality, simhash
-from .common import table
+from . import decontaminate, exact_dedup, line_dedup, packing, quality, secret_scan, simhash
+from .common import of_kinds, spans_text, table
 from .encoding import vocabulary
 
 
@@ -65,6 +65,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("doc_id", "n_gone", "n_partners", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.RULES[: secret_scan.BASE]]
+    return found.select(
+        "doc_id",
+        *[F.size(of_kinds("found", k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(spans_text(of_kinds("found", *base)), 256).alias("base_sha256"),
+        spans_text("found").alias("spans"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return packed.select(
@@ -78,6 +89,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
 SQL = {"op1_decontaminate": OP1_SQL, "op3_exact_dedup": OP3_SQL}
