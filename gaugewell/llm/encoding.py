@@ -12,6 +12,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_pattern() -> str:
+    """The word pattern that goes with the byte-level rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class WordEncoder:
     """Ids for vocabularies whose pre-tokenizer drops white space, as little-endian 32-bit bytes.
 

@@ -190,14 +190,23 @@ def cut(text: str, gone: set[int]) -> str:
     return "\n".join(kept)
 
 
-def drop_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
-    """``docs`` with the common blocks deleted; with ``counts`` also n_gone and n_partners."""
+def drop_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = True, counts: bool = False) -> DataFrame:
+    """``docs`` with the common blocks deleted.
+
+    Without ``keep_empty`` a document that loses all its lines goes. With
+    ``counts`` columns n_gone (lines) and n_partners are added.
+    """
     d, g = docs.alias("d"), common_blocks(docs, min_words).alias("g")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key"))
     hit = F.col("g.gone").isNotNull()
-    # only texts that change go through Python
-    changed = _without(F.when(hit, F.col("d.text")), F.col("g.gone"))
-    columns = [F.when(hit, changed).otherwise(F.col("d.text")).alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    if counts:
-        columns += [F.coalesce(F.size("g.gone"), F.lit(0)).alias("n_gone"), F.coalesce("g.partners", F.lit(0)).alias("n_partners")]
-    return d.join(g, same, "left").select(*columns)
+    joined = d.join(g, same, "left").select(
+        F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"),
+        # only texts that change go through Python
+        F.when(hit, _without(F.when(hit, F.col("d.text")), F.col("g.gone"))).alias("rest"),
+        F.coalesce(F.size("g.gone"), F.lit(0)).alias("n_gone"),
+        F.coalesce("g.partners", F.lit(0)).alias("n_partners"),
+    )
+    if not keep_empty:
+        joined = joined.filter(F.col("rest").isNull() | (F.trim("rest") != ""))
+    columns = [F.coalesce("rest", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return joined.select(*columns, *(["n_gone", "n_partners"] if counts else []))

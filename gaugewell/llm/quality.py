@@ -8,9 +8,10 @@ table. Pairs are chosen by the gain that a tree over both would bring after the
 single features are fitted. A document's score is the logistic function of the
 sum of one entry of each table.
 
-Spark measures every document once and scores every document. The model is
-fitted on the driver from at most ``SAMPLE`` labelled rows (the ones whose ids
-hash lowest), so its input is bounded at some 4 MB; fewer rows are all used.
+Spark measures and scores every document in one pass without a shuffle. The
+model is fitted on the driver from at most ``SAMPLE`` labelled rows (the ones
+whose ids hash lowest), so its input is bounded at some 4 MB; fewer rows are all
+used.
 
 Cases: a null text is measured as an empty one, and gets a score. Labels that
 are null, or whose document is missing, are left out; a document labelled twice
@@ -22,14 +23,16 @@ Other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -76,19 +79,6 @@ def measure(text: str | None) -> list[float]:
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, f: array of float) per row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array([measure(t.as_py()) for t in batch.column(1)], dtype=np.float32).reshape(-1, len(FEATURES))
-            values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "f"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f array<float>")
-
-
 def held_out(doc_id: Column) -> Column:
     """The rows that never teach; a null id has no label to teach."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -231,36 +221,53 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 300, rate: f
     return model
 
 
-def learn(measured: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Additive:
+def _measured(texts: pd.Series) -> np.ndarray:
+    return np.array([measure(t) for t in texts], dtype=np.float32).reshape(-1, len(FEATURES))
+
+
+def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Additive:
     """The model from those labelled rows that are not held out."""
-    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = (
-        measured.join(known.select("doc_id", F.col(column).cast("double").alias("_label")), "doc_id")
+    known = (
+        labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .select("doc_id", F.col(column).cast("double").alias("_label"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "_label")
         .limit(sample)
-        .select("f", "_label")
-        .toArrow()
     )
+    # bounded by ``sample``
+    texts = docs.select("doc_id", "text").join(F.broadcast(stored(known, "labelled")), "doc_id").select("text", "_label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _measured(batch.column(0).to_pylist())
+            values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([values, batch.column(1)], ["f", "_label"])
+
+    # repeated documents may make it more rows than labels: the bound holds for what comes back, too
+    rows = texts.mapInArrow(run, "f array<float>, _label double").orderBy("f", "_label").limit(sample).toArrow()
     x = np.array(rows["f"].to_pylist(), dtype=np.float32).reshape(-1, len(FEATURES))
     return fit(x, rows["_label"].to_numpy() > 0.5)
 
 
-def score(measured: DataFrame, model: Additive, threshold: float = 0.7) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted."""
+def scores(model: Additive) -> Callable[[Column], Column]:
+    """The model as a function of a text column."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+    @F.pandas_udf(T.DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_measured(texts)))
+
+    return lambda text: score(text.cast("string"))
 
-    kind = dict(measured.dtypes)["doc_id"]
-    scored = measured.select("doc_id", "f").mapInArrow(run, f"doc_id {kind}, score double")
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted."""
+    scored = docs.select("doc_id", scores(learn(docs, labels))(F.col("text")).alias("score"))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Additive]:
-    measured = stored(features(docs), "features")
-    model = learn(measured, labels)
-    return score(measured, model), model
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rejected documents; a model that could not learn rejects none."""
+    model = learn(docs, labels)
+    return docs.filter(scores(model)(F.col("text")) >= threshold) if model.learned else docs

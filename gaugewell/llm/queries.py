@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.session import scratch_path
 
-from . import decontaminate, exact_dedup, line_dedup, packing, quality, secret_scan, simhash
+from . import decontaminate, exact_dedup, line_dedup, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
 from .common import of_kinds, spans_text, table
-from .encoding import vocabulary
+from .encoding import vocabulary, vocabulary_pattern
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ lengths AS (SELECT DISTINCT n FROM g),
 p AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
 h AS (SELECT doc_id, p.n, i, item_id FROM p JOIN g ON p.n = g.n AND p.gram = g.gram),
-c AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM h) GROUP BY doc_id),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -56,7 +56,77 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTIT
 """
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(of_kinds("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(spans_text("base"), 256).alias("base_sha256"),
+        spans_text("found").alias("spans"),
+    )
+
+
+def _number(text: Column, below: int) -> Column:
+    """A number below ``below`` that depends on the text alone."""
+    return (F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("int") % below).cast("int")
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries, made from the pages' own hosts, their parents and URLs.
+
+    An entry is listed on a day of 2024; two of three are removed later, and half
+    of those are listed again.
+    """
+    named = pages.filter("url IS NOT NULL").select(url_filter.plain_url(F.col("url")).alias("url"), url_filter.host(F.col("url")).alias("host"))
+    parent = F.regexp_replace("host", r"^[^.]*\.", "")
+    names = (
+        named.select(F.explode(F.array(
+            F.struct(F.col("host").alias("entry"), F.lit(3).alias("each")),
+            F.struct(parent.alias("entry"), F.lit(1).alias("each")),
+            F.struct(F.col("url").alias("entry"), F.lit(10).alias("each")),
+        )).alias("e"))
+        .select("e.*").filter("entry <> ''").distinct()
+    )
+    listed = names.filter(_number(F.concat(F.col("entry"), F.lit("#pick")), 840) % F.col("each") == 0).select("entry").distinct()
+    first = _number(F.concat(F.col("entry"), F.lit("#first")), 200)
+    gone = first + 1 + _number(F.concat(F.col("entry"), F.lit("#gone")), 60)
+    again = gone + 1 + _number(F.concat(F.col("entry"), F.lit("#again")), 60)
+    fate = _number(F.concat(F.col("entry"), F.lit("#fate")), 3)
+    event = lambda n, on, when: F.struct(F.date_add(F.lit("2024-01-01").cast("date"), n).alias("day"), F.lit(on).alias("listed"), when.alias("happens"))
+    events = F.array(event(first, True, F.lit(True)), event(gone, False, fate > 0), event(again, True, fate > 1))
+    return listed.select("entry", F.explode(events).alias("e")).select("entry", "e.*").filter("happens").drop("happens")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), _number(F.concat(F.col("page_id").cast("string"), F.lit("#fetched")), 365))
+    found = url_filter.filter_urls(pages.select("page_id", "url", fetched.alias("fetched")), _list_entries(pages))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return found.select("page_id", "host", day("fetched"), "blocked", "entry", day("listed_from"), "n_entries")
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS plain,
+                  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+                  DATE '2024-01-01' + (('0x' || substr(md5(page_id::VARCHAR || '#fetched'), 1, 7))::BIGINT % 365)::INT AS fetched FROM pages),
+n AS (SELECT DISTINCT host AS entry, 3 AS each FROM p UNION SELECT regexp_replace(host, '^[^.]*\.', ''), 1 FROM p UNION SELECT plain, 10 FROM p),
+l AS (SELECT DISTINCT entry FROM n WHERE entry <> '' AND ('0x' || substr(md5(entry || '#pick'), 1, 7))::BIGINT % 840 % each = 0),
+k AS (SELECT entry, ('0x' || substr(md5(entry || '#first'), 1, 7))::BIGINT % 200 AS a,
+             ('0x' || substr(md5(entry || '#gone'), 1, 7))::BIGINT % 60 + 1 AS b, ('0x' || substr(md5(entry || '#again'), 1, 7))::BIGINT % 60 + 1 AS c,
+             ('0x' || substr(md5(entry || '#fate'), 1, 7))::BIGINT % 3 AS fate FROM l),
+i AS (SELECT entry, DATE '2024-01-01' + a::INT AS f, CASE WHEN fate > 0 THEN DATE '2024-01-01' + (a + b)::INT END AS t FROM k
+      UNION ALL SELECT entry, DATE '2024-01-01' + (a + b + c)::INT, NULL FROM k WHERE fate > 1),
+q AS (SELECT page_id, fetched, plain AS key FROM p UNION SELECT page_id, fetched, array_to_string(string_split(host, '.')[g:], '.')
+      FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS g FROM p)),
+m AS (SELECT page_id, entry, f, row_number() OVER (PARTITION BY page_id ORDER BY length(entry) DESC, entry DESC) AS r, count(*) OVER (PARTITION BY page_id) AS n
+      FROM q JOIN i ON key = entry AND fetched >= f AND (t IS NULL OR fetched < t))
+SELECT p.page_id, host, strftime(fetched, '%Y-%m-%d') AS fetched, m.entry IS NOT NULL AS blocked, m.entry, strftime(f, '%Y-%m-%d') AS listed_from,
+       coalesce(n, 0) AS n_entries
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
+"""
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +146,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.section_tokens(docs, vocabulary("byte_bpe_50k.tiktoken"), vocabulary_pattern(), rule="most")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
     return packed.select(
@@ -88,8 +163,11 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
+    "op6_url_filter": op6_url_filter,
     "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op6_url_filter": OP6_SQL, "op3_exact_dedup": OP3_SQL}
