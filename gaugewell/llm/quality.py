@@ -156,18 +156,20 @@ def _edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
 
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 300, rate: float = 0.1, pairs: int = 8, patience: int = 12) -> Additive:
     """Cyclic boosting; each sixth row only decides when to stop."""
-    x, y = np.asarray(x, dtype=np.float32).reshape(len(y), -1), np.asarray(y, dtype=np.float64)
+    y = np.asarray(y, dtype=np.float64)
     prior = (y.sum() + 1) / (len(y) + 2)
     model = Additive(base=float(np.log(prior / (1 - prior))))
     if len(np.unique(y)) < 2:
         return model
     smooth = 5.0
     check = np.arange(len(y)) % 6 == 5
+    if not check.any():
+        check[:] = True
     model.edges, model.coarse = _edges(x, bins), _edges(x, 12)
     fine = [np.searchsorted(e, x[:, j], "right") for j, e in enumerate(model.edges)]
     rough = [np.searchsorted(e, x[:, j], "right") for j, e in enumerate(model.coarse)]
     total = np.full(len(y), model.base)
-    weight = (~check).astype(np.float64)
+    weight = np.ones(len(y)) if check.all() else (~check).astype(np.float64)
 
     def gradient() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-total))
