@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from gaugewell.schema import SENSORS, reading_schema
 
 _BAD = "_corrupt_record"
+_STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
 def encode_reading(sensors: list[str] = SENSORS, status: bool = True) -> Column:
@@ -39,33 +42,51 @@ def _filled(parsed: str, schema: T.StructType) -> list[Column]:
     return [F.expr(text(f)) for f in schema.fields]
 
 
+def _only_value(text: Column) -> Column:
+    """The text of the one JSON value in ``text``; NULL if it is malformed or something follows the value.
+
+    A parser stops behind the first value. So the text is put before an end mark
+    that nobody can know, as a list of two, and both have to be found.
+    """
+    mark = uuid.uuid4().hex
+    both = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{mark}"]')), T.ArrayType(T.StringType()), _STRICT)
+    return F.when((F.size(both) == 2) & (F.get(both, F.lit(1)) == mark), F.get(both, F.lit(0)))
+
+
+def _infinite(parsed: str, schema: T.StructType) -> Column:
+    """Whether a fractional number is too large for its type."""
+    names = [f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not names:
+        return F.lit(False)
+    listed = ", ".join(f"CAST({parsed}.`{n}` AS DOUBLE)" for n in names)
+    return F.expr(f"exists(array({listed}), v -> coalesce(isnan(v) OR abs(v) = double('infinity'), false))")
+
+
 def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructType | None = None) -> DataFrame:
     """One object per message. Adds the reading's fields and ``malformed``.
 
     A field of the wrong type makes the whole message malformed even though
     the parser fills in the other fields, so the corrupt-record column decides.
-    Fields outside the schema are ignored.
+    So do a second value or other text behind the object, NaN, numbers beyond
+    the type's range and single-quoted text. Fields outside the schema are ignored.
     """
     schema = schema or reading_schema()
     strict = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    parsed = F.from_json(F.col(value), strict, {"columnNameOfCorruptRecord": _BAD})
-    staged = messages.withColumn("_parsed", parsed)
+    parsed = F.from_json(F.col(value), strict, {"columnNameOfCorruptRecord": _BAD, **_STRICT})
+    staged = messages.withColumns({"_parsed": parsed, "_whole": _only_value(F.col(value)).isNotNull()})
     row = F.col("_parsed")
-    return staged.select(
-        *messages.columns,
-        (row.isNull() | row[_BAD].isNotNull()).alias("malformed"),
-        *_filled("_parsed", schema),
-    )
+    malformed = row.isNull() | row[_BAD].isNotNull() | ~F.coalesce("_whole", F.lit(False)) | _infinite("_parsed", schema)
+    return staged.select(*messages.columns, malformed.alias("malformed"), *_filled("_parsed", schema))
 
 
 def decode_arrays(bodies: DataFrame, value: str = "value", schema: T.StructType | None = None) -> DataFrame:
     """One array of objects per body, exploded to readings with their position.
 
-    A body that is not an array comes back as one malformed row; an empty
-    array gives no rows.
+    A body that is not an array, or has text behind it, comes back as one
+    malformed row; an empty array gives no rows.
     """
-    items = F.from_json(F.col(value), T.ArrayType(T.StringType()))
-    items = F.when(F.ltrim(F.col(value)).startswith("["), items)
+    body = _only_value(F.col(value))
+    items = F.when(F.ltrim(body).startswith("["), F.from_json(body, T.ArrayType(T.StringType()), _STRICT))
     kept = [c for c in bodies.columns if c != value]
     lists = bodies.select(*kept, F.coalesce(items, F.array(F.lit(None).cast("string"))).alias("_items"))
     exploded = lists.select(*kept, F.posexplode("_items").alias("position", value))
@@ -90,5 +111,3 @@ def strict_batches(decoded: DataFrame, batch: str = "batch_id") -> DataFrame:
     """
     bad = decoded.where("malformed").select(batch).distinct()
     return accepted(decoded.join(bad, batch, "left_anti"))
-
-

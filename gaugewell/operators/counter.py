@@ -11,13 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gaugewell.operators.ordering import CHUNK, SPLIT, ChunkPlan, plan_chunks
 from gaugewell.schema import COUNTER_LIMIT
 
+Steps = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 # Step codes. CARRY sets the counter to the value it brings along.
 UP, DOWN, RESET, CARRY = 1, -1, 0, 2
 _STEP, _CARRIED, _FIRST = "_step", "_carried", "_rank"
@@ -53,7 +57,7 @@ def bounded_counter(
             F.col(machine), F.lit(0).cast("long").alias(CHUNK), F.col("counter").cast("int").alias(_CARRIED)
         )
     if plan.bins is not None:
-        edges = _chunk_starts(cut.where(SPLIT), machine, ts, tie, carried, limit)
+        edges = _chunk_starts(cut.where(SPLIT), plan.bins.select(machine).distinct(), machine, ts, tie, carried, limit)
         carried = edges if carried is None else carried.unionByName(edges)
 
     body = cut.drop(SPLIT).withColumns({_FIRST: F.lit(1), _CARRIED: F.lit(None).cast("int")})
@@ -67,54 +71,87 @@ def bounded_counter(
     schema = T.StructType([ordered.schema[c] for c in kept] + [T.StructField(name, T.IntegerType())])
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous, x = None, 0
+        keys, x = _Keys(machine), 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            begins, previous = _group_starts(batch, machine, previous)
-            codes = batch.column(_STEP).to_pylist()
-            carry = batch.column(_CARRIED).to_pylist()
-            out = []
-            for first, code, value in zip(begins, codes, carry):
-                if first:
-                    x = 0
-                if code == UP:
-                    if x < limit:
-                        x += 1
-                elif code == DOWN:
-                    if x > 0:
-                        x -= 1
-                else:
-                    x = 0 if code == RESET else value
-                out.append(x)
+            begins = keys.begins(batch)
+            code = _numbers(batch.column(_STEP))
+            steps = _steps(code, _numbers(batch.column(_CARRIED)), limit)
+            shift, low, high = _scan(steps, _segments(begins))
+            # the first rows may go on with the group of the last batch
+            entry = np.where(np.cumsum(begins) == 0, x, 0)
+            out = np.minimum(high, np.maximum(low, entry + shift))
+            x = int(out[-1])
             mine = pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(out, pa.int32())], names=[*kept, name]
             )
-            yield mine.filter(pa.array([code != CARRY for code in codes]))
+            yield mine.filter(pa.array(code != CARRY))
 
     return ordered.mapInArrow(replay, schema)
 
 
-def _apply(x: int, code: int, value: int | None, limit: int) -> int:
-    if code == UP:
-        return x + 1 if x < limit else x
-    if code == DOWN:
-        return x - 1 if x > 0 else x
-    return 0 if code == RESET else value
+class _Keys:
+    """Finds the rows that open a new (machine, chunk); NULL keys are one machine."""
+
+    def __init__(self, machine: str) -> None:
+        self.names = (machine, CHUNK)
+        self.last: pa.RecordBatch | None = None
+
+    def begins(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(batch.num_rows, dtype=bool)
+        out[0] = self.last is None
+        for name in self.names:
+            column = batch.column(name)
+            out[1:] |= _differ(column.slice(1), column.slice(0, len(column) - 1))
+            if self.last is not None:
+                out[:1] |= _differ(column.slice(0, 1), self.last.column(name))
+        self.last = batch.slice(batch.num_rows - 1)
+        return out
+
+
+def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    unequal = pc.fill_null(pc.not_equal(a, b), False)
+    return pc.or_(unequal, pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
+def _steps(code: np.ndarray, carried: np.ndarray, limit: int) -> Steps:
+    """Each row's step as (shift, low, high)."""
+    fixed = (code == RESET) | (code == CARRY)
+    value = np.where(code == CARRY, carried, 0)
+    return np.where(fixed, 0, code), np.where(fixed, value, 0), np.where(fixed, value, limit)
 
-def _group_starts(batch: pa.RecordBatch, machine: str, previous: tuple | None) -> tuple[list[bool], tuple]:
-    """Which rows open a new (machine, chunk), and the last row's pair."""
-    m = batch.column(machine).to_numpy(zero_copy_only=False)
-    c = batch.column(CHUNK).to_numpy(zero_copy_only=False)
-    begins = np.ones(len(m), dtype=bool)
-    begins[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
-    begins[0] = previous is None or (m[0], c[0]) != previous
-    return begins.tolist(), (m[-1], c[-1])
+
+def _then(f: Steps, g: Steps) -> Steps:
+    """First ``f``, then ``g``, as one step of the same form."""
+    shift, low, high = g
+    return f[0] + shift, np.minimum(high, np.maximum(low, f[1] + shift)), np.minimum(high, np.maximum(low, f[2] + shift))
+
+
+def _segments(begins: np.ndarray) -> np.ndarray:
+    """Of each row, the first row of its group in this batch."""
+    at = np.where(begins, np.arange(len(begins)), 0)
+    return np.maximum.accumulate(at)
+
+
+def _scan(steps: Steps, start: np.ndarray) -> Steps:
+    """Each row's step composed with all earlier ones of its group, in log(n) rounds over the batch."""
+    n, reach = len(start), 1
+    depth = np.arange(n) - start
+    while reach <= (depth.max() if n else 0):
+        joined = _then(tuple(s[:-reach] for s in steps), tuple(s[reach:] for s in steps))
+        inside = depth[reach:] >= reach
+        steps = tuple(np.concatenate([s[:reach], np.where(inside, j, s[reach:])]) for s, j in zip(steps, joined))
+        reach *= 2
+    return steps
 
 
 def _chunk_starts(
-    rows: DataFrame, machine: str, ts: str, tie: str, carried: DataFrame | None, limit: int
+    rows: DataFrame, split: DataFrame, machine: str, ts: str, tie: str, carried: DataFrame | None, limit: int
 ) -> DataFrame:
     """Counter at the start of every chunk but the first of the split machines."""
     narrow = (
@@ -124,75 +161,67 @@ def _chunk_starts(
         .select(machine, CHUNK, _STEP)
     )
     key = narrow.schema[machine]
-    summary = T.StructType(
-        [key, T.StructField(CHUNK, T.LongType())]
-        + [T.StructField(n, T.IntegerType()) for n in ("low", "high")]
-        + [T.StructField("shift", T.LongType())]
-    )
-    arrow_key = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[key.dataType]
+    parts = [T.StructField(n, T.LongType()) for n in ("shift", "low", "high")]
+    summary = T.StructType([key, T.StructField(CHUNK, T.LongType()), *parts])
+    arrow = to_arrow_schema(summary)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = summary.names
-
-        def emit(done):
-            columns = list(zip(*done))
-            kinds = [arrow_key, pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=names)
-
-        previous, low, high, shift = None, 0, limit, 0
+        keys, open_ = _Keys(machine), None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            done = []
-            last = previous
-            begins, previous = _group_starts(batch, machine, previous)
-            ids = batch.column(machine).to_pylist()
-            chunks = batch.column(CHUNK).to_pylist()
-            for first, code, m, c in zip(begins, batch.column(_STEP).to_pylist(), ids, chunks):
-                if first:
-                    if last is not None:
-                        done.append((*last, low, high, shift))
-                    low, high, shift = 0, limit, 0
-                last = (m, c)
-                shift += code
-                low, high = _apply(low, code, None, limit), _apply(high, code, None, limit)
-            previous = last
-            if done:
-                yield emit(done)
-        if previous is not None:
-            yield emit([(*previous, low, high, shift)])
+            before, begins = keys.last, keys.begins(batch)
+            code = _numbers(batch.column(_STEP))
+            first = np.cumsum(begins) == 0
+            found = _scan(_steps(code, code, limit), _segments(begins))
+            if open_ is not None:
+                gone_on = _then(tuple(np.full(len(code), v) for v in open_), found)
+                found = tuple(np.where(first, g, f) for g, f in zip(gone_on, found))
+            # a group ends before each row that begins one
+            ends = np.flatnonzero(begins[1:])
+            if begins[0] and before is not None:
+                yield out(before, [np.array([v]) for v in open_])
+            if len(ends):
+                yield out(batch.take(pa.array(ends)), [f[ends] for f in found])
+            open_ = [f[-1] for f in found]
+        if open_ is not None:
+            yield out(keys.last, [np.array([v]) for v in open_])
+
+    def out(rows: pa.RecordBatch, values: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [rows.column(machine), rows.column(CHUNK), *map(pa.array, values)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     summaries = narrow.mapInArrow(summarise, summary)
     if carried is not None:
-        # a known start value is the function that ignores its input
-        known = carried.join(F.broadcast(summaries.select(machine).distinct()), machine, "left_semi")
+        # a known start value is the step that ignores its input
+        known = carried.join(F.broadcast(split), machine, "left_semi")
+        value = F.col(_CARRIED).cast("long")
         summaries = summaries.unionByName(
             known.select(
                 machine,
                 F.lit(-1).cast("long").alias(CHUNK),
-                F.col(_CARRIED).alias("low"),
-                F.col(_CARRIED).alias("high"),
                 F.lit(0).cast("long").alias("shift"),
+                value.alias("low"),
+                value.alias("high"),
             )
         )
-    out = T.StructType([key, T.StructField(CHUNK, T.LongType()), T.StructField(_CARRIED, T.IntegerType())])
-
-    def compose(pdf):
-        # one machine's chunk summaries, a few thousand rows at most
-        pdf = pdf.sort_values(CHUNK)
-        x, values = 0, []
-        for low, high, shift in zip(pdf["low"], pdf["high"], pdf["shift"]):
-            values.append(x)
-            x = min(high, max(low, x + shift))
-        return pdf[[machine, CHUNK]].assign(**{_CARRIED: values}).query(f"{CHUNK} > 0")
-
-    return summaries.groupBy(machine).applyInPandas(compose, out)
-
-
-def replay_counter(anomalies: list[bool], start: int = 0, limit: int = COUNTER_LIMIT) -> list[int]:
-    """The same rule on a short list; for tests and small look-ups."""
-    out, x = [], start
-    for flag in anomalies:
-        x = _apply(x, UP if flag else DOWN, None, limit)
-        out.append(x)
-    return out
+    # one record per chunk: a few thousand in all
+    ordered = summaries.repartition(machine).sortWithinPartitions(machine, CHUNK)
+    out_schema = T.StructType([key, T.StructField(CHUNK, T.LongType()), T.StructField(_CARRIED, T.IntegerType())])
+    arrow_out = to_arrow_schema(out_schema)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
+            return
+        table = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        machines = _differ(table.column(machine).slice(1), table.column(machine).slice(0, table.num_rows - 1))
+        begins = np.concatenate([[True], machines])
+        shift, low, high = _scan(tuple(_numbers(table.column(n)) for n in ("shift", "low", "high")), _segments(begins))
+        after = np.minimum(high, np.maximum(low, shift))
+        before = np.where(begins, 0, np.concatenate([[0], after[:-1]]))
+        columns = [table.column(machine), table.column(CHUNK), pa.array(before)]
+        rows = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_out)], schema=arrow_out)
+        yield rows.filter(pc.greater(rows.column(CHUNK), 0))
+
+    return ordered.mapInArrow(compose, out_schema)

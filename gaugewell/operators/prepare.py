@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewell.functions.scalar import fill_null, sensor_array
-from gaugewell.operators.selection import exact_medians
+from gaugewell.operators.selection import exact_medians, join_same
 from gaugewell.schema import BROKEN, MISSING, NORMAL, RECOVERING, SENSORS
 
 
+# Fill values travel with the plan.
+MOST_COLUMNS = 10_000
+
+
 @dataclass(frozen=True)
 class Imputer:
     """Fitted fill values: one median per numeric column, 0 where a column has no value."""
@@ -28,7 +32,12 @@ class Imputer:
 
     @classmethod
     def load(cls, saved: DataFrame) -> Imputer:
-        return cls({r["column"]: r["median"] for r in saved.select("column", "median").limit(10_000).collect()})
+        """From one record per column; a table with more than ``MOST_COLUMNS`` or repeated columns is refused."""
+        rows = saved.select("column", "median").limit(MOST_COLUMNS + 1).collect()
+        medians = {r["column"]: r["median"] for r in rows}
+        if len(rows) > MOST_COLUMNS or len(medians) != len(rows):
+            raise ValueError(f"saved medians need one record per column and at most {MOST_COLUMNS}")
+        return cls(medians)
 
     def save(self, spark) -> DataFrame:
         return spark.createDataFrame(sorted(self.medians.items()), "column string, median double")
@@ -55,7 +64,7 @@ def impute_by(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     medians = exact_medians(rows, columns, by)
     wide = medians.groupBy(*by).pivot("column", columns).agg(F.first("median"))
     wide = wide.select(*by, *[F.col(c).alias(f"_m_{c}") for c in columns])
-    joined = rows.join(wide, by, "left")
+    joined = join_same(rows, wide, by, "left")
     kept = [F.coalesce(c, f"_m_{c}", F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in rows.columns]
     return joined.select(*kept)
 

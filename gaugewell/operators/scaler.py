@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.functions.scalar import scale_serve, scale_train
+from gaugewell.operators.selection import join_same
 from gaugewell.schema import SCALER_SCHEMA, SENSORS
 
 
+# A scaler travels with every task; a table with more sensors is refused.
+MOST_SENSORS = 10_000
+
 RULES = {"train": scale_train, "serve": scale_serve}
 
 
@@ -41,8 +45,10 @@ class Scaler:
 
     @classmethod
     def from_table(cls, statistics: DataFrame) -> Scaler:
-        # one record per sensor
-        rows = sorted(statistics.select("sensor_idx", "min", "max").limit(10_000).collect())
+        """From one record per sensor, numbered from 0; anything else is an error."""
+        rows = sorted(statistics.select("sensor_idx", "min", "max").limit(MOST_SENSORS + 1).collect())
+        if len(rows) > MOST_SENSORS or [r["sensor_idx"] for r in rows] != list(range(len(rows))):
+            raise ValueError(f"statistics need one record per sensor, numbered from 0, and at most {MOST_SENSORS}")
         return cls(tuple(r["min"] for r in rows), tuple(r["max"] for r in rows))
 
     @classmethod
@@ -70,6 +76,6 @@ class Scaler:
 
 def scale_by(rows: DataFrame, sensors: list[str], by: list[str], rule: str = "train") -> DataFrame:
     """Scale with the statistics of the row's own group."""
-    joined = rows.join(_ranges(rows, sensors, by), by, "left")
+    joined = join_same(rows, _ranges(rows, sensors, by), by, "left")
     scaled = {s: RULES[rule](F.col(s), F.col(f"low_{s}"), F.col(f"high_{s}")).alias(s) for s in sensors}
     return joined.select(*[scaled.get(c, F.col(c)) for c in rows.columns])

@@ -7,11 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewell.session import join_side
+from gaugewell.session import join_side, scratch_path
 
 # Accuracy of the first, approximate pass; the second pass reads only values that near the middle.
 _SKETCH = 2_000
 _VALUE_BINS = 4_096
+# Rows at a label's cut that one task sorts.
+_RANKED = 100_000
+
+
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which NULL keys meet each other; the key columns come from ``left``."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in on])
+    return left.join(other, same, how).drop(*[f"_same_{k}" for k in on])
 
 
 def exact_medians(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -27,7 +36,10 @@ def exact_medians(rows: DataFrame, columns: list[str], by: list[str] | None = No
     for margin in (2.0 / _SKETCH, 16.0 / _SKETCH, None):
         found = _bracketed_medians(rows, columns, by, margin)
         if by:
-            found = found.persist()
+            # written once: read for the check and by whoever asked
+            path = scratch_path(rows.sparkSession, "medians")
+            found.write.parquet(path)
+            found = rows.sparkSession.read.schema(found.schema).parquet(path)
             missed = not found.where(F.col("median").isNull() & (F.col("n") > 0)).isEmpty()
         else:
             # one record per column
@@ -36,7 +48,6 @@ def exact_medians(rows: DataFrame, columns: list[str], by: list[str] | None = No
             found = rows.sparkSession.createDataFrame(records, found.schema)
         if not missed:
             return found
-        found.unpersist()
     raise AssertionError("a bracket over the whole range cannot miss")
 
 
@@ -66,7 +77,7 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         sketches = rows.sparkSession.createDataFrame([sketches.first()], sketches.schema)
     brackets = sketches.select(*by, *[F.expr(bracket(i, c)) for i, c in enumerate(columns)])
     if by:
-        source = rows.join(brackets.select(*by, F.struct(*columns).alias("_bounds")), by)
+        source = join_same(rows, brackets.select(*by, F.struct(*columns).alias("_bounds")), by)
         edges = {c: (F.col(f"_bounds.{c}.lo"), F.col(f"_bounds.{c}.hi")) for c in columns}
         each = [
             F.struct(F.lit(i).alias("idx"), F.lit(c).alias("column"), *[F.col(c)[p].alias(p) for p in parts])
@@ -105,7 +116,7 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         .otherwise(F.lit(0))
         .cast("long")
     )
-    binned = counts.join(long, group).withColumn("bin", bin_)
+    binned = join_same(counts, long, group).withColumn("bin", bin_)
 
     # ranks are 0-based; the two middle ranks coincide for an odd count
     first_rank, second_rank = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
@@ -118,7 +129,7 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         .select(*group, "bin", "start")
     )
     by_value = Window.partitionBy(*group, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = binned.join(per_bin, [*group, "bin"]).withColumn(
+    placed = join_same(binned, per_bin, [*group, "bin"]).withColumn(
         "at", F.col("start") + F.coalesce(F.sum("k").over(by_value), F.lit(0))
     )
 
@@ -129,7 +140,7 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
     middle = placed.groupBy(*group).agg(value_at(first_rank).alias("a"), value_at(second_rank).alias("b"))
     a, b = F.col("a"), F.col("b")
     median = F.when(a == b, a).otherwise(a + (b - a) / 2)
-    return long.join(middle, group, "left").select(*by, "column", "n", median.alias("median"))
+    return join_same(long, middle, group, "left").select(*by, "column", "n", median.alias("median"))
 
 
 def stratified_split(
@@ -152,16 +163,22 @@ def stratified_split(
         .where((F.col("need") > 0) & (F.col("need") <= F.col("count")))
         .select(label, "_prefix", "need")
     )
-    cuts = join_side(cuts)
+    narrow = hashed.select(label, tie, "_hash", "_prefix")
+    at_cut = join_same(narrow, join_side(cuts), [label, "_prefix"])
+    # a longer prefix leaves fewer rows at the cut: four more digits at a time, until one task can rank them
+    digits = 4
+    while digits < 32 and (at_cut.groupBy(label).count().agg(F.max("count")).first()[0] or 0) > _RANKED:
+        digits += 4
+        longer = at_cut.withColumn("_longer", F.substring("_hash", 1, digits))
+        sizes = longer.groupBy(label, "need", "_longer").count()
+        before = F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("_longer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        left = sizes.withColumn("_left", F.col("need") - before).where((F.col("_left") > 0) & (F.col("_left") <= F.col("count")))
+        at_cut = join_same(longer.drop("need"), join_side(left.select(label, "_longer", F.col("_left").alias("need"))), [label, "_longer"]).drop("_longer")
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_hash", tie))
-    at_cut = (
-        hashed.select(label, tie, "_hash", "_prefix")
-        .join(cuts, [label, "_prefix"])
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") == F.col("need"))
-        .select(label, F.struct("_hash", tie).alias("_cut"))
+    edge = (
+        at_cut.withColumn("_rank", rank).where(F.col("_rank") == F.col("need")).select(label, F.struct("_hash", tie).alias("_cut"))
     )
-    marked = hashed.join(join_side(at_cut), label, "left")
+    marked = join_same(hashed, join_side(edge), [label], "left")
     inside = F.struct("_hash", tie) <= F.col("_cut")
     return marked.withColumn(name, F.coalesce(inside, F.lit(False))).drop("_hash", "_prefix", "_cut")
 

@@ -17,7 +17,7 @@ def write_scored(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """The scored history as Parquet, or as CSV with a header."""
     writer = rows.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+        writer = writer.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
     writer.format(fmt).save(path)
 
 

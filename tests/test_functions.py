@@ -108,3 +108,18 @@ def test_encode(spark):
     assert one == '{"machine_id":7,"sensor_00":1.0,"machine_status":"NORMAL"}'
     body = msg.encode_batches(rows, ["sensor_00"]).first()["body"]
     assert body == '[{"machine_id":7,"sensor_00":2.0},{"machine_id":7,"sensor_00":1.0}]'
+
+
+def test_strict_messages(spark):
+    good = ['{"machine_id": 7, "sensor_01": 1e3}', ' {"machine_id":7,"other":[1,{"a":"]"}]} ', "{}"]
+    bad = [
+        '{"machine_id":1}{"machine_id":2}', '{"machine_id":1} garbage', '{"machine_id":1},{"machine_id":2}', '{"machine_id":1}] [', '{"machine_id":1},0] x',
+        '{"sensor_01": NaN}', '{"sensor_01": "NaN"}', '{"sensor_01": 1e999}', "{'machine_id': 1}", '{"machine_id": "x"}', "", "[]", "null", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(good + bad)), "id long, value string")
+    out = {r["id"]: r["malformed"] for r in msg.decode_messages(rows, schema=SCHEMA).collect()}
+    assert [out[i] for i in range(len(good))] == [False] * len(good)
+    assert [out[i] for i in range(len(good), len(out))] == [True] * len(bad)
+    bodies = spark.createDataFrame([(1, '[{"machine_id":1},{"machine_id":2}]'), (2, '[{"machine_id":1}] tail'), (3, "[]")], "batch_id long, value string")
+    got = sorted((r["batch_id"], r["machine_id"], r["malformed"]) for r in msg.decode_arrays(bodies, schema=SCHEMA).collect())
+    assert got == [(1, 1, False), (1, 2, False), (2, 0, True)]

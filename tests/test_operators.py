@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.operators import failures, prepare, selection
 from gaugewell.operators.batching import assign_batches, batch_last_counter
-from gaugewell.operators.counter import bounded_counter, replay_counter
+from gaugewell.operators.counter import bounded_counter
 from gaugewell.operators.ordering import CHUNK, carry_value, plan_chunks, row_sequence
 from gaugewell.operators.scaler import Scaler, scale_by, scaler_statistics
 from gaugewell.operators.thresholds import attach_threshold_asof, latest_thresholds
@@ -109,9 +109,61 @@ def test_counter_matches_a_sequential_walk(spark, chunking, with_start):
         assert got[i] == x[machine]
 
 
-def test_counter_edges():
-    assert replay_counter([True] * 25 + [False]) == [*range(1, 21), *[20] * 5, 19]
-    assert replay_counter([False] * 3 + [True]) == [0, 0, 0, 1]
+def test_counter_edges(spark):
+    def counters(flags):
+        rows = spark.createDataFrame([(1, i, at(i), 1 if f else -1) for i, f in enumerate(flags)], "machine_id long, id long, ts timestamp, step int")
+        return [r["anomaly_counter"] for r in bounded_counter(rows).orderBy("id").collect()]
+
+    assert counters([True] * 25 + [False]) == [*range(1, 21), *[20] * 5, 19]
+    assert counters([False] * 3 + [True]) == [0, 0, 0, 1]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string", "decimal(20,0)"])
+@pytest.mark.parametrize("chunking", [{}, SPLIT])
+def test_counter_for_any_key_type(spark, kind, chunking):
+    """Split or not, with small Arrow batches, and NULL as one machine of its own."""
+    raw, rows = history(spark, 8, 700)
+    keyed = F.when(F.col("machine_id") != 3, F.col("machine_id")).cast(kind).alias("machine_id")
+    start = spark.createDataFrame([(1, 13), (2, 20)], "machine_id long, counter int").select(F.col("machine_id").cast(kind), "counter")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = bounded_counter(rows.select(keyed, "id", "ts", "step"), start=start, **chunking).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["id"]: r["anomaly_counter"] for r in out}
+    x = {1: 13, 2: 20}
+    assert len(out) == len(raw)
+    for machine, i, _, step in in_order(raw):
+        x[machine] = 0 if step == 0 else min(20, max(0, x.get(machine, 0) + step))
+        assert got[i] == x[machine]
+
+
+def test_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3, float(i)) for i in range(90)], "id long, machine_id int, x double")
+    want = {k: median([float(i) for i in range(90) if (None if i % 3 == 0 else i % 3) == k]) for k in (None, 1, 2)}
+    assert {r["machine_id"]: r["median"] for r in selection.exact_medians(rows, ["x"], ["machine_id"]).collect()} == want
+    holes = rows.withColumn("x", F.when(F.col("id") > 8, F.col("x")))
+    filled = {r["id"]: r["x"] for r in prepare.impute_by(holes, ["x"], ["machine_id"]).collect()}
+    assert len(filled) == 90 and filled[0] == median([float(i) for i in range(9, 90, 3)])
+    scaled = {r["id"]: r["x"] for r in scale_by(rows, ["x"], ["machine_id"]).collect()}
+    assert scaled[0] == 0.0 and scaled[87] == 1.0
+    for few in (100_000, 5):
+        selection._RANKED, old = few, selection._RANKED
+        try:
+            tests = [r["machine_id"] for r in selection.stratified_split(rows, "machine_id", "id").where("is_test").collect()]
+        finally:
+            selection._RANKED = old
+        assert sorted(tests, key=str) == [1] * 9 + [2] * 9 + [None] * 9
+
+
+def test_saved_statistics_are_not_cut(spark):
+    table = spark.createDataFrame([(i, 0.0, float(i)) for i in range(3)], "sensor_idx int, min double, max double")
+    assert Scaler.from_table(table).high == (0.0, 1.0, 2.0)
+    for wrong in (table.where("sensor_idx <> 1"), table.union(table), spark.range(10_001).selectExpr("CAST(id AS int) AS sensor_idx", "0D AS min", "1D AS max")):
+        with pytest.raises(ValueError):
+            Scaler.from_table(wrong)
+    with pytest.raises(ValueError):
+        prepare.Imputer.load(spark.range(10_001).selectExpr("CAST(id AS string) AS column", "0D AS median"))
 
 
 def test_counter_restarts_with_a_new_threshold(spark):
