@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
+from functools import lru_cache
+
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def vocabulary(name: str) -> str:
@@ -23,26 +28,64 @@ class WordEncoder:
     """Ids for vocabularies whose pre-tokenizer drops white space, as little-endian 32-bit bytes.
 
     Such a vocabulary encodes what lies between two blanks alone, whatever stands
-    around it, so the ids of a text are those of its chunks in a row. Each chunk
-    is encoded once and kept; the store is emptied when it is full.
+    around it, so the ids of a text are those of its chunks in a row. It also
+    folds case and parts letters from marks, so a word is encoded once for all
+    its forms with capitals, a full stop or a comma. What was encoded is kept in
+    two generations of at most ``keep`` chunks; the older one goes when the
+    younger is full, and chunks still in use move on.
     """
 
-    def __init__(self, path: str, keep: int = 200_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def __call__(self, text: str | None) -> bytes:
         chunks = (text or "").replace("\n", " ").split(" ")
         known = self.known
         if new := {c for c in chunks if c not in known}:
             if len(known) + len(new) > self.keep:
-                known = self.known = {"": b""}
-                new = {c for c in chunks if c}
-            names = list(new)
-            for name, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
-                known[name] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+                known, self.old = {"": b""}, known
+                self.known, new = known, set(chunks)
+            self._learn(new)
         return b"".join([known[c] for c in chunks])
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, old = self.known, self.old
+        forms, missing = [], set()
+        for chunk in chunks:
+            if chunk in old:
+                known[chunk] = old[chunk]
+                continue
+            word = chunk.rstrip(".,")
+            if not word or not word[-1].isalpha():
+                word = chunk
+            plain = word.lower() if word.isascii() and word.isalpha() else word
+            forms.append((chunk, plain, chunk[len(word) :]))
+            if plain not in known:
+                if plain in old:
+                    known[plain] = old[plain]
+                else:
+                    missing.add(plain)
+        known.update(self._encode(list(missing)))
+        for chunk, plain, marks in forms:
+            if marks not in self.marks:
+                if len(self.marks) > 1000:
+                    self.marks = {"": b""}
+                self.marks.update(self._encode([marks]))
+            known[chunk] = known[plain] + self.marks[marks]
+
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) if chunks else []
+        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, encoded)}
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker; what it has learned serves the worker's later tasks."""
+    return WordEncoder(path)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import WordEncoder
+from .encoding import word_encoder
 
 POOL = 256
 _ROWS = 512  # pieces in an output batch
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits = Lim
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordEncoder(vocabulary), Packer(limits)
+        encode, packer = word_encoder(vocabulary), Packer(limits)
         number = TaskContext.get().partitionId() << 36
         out: list[tuple] = []
 
