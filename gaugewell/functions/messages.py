@@ -42,15 +42,17 @@ def _filled(parsed: str, schema: T.StructType) -> list[Column]:
     return [F.expr(text(f)) for f in schema.fields]
 
 
-def _only_value(text: Column) -> Column:
-    """The text of the one JSON value in ``text``; NULL if it is malformed or something follows the value.
+def _with_only_value(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the text of the one JSON value in ``value``; NULL if it is malformed or something follows the value.
 
     A parser stops behind the first value. So the text is put before an end mark
-    that nobody can know, as a list of two, and both have to be found.
+    that nobody can know, as a list of two, and both have to be found. The list
+    is a column of its own, so that it is parsed once.
     """
     mark = uuid.uuid4().hex
-    both = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{mark}"]')), T.ArrayType(T.StringType()), _STRICT)
-    return F.when((F.size(both) == 2) & (F.get(both, F.lit(1)) == mark), F.get(both, F.lit(0)))
+    both = F.from_json(F.concat(F.lit("["), F.col(value), F.lit(f',"{mark}"]')), T.ArrayType(T.StringType()), _STRICT)
+    found = (F.size("_both") == 2) & (F.get("_both", F.lit(1)) == mark)
+    return rows.withColumn("_both", both).withColumn(name, F.when(found, F.get("_both", F.lit(0)))).drop("_both")
 
 
 def _infinite(parsed: str, schema: T.StructType) -> Column:
@@ -62,20 +64,24 @@ def _infinite(parsed: str, schema: T.StructType) -> Column:
     return F.expr(f"exists(array({listed}), v -> coalesce(isnan(v) OR abs(v) = double('infinity'), false))")
 
 
-def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructType | None = None) -> DataFrame:
+def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructType | None = None, single: bool = False) -> DataFrame:
     """One object per message. Adds the reading's fields and ``malformed``.
 
     A field of the wrong type makes the whole message malformed even though
     the parser fills in the other fields, so the corrupt-record column decides.
     So do a second value or other text behind the object, NaN, numbers beyond
     the type's range and single-quoted text. Fields outside the schema are ignored.
+    ``single`` says that each text is known to be one value.
     """
     schema = schema or reading_schema()
     strict = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     parsed = F.from_json(F.col(value), strict, {"columnNameOfCorruptRecord": _BAD, **_STRICT})
-    staged = messages.withColumns({"_parsed": parsed, "_whole": _only_value(F.col(value)).isNotNull()})
+    whole = messages if single else _with_only_value(messages, value, "_whole")
+    staged = whole.withColumn("_parsed", parsed)
     row = F.col("_parsed")
-    malformed = row.isNull() | row[_BAD].isNotNull() | ~F.coalesce("_whole", F.lit(False)) | _infinite("_parsed", schema)
+    malformed = row.isNull() | row[_BAD].isNotNull() | _infinite("_parsed", schema)
+    if not single:
+        malformed = malformed | F.col("_whole").isNull()
     return staged.select(*messages.columns, malformed.alias("malformed"), *_filled("_parsed", schema))
 
 
@@ -85,13 +91,12 @@ def decode_arrays(bodies: DataFrame, value: str = "value", schema: T.StructType
     A body that is not an array, or has text behind it, comes back as one
     malformed row; an empty array gives no rows.
     """
-    body = _only_value(F.col(value))
-    items = F.when(F.ltrim(body).startswith("["), F.from_json(body, T.ArrayType(T.StringType()), _STRICT))
+    items = F.when(F.ltrim("_body").startswith("["), F.from_json("_body", T.ArrayType(T.StringType()), _STRICT))
     kept = [c for c in bodies.columns if c != value]
-    lists = bodies.select(*kept, F.coalesce(items, F.array(F.lit(None).cast("string"))).alias("_items"))
+    lists = _with_only_value(bodies, value, "_body").select(*kept, F.coalesce(items, F.array(F.lit(None).cast("string"))).alias("_items"))
     exploded = lists.select(*kept, F.posexplode("_items").alias("position", value))
-    decoded = decode_messages(exploded, value, schema)
-    return decoded.drop(value)
+    # the items of a list are single values
+    return decode_messages(exploded, value, schema, single=True).drop(value)
 
 
 def rejects(decoded: DataFrame, value: str = "value") -> DataFrame:

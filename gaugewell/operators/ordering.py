@@ -20,7 +20,8 @@ CHUNK = "_chunk"
 SPLIT = "_split"
 _BIN = "_bin"
 
-MIN_CHUNK_ROWS = 1_000_000
+# Rows of a key that one task may hold in order; more are cut into chunks of this size.
+MIN_CHUNK_ROWS = 50_000
 BIN_HOURS = 1
 _MICROS = BIN_HOURS * 3_600_000_000
 # An hour that is too large is cut at these quantiles; 2**10 - 1 of them make a 10-step binary search.

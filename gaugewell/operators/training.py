@@ -176,3 +176,38 @@ def train_autoencoder(
         data.unpersist()
     stopped = len(losses) < epochs or should_stop(losses, patience)
     return TrainedModel(Weights(tuple(_unpack(w, shapes))), scaler, tuple(losses), stopped)
+
+
+def full_batch_step(rows: DataFrame, weights: Weights, scaler: Scaler, sensors: list[str] = SENSORS) -> tuple[Weights, float]:
+    """One first Adam step on the mean loss of all rows, and that loss.
+
+    The gradient is summed by Spark: each Arrow batch adds its own, and one record
+    per parameter comes back.
+    """
+    layers = list(weights.layers)
+    shapes = [layer.shape for layer in layers]
+    low, high = np.array(scaler.low, dtype=float), np.array(scaler.high, dtype=float)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss, seen = 0.0, 0.0, 0
+        for batch in batches:
+            column = batch.column(0)
+            if not len(column):
+                continue
+            x = scale_rows(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1), low, high, "train")
+            mine, gradient = loss_and_gradient(layers, x)
+            total, loss, seen = total + _pack(gradient) * len(x), loss + mine * len(x), seen + len(x)
+        if seen:
+            # the loss rides along as a last position
+            values = np.append(total, loss)
+            at = np.arange(len(values), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(values), pa.array(np.full(len(values), seen))], ["position", "total", "seen"])
+
+    sums = rows.select(sensor_array(sensors).alias("x")).mapInArrow(add, "position int, total double, seen long")
+    mean = sums.groupBy("position").agg((F.sum("total") / F.sum("seen")).alias("g")).orderBy("position").collect()
+    if not mean:
+        raise ValueError("no rows to train on")
+    gradient = np.array([r["g"] for r in mean])
+    flat = _pack(layers)
+    flat, _, _ = _adam(flat, np.zeros_like(flat), np.zeros_like(flat), gradient[:-1], 1)
+    return Weights(tuple(_unpack(flat, shapes))), float(gradient[-1])

@@ -15,8 +15,9 @@ from gaugewell.operators.scaler import Scaler
 from gaugewell.operators.selection import not_null
 from gaugewell.operators.training import TrainedModel, train_autoencoder
 from gaugewell.schema import SENSORS
+from gaugewell.session import scratch_path
 from gaugewell.sources.readers import read_history
-from gaugewell.sources.writers import write_scaler, write_scored, write_weights
+from gaugewell.sources.writers import write_scaler_version, write_scored, write_weights
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,13 @@ def evaluate(rows: DataFrame, weights: Weights, scaler: Scaler, sensors: list[st
     return rows.withColumn("reconstruction_errors", error)
 
 
-def breakdown_report(scored: DataFrame, machine: str | None = None, tie: str = "id") -> DataFrame:
+def _stored(rows: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def breakdown_report(scored: DataFrame, machine: str | None = None, tie: str = "timestamp") -> DataFrame:
     """Scored rows around each breakdown, tagged with the plot series of their state."""
     around = breakdown_windows(not_null(scored), tie=tie, machine=machine)
     return by_status(around)
@@ -60,12 +67,13 @@ def run_offline(
     sensors: list[str] = SENSORS,
 ) -> OfflineRun:
     """Train on a history, store scaler and weights, score the same history."""
-    history = read_history(spark, history_path, sensors)
+    # the text is parsed once; medians, scaler, training and scoring read the Parquet copy
+    history = _stored(read_history(spark, history_path, sensors), "history")
     imputer = Imputer.fit(history)
-    cleaned = clean(history, imputer)
+    cleaned = _stored(clean(history, imputer), "cleaned")
     learn = training_rows(cleaned, exclude).withColumn("id", F.unix_micros("timestamp"))
     model = train_autoencoder(learn, sensors, epochs=epochs, partitions=partitions)
-    write_scaler(model.scaler.to_table(spark), f"{output_path}/scaler")
+    write_scaler_version(model.scaler.to_table(spark), version, f"{output_path}/scaler")
     write_weights(model.weights.to_table(spark, version), f"{output_path}/weights")
     scored = evaluate(cleaned, model.weights, model.scaler, sensors)
     write_scored(scored, f"{output_path}/scored")

@@ -30,7 +30,7 @@ from gaugewell.operators.thresholds import (
     latest_thresholds,
     without_threshold,
 )
-from gaugewell.operators.training import train_autoencoder
+from gaugewell.operators.training import full_batch_step, train_autoencoder
 from gaugewell.plans import offline, panels, serving
 from gaugewell.schema import ORIGIN_BATCH, ORIGIN_STREAM, SENSOR_BANDS, SENSORS
 from gaugewell.session import scratch_path
@@ -647,13 +647,78 @@ def evaluate_scores(spark, sf_dir):
     return spark.read.parquet(path).select("id", "ts", "machine_status", "sensor_00", _r("reconstruction_errors"))
 
 
-@check("train_autoencoder")
+_SHAPES = ", ".join(f"({n}, {(a + 1) * b})" for n, (a, b) in enumerate(zip(ae.WIDTHS, ae.WIDTHS[1:])))
+
+
+@check(
+    "train_autoencoder",
+    f"""SELECT CAST(layer AS INTEGER) AS layer, CAST(n AS BIGINT) AS weights, true AS finite, true AS loss_fell FROM (VALUES {_SHAPES}) t(layer, n)
+        WHERE (SELECT count(*) FROM embeddings) > 0""",
+)
 def train(spark, sf_dir):
     rows = exclude_before_failure(vectors(spark, sf_dir), "ts", machine="machine_id", hours=1 / 3600)
-    model = train_autoencoder(rows, epochs=5, partitions=4)
+    model = train_autoencoder(rows)
     path = scratch_path(spark, "weights")
     writers.write_weights(model.weights.to_table(spark, "0.0.1"), path)
-    return spark.read.parquet(path)
+    finite = F.min(~F.isnan("value") & (F.abs("value") < float("inf")))
+    table = readers.read_weights(spark, path).groupBy("layer").agg(F.count("*").alias("weights"), finite.alias("finite"))
+    return table.withColumn("loss_fell", F.lit(model.losses[-1] < model.losses[0] and model.losses[-1] == min(model.losses[-5:])) | F.lit(model.stopped_early))
+
+
+def _sql_step() -> str:
+    """One Adam step on all rows in long form: (id, column, value) per layer."""
+    weight = lambda n, r, c: f"(((({r}) * 7 + ({c}) * 13 + {n * 5}) % 11) - 5) / 20.0::DOUBLE"
+    last = len(ae.WIDTHS) - 1
+    parts = ["a0 AS (SELECT id, i - 1 AS r, x[i] AS v FROM x, range(1, 53) t(i))"]
+    for n in range(last):
+        total = f"sum(v * ({weight(n, 'r', 'c')})) + {weight(n, str(ae.WIDTHS[n]), 'c')}"
+        value = f"greatest(0.0, {total})" if n < last - 1 else total
+        parts.append(f"a{n + 1} AS (SELECT id, c AS r, {value} AS v FROM a{n}, range(0, {ae.WIDTHS[n + 1]}) t(c) GROUP BY id, c)")
+    parts.append(f"u{last} AS (SELECT o.id, o.r AS c, 2 * (o.v - i.v) / (52.0 * (SELECT count(*) FROM embeddings)) AS u FROM a{last} o JOIN a0 i ON o.id = i.id AND o.r = i.r)")
+    for n in range(last - 1, -1, -1):
+        parts.append(
+            f"g{n} AS (SELECT a.r, u.c, sum(a.v * u.u) AS g FROM a{n} a JOIN u{n + 1} u USING (id) GROUP BY a.r, u.c"
+            f" UNION ALL SELECT {ae.WIDTHS[n]}, c, sum(u) FROM u{n + 1} GROUP BY c)"
+        )
+        if n:
+            parts.append(
+                f"u{n} AS (SELECT u.id, a.r AS c, sum(u.u * ({weight(n, 'a.r', 'u.c')})) * max(CASE WHEN a.v > 0 THEN 1.0 ELSE 0.0 END) AS u"
+                f" FROM u{n + 1} u JOIN a{n} a USING (id) GROUP BY u.id, a.r)"
+            )
+    moved = lambda n: f"{weight(n, 'r', 'c')} - 0.001 * g / (abs(g) + 1e-8)"
+    rows = " UNION ALL ".join(
+        f'SELECT CAST({n} AS INTEGER) AS layer, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round({moved(n)}, 6) AS value FROM g{n}' for n in range(last)
+    )
+    return f"WITH {SCORED.split('h1 AS')[0].rstrip().rstrip(',')}, {', '.join(parts)} {rows}"
+
+
+@check("train_step", _sql_step())
+def train_step(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    stepped, _ = full_batch_step(rows, formula_weights(), Scaler.fit(rows))
+    return stepped.to_table(spark, "1").select("layer", "row", "col", _r("value"))
+
+
+@check("score_loaded", f"WITH {SCORED} SELECT id, round(e, 6) AS reconstruction_error FROM scored")
+def score_loaded(spark, sf_dir):
+    """The model is stored with two versions and loaded by its version."""
+    path = scratch_path(spark, "model")
+    scorer(spark, sf_dir).save(spark, path, "0.0.1")
+    other = Scaler(tuple([0.0] * 52), tuple([1.0] * 52))
+    serving.Scorer(ae.Weights.initial(ae.WIDTHS, 1), other).save(spark, path, "0.0.2")
+    loaded = serving.Scorer.load(spark, path, "0.0.1")
+    return loaded(vectors(spark, sf_dir)).select("id", _r("reconstruction_error"))
+
+
+@check(
+    "history_messages",
+    f"""WITH {WIDE} SELECT CAST(7 AS INTEGER) AS machine_id, {', '.join(f'coalesce({s}, 0.0) AS {s}' for s in WIDE_SENSORS)}, machine_status FROM wide""",
+)
+def history_messages(spark, sf_dir):
+    texts = readers.history_messages(spark, _history_csv(spark, sf_dir), 7, WIDE_SENSORS)
+    fields = [f for f in msg.reading_schema().fields if f.name in ("machine_id", *WIDE_SENSORS)]
+    schema = T.StructType([*fields, T.StructField("machine_status", T.StringType())])
+    return msg.accepted(msg.decode_messages(texts, schema=schema)).drop("value")
 
 
 # --- thresholds, anomalies, counters ------------------------------------------
@@ -857,7 +922,7 @@ MONITORED = f"""{SCORED}, {VECTORS}, {VECTOR_THRESHOLDS}, base AS (
          row_number() OVER (PARTITION BY machine_id ORDER BY v.ts, v.id) AS rn,
          row_number() OVER (ORDER BY v.ts, v.id) AS seq
   FROM vectors v JOIN scored s USING (id) JOIN vthr t USING (machine_id)), {_walk('base')},
-monitoring AS (SELECT (1::BIGINT << 40) + b.seq AS id, make_timestamp(((epoch_us(b.ts) + 500000) // 1000000) * 1000000) AS created_at,
+monitoring AS (SELECT (1::BIGINT << 30) + b.seq AS id, make_timestamp(((epoch_us(b.ts) + 500000) // 1000000) * 1000000) AS created_at,
   b.machine_id, {', '.join('b.' + s for s in SENSORS)}, CAST(NULL AS DOUBLE) AS sensor_52, round(b.e, 6) AS reconstruction_error,
   b.anomaly, CAST(w.c AS INTEGER) AS anomaly_counter, '{ORIGIN_BATCH}' AS origin
   FROM base b JOIN walk w USING (machine_id, rn))"""
@@ -882,6 +947,56 @@ def monitoring_append(spark, sf_dir):
     return _shown(readers.read_monitoring(spark, _monitoring(spark, sf_dir)))
 
 
+@check(
+    "monitoring_two_writers",
+    f"""WITH RECURSIVE {MONITORED} SELECT id + (2::BIGINT << 30) AS id, * EXCLUDE (id) FROM monitoring
+        UNION ALL SELECT id + (((1::BIGINT << 26) + 2) << 30), * EXCLUDE (id) REPLACE ('{ORIGIN_STREAM}' AS origin) FROM monitoring""",
+)
+def monitoring_two_writers(spark, sf_dir):
+    """Both origins store an append of the same number, and each repeats it."""
+    raw, path = vectors(spark, sf_dir), scratch_path(spark, "monitoring")
+    counted = serving.score_batch(raw, scorer(spark, sf_dir), vector_thresholds(spark, sf_dir))
+    arrival = plan_chunks(raw, [], "ts", "id")
+    for origin in (ORIGIN_BATCH, ORIGIN_STREAM) * 2:
+        writer = writers.writer_of(origin)
+        rows = writers.monitoring_rows(counted, origin, 3, ingested_at="ts", writer=writer, chunks=arrival)
+        writers.append_monitoring(rows, path, 3, writer=writer)
+    return _shown(readers.read_monitoring(spark, path))
+
+
+@check(
+    "batch_request",
+    f"""WITH RECURSIVE {SCORED}, {VECTORS}, {VECTOR_THRESHOLDS},
+        q AS (SELECT *, n // 20 AS batch_id, n % 20 AS position FROM (
+                SELECT v.id, machine_id, e, row_number() OVER (ORDER BY ts, v.id) - 1 AS n FROM vectors v JOIN scored s USING (id))),
+        base AS (SELECT q.*, CASE WHEN e > threshold THEN 1 ELSE -1 END AS step, row_number() OVER (PARTITION BY machine_id ORDER BY n) AS rn
+                 FROM q JOIN vthr USING (machine_id) WHERE batch_id % 7 <> 2), {_walk('base')},
+        a AS (SELECT batch_id, string_agg(CAST(CAST(round(e * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY position) AS errors,
+                     CAST(arg_max(c, position) AS INTEGER) AS anomaly_counter FROM base JOIN walk USING (machine_id, rn) GROUP BY batch_id)
+        SELECT CAST(batch_id AS BIGINT) AS batch_id, any_value(errors) AS errors, any_value(anomaly_counter) AS anomaly_counter,
+               CASE WHEN batch_id % 7 = 2 THEN 1::BIGINT ELSE 0 END AS malformed,
+               count(*) FILTER (WHERE batch_id % 7 <> 2 AND machine_id NOT IN (SELECT machine_id FROM vthr)) AS no_threshold
+        FROM q LEFT JOIN a USING (batch_id) GROUP BY batch_id""",
+)
+def batch_request(spark, sf_dir):
+    """Requests of 20 readings, some cut off: decode, score, flag, count, store, answer, refuse."""
+    requests = _requests(vectors(spark, sf_dir))
+    cut = F.when(F.col("batch_id") % 7 == 2, F.expr("substr(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    table = scratch_path(spark, "monitoring")
+    served = serving.serve_batch(requests.withColumn("value", cut), scorer(spark, sf_dir), vector_thresholds(spark, sf_dir), table, 1)
+    count = lambda reason: F.sum((F.col("reason") == reason).cast("long")).alias(reason)
+    refused = served.rejects.groupBy("batch_id").agg(count(serving.MALFORMED), count(serving.NO_THRESHOLD))
+    both = served.response.join(refused, "batch_id", "full")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in (serving.MALFORMED, serving.NO_THRESHOLD)]
+    return both.select("batch_id", _millionths("reconstruction_errors").alias("errors"), "anomaly_counter", *zero)
+
+
+def _requests(rows: DataFrame) -> DataFrame:
+    batched = assign_batches(rows)
+    times = batched.groupBy("batch_id").agg(F.min("ts").alias("ts"))
+    return msg.encode_batches(batched).withColumnRenamed("body", "value").join(times, "batch_id")
+
+
 @check(
     "panel_error",
     f"""WITH RECURSIVE {MONITORED} SELECT id, created_at, reconstruction_error,
@@ -935,13 +1050,14 @@ def panel_bands(spark, sf_dir):
 # --- streaming ----------------------------------------------------------------
 
 
-def _drain(spark, job: MonitorJob, start, rows: DataFrame, schema: T.StructType, slices: int = 3) -> DataFrame:
+def _drain(spark, job: MonitorJob, start, rows: DataFrame, schema: T.StructType, slices: int = 3, spoil: Column | None = None) -> DataFrame:
     """Publish the rows in time slices; the job is restarted for each and picks up where it stopped."""
     inbox = scratch_path(spark, "inbox")
     edge = rows.agg(F.max("id").alias("top")).first()["top"] + 1
     for part in range(slices):
         mine = rows.where(F.floor(F.col("id") * slices / F.lit(edge)) == part)
-        writers.publish_files(mine.select(F.to_json(F.struct("*")).alias("value")), inbox)
+        texts = mine.select("id", F.to_json(F.struct("*")).alias("value"))
+        writers.publish_files(texts.select((F.col("value") if spoil is None else spoil).alias("value")), inbox)
         decoded = msg.decode_messages(readers.stream_messages(spark, inbox), schema=schema)
         start(job, decoded).awaitTermination()
     return readers.read_monitoring(spark, job.table)
@@ -1008,3 +1124,29 @@ def stream_threshold_update(spark, sf_dir):
 
     table = _drain(spark, _job(spark), start, rows, schema)
     return _shown(table.select("created_at", "machine_id", "reconstruction_error", "anomaly", "anomaly_counter"))
+
+
+@check(
+    "stream_rejects",
+    f"""WITH {READINGS}, {SOME_THRESHOLDS}, m AS (SELECT r.*, t.threshold FROM readings r LEFT JOIN thresholds t USING (machine_id))
+        SELECT CASE WHEN id % 10 <> 3 THEN CAST(machine_id AS INTEGER) END AS machine_id,
+               CASE WHEN id % 10 = 3 THEN 'malformed' WHEN id % 9 = 4 THEN 'no_score' WHEN threshold IS NULL THEN 'no_threshold' ELSE 'stored' END AS reason
+        FROM m""",
+)
+def stream_rejects(spark, sf_dir):
+    """Every message of a stream is stored or refused with a reason."""
+    rows = readings(spark, sf_dir).select(
+        "id", F.col("ts").cast("timestamp").alias("ts"), "machine_id", F.when(F.col("id") % 9 != 4, F.col("reconstruction_error")).alias("score")
+    )
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("machine_id", T.IntegerType()),
+                           T.StructField("score", T.StringType())])
+    spoil = F.when(F.col("id") % 10 == 3, F.expr("substr(value, 1, length(value) - 2)")).otherwise(F.col("value"))
+    limits = some_thresholds(spark, sf_dir)
+
+    def start(job: MonitorJob, decoded: DataFrame):
+        return job.start(decoded.withColumn("reconstruction_error", F.col("score").cast("double")).drop("score"), None, limits, availableNow=True)
+
+    job = _job(spark)
+    table = _drain(spark, job, start, rows, schema, spoil=spoil)
+    refused = spark.read.parquet(job.rejected).select(F.when(F.col("reason") != "malformed", F.col("machine_id")).alias("machine_id"), "reason")
+    return table.select("machine_id", F.lit("stored").alias("reason")).unionByName(refused)

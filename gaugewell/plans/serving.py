@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewell.functions.messages import decode_arrays
 from gaugewell.functions.scalar import anomaly_flag, sensor_array
 from gaugewell.operators.autoencoder import Weights, reconstruction_error
 from gaugewell.operators.counter import DOWN, RESET, UP, bounded_counter
 from gaugewell.operators.ordering import carry_value, plan_chunks
 from gaugewell.operators.scaler import Scaler
 from gaugewell.operators.thresholds import attach_threshold, merge_events
-from gaugewell.schema import SENSORS
+from gaugewell.schema import ORIGIN_BATCH, SENSORS
+from gaugewell.session import scratch_path
+from gaugewell.sources.readers import read_scaler_version, read_weights
+from gaugewell.sources.writers import append_monitoring, monitoring_rows, write_scaler_version, write_weights
+
+# Why a reading was refused.
+MALFORMED, NO_SCORE, NO_THRESHOLD = "malformed", "no_score", "no_threshold"
+# Readings of one request.
+REQUEST_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -26,16 +35,34 @@ class Scorer:
     rule: str = "serve"
     on_error: str = "reject"
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: str, **options) -> Scorer:
+        """The stored model of a version, weights and scaler alike."""
+        weights = Weights.from_table(read_weights(spark, f"{path}/weights"), version)
+        scaler = Scaler.from_table(read_scaler_version(spark, f"{path}/scaler", version))
+        return cls(weights, scaler, **options)
+
+    def save(self, spark: SparkSession, path: str, version: str) -> None:
+        write_weights(self.weights.to_table(spark, version), f"{path}/weights")
+        write_scaler_version(self.scaler.to_table(spark), version, f"{path}/scaler")
+
     def __call__(self, readings: DataFrame, name: str = "reconstruction_error") -> DataFrame:
         error = reconstruction_error(sensor_array(self.sensors), self.weights, self.scaler, self.rule, self.on_error)
         return readings.withColumn(name, error)
 
 
+def judge(scored: DataFrame, thresholds: DataFrame, error: str = "reconstruction_error") -> DataFrame:
+    """Add threshold, anomaly and, where a reading cannot be judged, the ``reason``."""
+    joined = attach_threshold(scored, thresholds)
+    return joined.withColumns({
+        "anomaly": anomaly_flag(F.col(error), F.col("threshold")),
+        "reason": F.when(F.col(error).isNull(), NO_SCORE).when(F.col("threshold").isNull(), NO_THRESHOLD),
+    })
+
+
 def flag_anomalies(scored: DataFrame, thresholds: DataFrame, error: str = "reconstruction_error") -> DataFrame:
     """Add threshold and anomaly. Readings without threshold or score are left out and move no counter."""
-    joined = attach_threshold(scored, thresholds)
-    usable = joined.where(F.col("threshold").isNotNull() & F.col(error).isNotNull())
-    return usable.withColumn("anomaly", anomaly_flag(F.col(error), F.col("threshold")))
+    return judge(scored, thresholds, error).where(F.col("reason").isNull()).drop("reason")
 
 
 def count_anomalies(flagged: DataFrame, ts: str = "ts", tie: str = "id", start: DataFrame | None = None, **chunking) -> DataFrame:
@@ -107,3 +134,56 @@ def batch_response(counted: DataFrame, batch: str = "batch_id", seq: str = "seq"
         F.transform("_items", lambda i: i["error"]).alias("reconstruction_errors"),
         F.element_at("_items", -1)["counter"].alias("anomaly_counter"),
     )
+
+
+@dataclass(frozen=True)
+class Served:
+    """What a batch of requests gave."""
+
+    response: DataFrame  # batch_id, reconstruction_errors, anomaly_counter
+    rejects: DataFrame  # batch_id, position, machine_id, reason
+
+
+def serve_batch(
+    requests: DataFrame,
+    scorer: Scorer,
+    thresholds: DataFrame,
+    table: str,
+    append_id: int,
+    origin: str = ORIGIN_BATCH,
+    writer: int = 0,
+    **chunking,
+) -> Served:
+    """Answer requests (batch_id, ts, value: a JSON array of readings) and store their readings.
+
+    A request with a malformed reading is refused as a whole; readings without
+    score or threshold are refused one by one and move no counter. Bodies are
+    decoded and scored once and stored in the shared folder; everything behind
+    reads from there, the look for busy machines only three narrow columns.
+    """
+    spark = requests.sparkSession
+    decoded = decode_arrays(requests.select("batch_id", "ts", "value"))
+    place = F.when(F.col("position") < 1 << REQUEST_BITS, F.col("position")).otherwise(
+        F.raise_error(F.lit(f"a request holds at most {1 << REQUEST_BITS} readings")).cast("int")
+    )
+    known = scorer(decoded.withColumn("id", F.shiftleft(F.col("batch_id"), REQUEST_BITS) + place))
+    path = scratch_path(spark, "requests")
+    known.write.parquet(path)
+    readings = spark.read.schema(known.schema).parquet(path)
+
+    bad = readings.where("malformed").select("batch_id").distinct()
+    judged = judge(readings.join(bad, "batch_id", "left_anti"), thresholds)
+    usable = judged.where(F.col("reason").isNull()).drop("reason", "malformed")
+    plan = plan_chunks(readings, ["machine_id"], "ts", "id", **chunking)
+    counted = count_anomalies(usable, chunks=plan)
+    done = scratch_path(spark, "counted")
+    counted.write.parquet(done)
+    counted = spark.read.schema(counted.schema).parquet(done)
+    arrival = plan_chunks(readings, [], "ts", "id", **chunking)
+    rows = monitoring_rows(counted, origin, append_id, ingested_at="ts", writer=writer, chunks=arrival)
+    append_monitoring(rows, table, append_id, writer=writer)
+
+    keys = ["batch_id", "position", "machine_id"]
+    refused = readings.join(bad, "batch_id", "left_semi").select(*keys, F.lit(MALFORMED).alias("reason"))
+    lost = judged.where(F.col("reason").isNotNull()).select(*keys, "reason")
+    return Served(batch_response(counted, seq="position"), refused.unionByName(lost))

@@ -92,6 +92,9 @@ MONITORING_SENSORS = [*SENSORS, f"sensor_{SENSOR_COUNT:02d}"]
 # The stored table is split by machine_id modulo this number, however many machines there are.
 MACHINE_BUCKETS = 16
 
+# An id of the stored table is the writer, its append, and the row within the append, in these bits.
+WRITER_BITS, APPEND_BITS, ROW_BITS = 7, 26, 30
+
 MONITORING_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()),

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gaugewell.functions.messages import encode_reading
+from gaugewell.functions.scalar import parse_or_zero
 from gaugewell.operators.selection import not_null
-from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA, SCALER_SCHEMA, SENSORS, history_schema
+from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA, SCALER_SCHEMA, SENSORS, WEIGHTS_SCHEMA, history_schema
 
 # Fixed value: the time text of the sensor history.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -63,6 +66,24 @@ def read_scaler(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCALER_SCHEMA).parquet(path)
 
 
+def read_scaler_version(spark: SparkSession, path: str, version: str) -> DataFrame:
+    table = spark.read.schema(f"{_fields(SCALER_SCHEMA)}, version string").parquet(path)
+    return table.where(F.col("version") == version).drop("version")
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(WEIGHTS_SCHEMA).parquet(path)
+
+
+def history_messages(spark: SparkSession, path: str, machine_id: int, sensors: list[str] = SENSORS) -> DataFrame:
+    """A history as JSON messages of one machine. Cells that are no number are sent as 0."""
+    cells = T.StructType([T.StructField(f.name, T.StringType()) for f in history_schema(sensors).fields])
+    rows = spark.read.schema(cells).option("header", True).option("enforceSchema", True).csv(path)
+    numbers = [parse_or_zero(F.col(s)).alias(s) for s in sensors]
+    rows = rows.select(F.lit(machine_id).cast("int").alias("machine_id"), *numbers, "machine_status")
+    return rows.select(encode_reading(sensors).alias("value"))
+
+
 def read_scaler_csv(spark: SparkSession, path: str) -> DataFrame:
     """Two-column statistics file whose line order is the sensor order.
 
@@ -79,10 +100,10 @@ def read_scaler_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_monitoring(spark: SparkSession, path: str, machine_id: int | None = None, buckets: int = MACHINE_BUCKETS) -> DataFrame:
     """The monitoring table, or one machine of it read from its own bucket folders only."""
-    table = spark.read.schema(f"{_ddl()}, ingest_batch long, machine_bucket int").parquet(path)
+    table = spark.read.schema(f"{_ddl()}, writer int, ingest_batch long, machine_bucket int").parquet(path)
     if machine_id is not None:
         table = table.where((F.col("machine_bucket") == machine_id % buckets) & (F.col("machine_id") == machine_id))
-    return table.drop("ingest_batch", "machine_bucket")
+    return table.drop("writer", "ingest_batch", "machine_bucket")
 
 
 def read_monitoring_jdbc(spark: SparkSession, url: str, table: str = "monitoring", **options: str) -> DataFrame:
@@ -90,5 +111,9 @@ def read_monitoring_jdbc(spark: SparkSession, url: str, table: str = "monitoring
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def _fields(schema: T.StructType) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def _ddl() -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MONITORING_SCHEMA.fields)
+    return _fields(MONITORING_SCHEMA)

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions.scalar import round_to_second
 from gaugewell.operators.ordering import row_sequence
-from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA
-
-# Ids of one append lie in their own range of this many values.
-ID_RANGE = 1 << 40
+from gaugewell.schema import APPEND_BITS, MACHINE_BUCKETS, MONITORING_SCHEMA, ORIGIN_STREAM, ROW_BITS, WRITER_BITS
 
 
 def write_scored(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -25,6 +22,11 @@ def write_scaler(statistics: DataFrame, path: str) -> None:
     statistics.coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def write_scaler_version(statistics: DataFrame, version: str, path: str) -> None:
+    """The statistics of a model version, beside those already there."""
+    write_weights(statistics.withColumn("version", F.lit(version)), path)
+
+
 def write_scaler_csv(statistics: DataFrame, path: str) -> None:
     """One line per sensor in sensor order."""
     lines = statistics.orderBy("sensor_idx").coalesce(1)
@@ -42,6 +44,17 @@ def append_thresholds(history: DataFrame, path: str) -> None:
     history.write.mode("append").parquet(path)
 
 
+def writer_of(origin: str) -> int:
+    """The usual writer number of an origin; further writers of the same table take other numbers."""
+    return 1 if origin == ORIGIN_STREAM else 0
+
+
+def _append_key(writer: int, append_id: int) -> int:
+    if not (0 <= writer < 1 << WRITER_BITS and 0 <= append_id < 1 << APPEND_BITS):
+        raise ValueError(f"writer {writer} or append {append_id} is out of range")
+    return (writer << APPEND_BITS) + append_id
+
+
 def monitoring_rows(
     scored: DataFrame,
     origin: str,
@@ -49,17 +62,22 @@ def monitoring_rows(
     ingested_at: str | None = None,
     ts: str = "ts",
     tie: str = "id",
+    writer: int | None = None,
     **chunking,
 ) -> DataFrame:
     """Rows of the monitoring table, numbered in arrival order within the append.
 
     ``ingested_at`` names a column with the arrival time; without it the time
     of the job counts, as with a column default. Sensors the rows lack stay NULL.
+    Ids of different writers or appends never meet; an append with more rows than
+    its range of ids is an error.
     """
     numbered = row_sequence(scored, [], ts, tie, "_seq", **chunking)
     arrived = F.col(ingested_at) if ingested_at else F.current_timestamp()
+    first = _append_key(writer_of(origin) if writer is None else writer, append_id) << ROW_BITS
+    too_many = F.raise_error(F.lit(f"an append holds at most {1 << ROW_BITS} rows")).cast("long")
     values = {
-        "id": F.lit(append_id * ID_RANGE) + F.col("_seq"),
+        "id": F.when(F.col("_seq") < 1 << ROW_BITS, F.lit(first) + F.col("_seq")).otherwise(too_many),
         "created_at": round_to_second(arrived),
         "origin": F.lit(origin),
     }
@@ -73,20 +91,21 @@ def monitoring_rows(
     return numbered.select(*[stored(f) for f in MONITORING_SCHEMA.fields])
 
 
-def append_monitoring(rows: DataFrame, path: str, append_id: int, buckets: int = MACHINE_BUCKETS) -> None:
-    """Append under the folder of this append; repeating it replaces the same rows.
+def append_monitoring(rows: DataFrame, path: str, append_id: int, buckets: int = MACHINE_BUCKETS, writer: int = 0) -> None:
+    """Append under the folder of this writer and append; repeating it replaces the same rows.
 
     Within the append rows go to a fixed number of machine buckets. The rebalance
     hint groups a bucket's rows into files of the advisory size and splits a
     bucket that a busy machine made large.
     """
+    _append_key(writer, append_id)
     (
         rows.withColumn("machine_bucket", F.pmod(F.col("machine_id"), F.lit(buckets)).cast("int"))
         .hint("rebalance", "machine_bucket")
         .sortWithinPartitions("machine_bucket", "machine_id", "id")
         .write.mode("overwrite")
         .partitionBy("machine_bucket")
-        .parquet(f"{path}/ingest_batch={append_id}")
+        .parquet(f"{path}/writer={writer}/ingest_batch={append_id}")
     )
 
 

@@ -11,18 +11,21 @@ their own folder. Repeating n after a failure therefore gives the same result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugewell.functions.messages import accepted, rejects
+from gaugewell.functions.messages import accepted
 from gaugewell.operators.ordering import plan_chunks
-from gaugewell.plans.serving import Scorer, count_anomalies, count_with_history, flag_anomalies
+from gaugewell.plans.serving import MALFORMED, NO_SCORE, NO_THRESHOLD, Scorer, count_anomalies, count_with_history, flag_anomalies
 from gaugewell.schema import ORIGIN_STREAM
-from gaugewell.sources.writers import append_monitoring, monitoring_rows
+from gaugewell.sources.writers import append_monitoring, monitoring_rows, writer_of
 
 STATE = "machine_id int, threshold double, counter int"
 
@@ -64,16 +67,35 @@ class MonitorJob:
     checkpoint: str
     ts: str = "ts"
     tie: str = "id"
+    writer: int = writer_of(ORIGIN_STREAM)
 
     def _store(self, counted: DataFrame, raw: DataFrame, batch_id: int) -> None:
         arrival = plan_chunks(raw, [], self.ts, self.tie)
         rows = monitoring_rows(
-            counted, ORIGIN_STREAM, batch_id, ts=self.ts, tie=self.tie, ingested_at=self.ts, chunks=arrival
+            counted, ORIGIN_STREAM, batch_id, ts=self.ts, tie=self.tie, ingested_at=self.ts, writer=self.writer, chunks=arrival
         )
-        append_monitoring(rows, self.table, batch_id)
-
-    def _refuse(self, decoded: DataFrame, batch_id: int) -> None:
-        rejects(decoded).write.mode("overwrite").parquet(f"{self.rejected}/batch={batch_id}")
+        append_monitoring(rows, self.table, batch_id, writer=self.writer)
+
+    def _refuse(self, decoded: DataFrame, readings: DataFrame, counted: DataFrame, batch_id: int) -> None:
+        """What is not stored, with the reason: each message of the micro-batch is in one of the two tables."""
+        key = ["machine_id", self.ts, self.tie]
+        kept = [c for c in ("value", *key) if c in decoded.columns]
+        bad = decoded.where("malformed").select(*kept, F.lit(MALFORMED).alias("reason"))
+        there = counted.select(*[F.col(c).alias(f"_{c}") for c in key])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+        lost = readings.join(there, same, "left_anti")
+        reason = F.when(F.col("reconstruction_error").isNull(), NO_SCORE).otherwise(NO_THRESHOLD)
+        bad.unionByName(lost.select(*kept, reason.alias("reason"))).write.mode("overwrite").parquet(f"{self.rejected}/batch={batch_id}")
+
+    @contextmanager
+    def _kept(self, *frames: DataFrame) -> Iterator[None]:
+        for frame in frames:
+            frame.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield
+        finally:
+            for frame in frames:
+                frame.unpersist()
 
     def start(self, decoded: DataFrame, scorer: Scorer | None, thresholds: DataFrame, **trigger) -> StreamingQuery:
         """Score a stream of decoded messages against fixed thresholds.
@@ -83,18 +105,16 @@ class MonitorJob:
         states = StatePair(self.state)
 
         def handle(batch: DataFrame, batch_id: int) -> None:
-            batch.persist(StorageLevel.MEMORY_AND_DISK)
-            before = states.before(batch.sparkSession, batch_id)
-            chunks = plan_chunks(batch, ["machine_id"], self.ts, self.tie)
-            flagged = flag_anomalies(accepted(batch), thresholds)
-            start = before.select("machine_id", "counter")
-            counted = count_anomalies(flagged, self.ts, self.tie, start=start, chunks=chunks)
-            counted.persist(StorageLevel.MEMORY_AND_DISK)
-            self._store(counted, batch, batch_id)
-            self._refuse(batch, batch_id)
-            states.write(_advance(before, counted, self.ts, self.tie), batch_id)
-            counted.unpersist()
-            batch.unpersist()
+            with self._kept(batch):
+                before = states.before(batch.sparkSession, batch_id)
+                chunks = plan_chunks(batch, ["machine_id"], self.ts, self.tie)
+                good = accepted(batch)
+                start = before.select("machine_id", "counter")
+                counted = count_anomalies(flag_anomalies(good, thresholds), self.ts, self.tie, start=start, chunks=chunks)
+                with self._kept(counted):
+                    self._store(counted, batch, batch_id)
+                    self._refuse(batch, good, counted, batch_id)
+                    states.write(_advance(before, counted, self.ts, self.tie), batch_id)
 
         return self._run(scorer(decoded) if scorer else decoded, handle, **trigger)
 
@@ -108,23 +128,22 @@ class MonitorJob:
         states = StatePair(self.state)
 
         def handle(batch: DataFrame, batch_id: int) -> None:
-            batch.persist(StorageLevel.MEMORY_AND_DISK)
-            before = states.before(batch.sparkSession, batch_id)
-            good = accepted(batch)
-            written = good.where(F.col("set_threshold").isNotNull()).select(
-                "machine_id",
-                F.col("set_threshold").alias("threshold"),
-                F.col(self.ts).alias("effective_at"),
-                self.tie,
-            )
-            readings = good.where(F.col("set_threshold").isNull()).drop("set_threshold")
-            counted = count_with_history(readings, written, self.ts, self.tie, start=before, keep_control=True)
-            counted.persist(StorageLevel.MEMORY_AND_DISK)
-            self._store(counted.where(~F.col("is_control")), batch, batch_id)
-            self._refuse(batch, batch_id)
-            states.write(_advance(before, counted, self.ts, "event_order"), batch_id)
-            counted.unpersist()
-            batch.unpersist()
+            with self._kept(batch):
+                before = states.before(batch.sparkSession, batch_id)
+                good = accepted(batch)
+                written = good.where(F.col("set_threshold").isNotNull()).select(
+                    "machine_id",
+                    F.col("set_threshold").alias("threshold"),
+                    F.col(self.ts).alias("effective_at"),
+                    self.tie,
+                )
+                readings = good.where(F.col("set_threshold").isNull()).drop("set_threshold")
+                counted = count_with_history(readings, written, self.ts, self.tie, start=before, keep_control=True)
+                with self._kept(counted):
+                    stored = counted.where(~F.col("is_control"))
+                    self._store(stored, batch, batch_id)
+                    self._refuse(batch, readings, stored, batch_id)
+                    states.write(_advance(before, counted, self.ts, "event_order"), batch_id)
 
         return self._run(scorer(events) if scorer else events, handle, **trigger)
 
@@ -133,7 +152,6 @@ class MonitorJob:
         return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
-
 def throughput(query: StreamingQuery) -> dict[str, float]:
     """Rows, seconds and rows per second of the micro-batches the query still remembers."""
     progress = query.recentProgress

@@ -8,7 +8,7 @@ from gaugewell.operators import autoencoder as ae
 from gaugewell.operators import training
 from gaugewell.operators.scaler import Scaler
 from gaugewell.plans import offline, panels, serving
-from gaugewell.schema import MONITORING_SCHEMA, SENSORS
+from gaugewell.schema import ORIGIN_STREAM, MONITORING_SCHEMA, SENSORS
 from gaugewell.sources import readers, writers
 from gaugewell.streaming.monitor import StatePair
 
@@ -162,6 +162,13 @@ def test_monitoring_table(spark, tmp_path):
     table = readers.read_monitoring(spark, path)
     assert table.count() == 38 and table.agg(F.countDistinct("id")).first()[0] == 38
     assert table.where("sensor_52 IS NOT NULL").isEmpty()
+    # another writer with the same number has its own folder and ids
+    other = writers.monitoring_rows(counted_rows(spark), ORIGIN_STREAM, 2, ingested_at="ts")
+    writers.append_monitoring(other, str(tmp_path / "both"), 2, writer=1)
+    writers.append_monitoring(rows, str(tmp_path / "both"), 2)
+    assert readers.read_monitoring(spark, str(tmp_path / "both")).agg(F.countDistinct("id")).first()[0] == 76
+    with pytest.raises(ValueError):
+        writers.monitoring_rows(counted_rows(spark), "api", 1 << 26)
     one = readers.read_monitoring(spark, path, 7)
     got = [(r["created_at"].second, r["reconstruction_error"], r["severity"]) for r in panels.error_panel(spark, one, 7).collect()]
     assert got == [(4, 0.7, "orange"), (16, 2.7, "red")]
