@@ -64,13 +64,13 @@ def severity_counter(counter: Column) -> Column:
 
 
 def scale_train(x: Column, low: Column, high: Column) -> Column:
-    """Min-max scaling as in training: NaN and 0/0 become 0, infinities the float32 limits."""
+    """Min-max scaling as in training: NaN, 0/0 and a sensor without range become 0, infinities the float32 limits."""
     shifted = x - low
     ratio = F.nanvl(F.try_divide(shifted, high - low), F.lit(0.0))
     bounded = F.least(F.greatest(ratio, F.lit(-FLOAT32_MAX)), F.lit(FLOAT32_MAX))
     # no ratio: the range is zero, and only the direction is left
     direction = F.nanvl(F.signum(shifted), F.lit(0.0)) * F.lit(FLOAT32_MAX)
-    return F.when(x.isNotNull(), F.when(high != low, bounded).otherwise(direction))
+    return F.when(x.isNotNull(), F.coalesce(F.when(high != low, bounded).otherwise(direction), F.lit(0.0)))
 
 
 def scale_serve(x: Column, low: Column, high: Column) -> Column:

@@ -50,16 +50,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def join_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Fix the rows of a small table and mark it for broadcast, if it really is small.
+    """Fix the rows of a small table by writing it once, and mark it for broadcast if it really is small.
 
-    The check reads at most ``limit + 1`` rows. A larger table is written to the
-    shared folder instead, so that every later use sees the same rows too, and
-    the join shuffles (adaptive execution splits skewed keys).
+    Every later use sees the same rows, and nothing passes through the driver. Above
+    ``limit`` rows the join shuffles (adaptive execution splits skewed keys).
     """
-    spark = df.sparkSession
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return F.broadcast(spark.createDataFrame(rows, df.schema))
-    path = scratch_path(spark, "side")
+    path = scratch_path(df.sparkSession, "side")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(stored) if stored.count() <= limit else stored

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gaugewell.functions.messages import accepted
 from gaugewell.operators.ordering import plan_chunks
@@ -152,9 +152,26 @@ class MonitorJob:
         return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
-def throughput(query: StreamingQuery) -> dict[str, float]:
-    """Rows, seconds and rows per second of the micro-batches the query still remembers."""
-    progress = query.recentProgress
-    rows = sum(p["numInputRows"] for p in progress)
-    seconds = sum(p["durationMs"].get("triggerExecution", 0) for p in progress) / 1000
-    return {"rows": rows, "seconds": seconds, "rows_per_second": rows / seconds if seconds else 0.0}
+class Throughput(StreamingQueryListener):
+    """Rows and seconds of all micro-batches since it was added with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.rows, self.seconds, self.batches = 0, 0.0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.seconds += event.progress.durationMs.get("triggerExecution", 0) / 1000
+        self.batches += 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    @property
+    def rows_per_second(self) -> float:
+        return self.rows / self.seconds if self.seconds else 0.0

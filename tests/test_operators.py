@@ -314,3 +314,14 @@ def test_scaler(spark):
     pump = Scaler((0.0, 0.0), (2.549016, 0.0))
     row = pump.transform(spark.createDataFrame([(2.465394, 0.0)], "x double, y double"), ["x", "y"], "serve").first()
     assert row["x"] == pytest.approx(0.9671944, abs=1e-6) and row["y"] == 0
+
+
+def test_a_sensor_without_range_scales_to_zero_in_both_forms(spark):
+    import numpy as np
+
+    from gaugewell.operators.autoencoder import scale_rows
+
+    rows = spark.createDataFrame([(5.0,), (None,)], "sensor_00 double")
+    got = Scaler((None,), (None,)).transform(rows, ["sensor_00"], "train").collect()
+    assert [r[0] for r in got] == [0.0, None]
+    assert scale_rows(np.array([[5.0]]), np.array([np.nan]), np.array([np.nan]), "train").tolist() == [[0.0]]
