@@ -24,13 +24,17 @@ def vocabulary_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+# Marks that end a chunk as a pre-token of their own; none of them is part of a special token.
+_MARKS = ".,;:!?#&$*%)"
+
+
 class WordEncoder:
     """Ids for vocabularies whose pre-tokenizer drops white space, as little-endian 32-bit bytes.
 
     Such a vocabulary encodes what lies between two blanks alone, whatever stands
-    around it, so the ids of a text are those of its chunks in a row. It also
-    folds case and parts letters from marks, so a word is encoded once for all
-    its forms with capitals, a full stop or a comma. What was encoded is kept in
+    around it, so the ids of a text are those of its chunks in a row. It is also
+    byte-level, folds case and parts letters from marks, so a word is encoded once
+    for all its forms with capitals, a full stop or a comma. What was encoded is kept in
     two generations of at most ``keep`` chunks; the older one goes when the
     younger is full, and chunks still in use move on.
     """
@@ -40,6 +44,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.keep = keep
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -62,14 +67,17 @@ class WordEncoder:
             if chunk in old:
                 known[chunk] = old[chunk]
                 continue
-            word = chunk.rstrip(".,")
-            if not word or not word[-1].isalpha():
+            word = chunk.rstrip(_MARKS)
+            if not word or not word[-1].lower().isalpha():  # as the vocabulary sees it, folded
                 word = chunk
             plain = word.lower() if word.isascii() and word.isalpha() else word
             forms.append((chunk, plain, chunk[len(word) :]))
             if plain not in known:
                 if plain in old:
                     known[plain] = old[plain]
+                elif plain.isascii() and plain.isalpha():
+                    # one pre-token, which nothing before the model changes
+                    known[plain] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
                 else:
                     missing.add(plain)
         known.update(self._encode(list(missing)))
