@@ -66,7 +66,8 @@ class Scanner:
 
     @cached_property
     def common(self) -> Automaton:
-        return build([r.lead + (r.body.removesuffix("+") + (r.short or "+") if r.body.endswith("+") else r.body) for r in self.rules], anywhere=True)
+        # one byte of the body (or ``short``) is enough to look closer, and keeps the automaton small
+        return build([r.lead + r.body.removesuffix("+") + r.short for r in self.rules], anywhere=True)
 
     @cached_property
     def own(self) -> list[tuple[Automaton, Automaton | None]]:
