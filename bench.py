@@ -26,7 +26,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the readings of one machine, written before the clock runs."""
     rows = registry.vectors(spark, sf_dir)
     copies = -(-READINGS // max(1, rows.count()))
-    many = rows.crossJoin(F.broadcast(spark.range(copies).select(F.col("id").alias("copy"))))
+    many = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1))).alias("copy"))
     number = F.col("id") * copies + F.col("copy")
     one = many.where(number < READINGS).select(
         number.alias("n"), (F.col("ts") + F.make_dt_interval(secs=F.col("copy"))).alias("ts"), F.lit(7).alias("machine_id"),
