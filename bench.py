@@ -34,7 +34,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n", F.struct("machine_id", *registry.SENSORS).alias("r")))), lambda i: i["r"]))
     path = scratch_path(spark, "requests")
-    one.groupBy(F.floor(F.col("n") / REQUEST).alias("batch_id")).agg(F.min("ts").alias("ts"), body.alias("value")).write.parquet(path)
+    bodies = one.groupBy(F.floor(F.col("n") / REQUEST).alias("batch_id")).agg(F.min("ts").alias("ts"), body.alias("value"))
+    # as many files as a queue would have given; one file would be one task
+    bodies.repartition(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.parquet(path)
 
 
