@@ -42,17 +42,20 @@ def _filled(parsed: str, schema: T.StructType) -> list[Column]:
     return [F.expr(text(f)) for f in schema.fields]
 
 
-def _with_only_value(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the text of the one JSON value in ``value``; NULL if it is malformed or something follows the value.
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _only_value(text: Column) -> Column:
+    """The text of the one JSON value in ``text``; NULL if it is malformed or something follows the value.
 
     A parser stops behind the first value. So the text is put before an end mark
-    that nobody can know, as a list of two, and both have to be found. The list
-    is a column of its own, so that it is parsed once.
+    that nobody can know, as a list of two, and both have to be found.
     """
     mark = uuid.uuid4().hex
-    both = F.from_json(F.concat(F.lit("["), F.col(value), F.lit(f',"{mark}"]')), T.ArrayType(T.StringType()), _STRICT)
-    found = (F.size("_both") == 2) & (F.get("_both", F.lit(1)) == mark)
-    return rows.withColumn("_both", both).withColumn(name, F.when(found, F.get("_both", F.lit(0)))).drop("_both")
+    both = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{mark}"]')), T.ArrayType(T.StringType()), _STRICT)
+    return _once(both, lambda b: F.when((F.size(b) == 2) & (F.get(b, F.lit(1)) == mark), F.get(b, F.lit(0))))
 
 
 def _infinite(parsed: str, schema: T.StructType) -> Column:
@@ -76,12 +79,11 @@ def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructT
     schema = schema or reading_schema()
     strict = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     parsed = F.from_json(F.col(value), strict, {"columnNameOfCorruptRecord": _BAD, **_STRICT})
-    whole = messages if single else _with_only_value(messages, value, "_whole")
-    staged = whole.withColumn("_parsed", parsed)
+    staged = messages.withColumn("_parsed", parsed)
     row = F.col("_parsed")
     malformed = row.isNull() | row[_BAD].isNotNull() | _infinite("_parsed", schema)
     if not single:
-        malformed = malformed | F.col("_whole").isNull()
+        malformed = malformed | _only_value(F.col(value)).isNull()
     return staged.select(*messages.columns, malformed.alias("malformed"), *_filled("_parsed", schema))
 
 
@@ -91,9 +93,12 @@ def decode_arrays(bodies: DataFrame, value: str = "value", schema: T.StructType
     A body that is not an array, or has text behind it, comes back as one
     malformed row; an empty array gives no rows.
     """
-    items = F.when(F.ltrim("_body").startswith("["), F.from_json("_body", T.ArrayType(T.StringType()), _STRICT))
+    texts = T.ArrayType(T.StringType())
+    items = _once(
+        _only_value(F.col(value)), lambda body: F.when(F.ltrim(body).startswith("["), F.from_json(body, texts, _STRICT))
+    )
     kept = [c for c in bodies.columns if c != value]
-    lists = _with_only_value(bodies, value, "_body").select(*kept, F.coalesce(items, F.array(F.lit(None).cast("string"))).alias("_items"))
+    lists = bodies.select(*kept, F.coalesce(items, F.array(F.lit(None).cast("string"))).alias("_items"))
     exploded = lists.select(*kept, F.posexplode("_items").alias("position", value))
     # the items of a list are single values
     return decode_messages(exploded, value, schema, single=True).drop(value)
