@@ -59,15 +59,15 @@ def fingerprint(text: str | None, k: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint's bits as a long."""
+    """(doc_id, fp, text_key) per row; fp is the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), k) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {kind}, fp long, text_key long")
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:
@@ -178,29 +178,31 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """Per row: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
+    """Per row: doc_id, fp, text_key, root (one value for each component), component_id (the smallest doc_id reachable over links)."""
     rows = stored(fingerprints(docs, k), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fp")
     found = components(near_links(fps.select("fp"), radius, tile))
     known = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # `first` of a root's component; small groups and large ones alike are reduced before the shuffle
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(known.join(least, "root").select("fp", "component_id"), "named_fp")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(known.join(least, "root").select("fp", "root", "component_id"), "named_fp")
+    return rows.join(named, "fp").select("doc_id", "fp", "text_key", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each component the row that names it. Columns and texts stay as they are.
+    """Of each component (``root``) the row that names it. Columns and texts stay as they are.
 
-    Where several rows have that doc_id, one of them stays; a component without
-    any doc_id keeps one of its rows.
+    Rows are told apart by doc_id and text: of rows with the smallest doc_id, the
+    one with the smallest text key stays, and of rows that agree in both, any one.
+    A component without any doc_id keeps one of its rows.
     """
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = stored(first, "kept_ids")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = groups.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct(rank.alias("rank"), "n")).alias("first"))
+    first = stored(first.select("first.rank.doc_id", "first.rank.text_key", "first.n"), "kept_rows")
     d = docs.alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    same = (F.xxhash64("d.text") == F.col("k.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
     single = d.join(first.filter("n = 1").alias("k"), same, "left_semi")
     several = first.filter("n > 1")
     if several.isEmpty():
         return single
-    return single.unionByName(d.join(several.alias("k"), same, "left_semi").dropDuplicates(["doc_id"]))
+    return single.unionByName(d.join(several.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -58,3 +58,15 @@ def test_near_groups_cases(spark):
     docs = edge_docs(spark)
     kept = simhash.keep_one(docs, near_dedup.near_groups(docs))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 7, 8, 9]
+
+
+def test_keep_one_tells_rows_without_ids_apart(spark):
+    long = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, long("a")), (None, long("b")), (None, long("c")), (None, long("c")), (1, long("d")), (None, long("d")), (7, long("e")), (7, long("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([("", long("a")), ("", long("b")), ("", long("c")), ("1", long("d")), ("7", long("e")), ("7", long("f"))])
+    for near_groups in (near_dedup.near_groups, simhash.near_groups):
+        kept = simhash.keep_one(docs, near_groups(docs)).collect()
+        assert sorted(("" if r.doc_id is None else str(r.doc_id), r.text) for r in kept) == want
+    one = docs.filter("doc_id = 1 or text like 'd%'")
+    assert [r.doc_id for r in simhash.keep_one(one, simhash.near_groups(one)).collect()] == [1]
