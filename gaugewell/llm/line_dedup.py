@@ -1,32 +1,40 @@
-"""Line dedup by pairwise alignment of documents that share lines.
-
-A line's hash belongs to the first document (smallest doc_id) that has the line;
-a later document with the line overlaps with that one. So each line of a later
-document has one partner, and a line that very many documents share gives as
-many rows, not their pairs. Of a later document and one partner, the lines they
-share that way are aligned by patience diff: lines that occur once in both are
-matched in order (longest increasing subsequence), and matches grow over equal
-neighbouring lines, so that repeated lines inside a common passage belong to it.
-A run of neighbouring aligned lines of one partner is a common block. Blocks of
-``min_words`` words or more are deleted from the later document.
-
-Rare lines steer the alignment: a line that is unique in both documents is an
-anchor, a frequent one only joins a block that an anchor opened. A line that is
-repeated inside both documents and has no anchor beside it stays.
+"""Line dedup: blocks of lines that an earlier document has go from the later ones.
+
+``drop_common_runs`` deletes from a document every block of neighbouring lines,
+of ``min_words`` words or more, that any earlier document has as neighbouring
+lines too, wherever it stands there: the lines are those which aligning the
+document with each earlier one, again and again until no common block is left,
+would delete. No pairs of documents are made for that. A block is covered by its
+shortest runs of ``min_words`` words, those that start at one of its lines and
+those that end at one. Such a run's hash belongs to the first document
+(smallest doc_id) that has the run, and goes from all others. So a run that
+very many documents share gives as many rows, a block may be made up of the
+runs of several owners, and neither repeated, nor moved, nor frequent lines
+break one. Partners are the owners of the runs that go.
+
+``drop_common_lines`` is the narrower rule that gives each line one partner.
+A line's hash belongs to the first document that has the line, and a later
+document with the line overlaps with that one only. Of a later document and one
+partner, the lines they share that way are aligned by patience diff: lines that
+occur once in both are matched in order (longest increasing subsequence), and
+matches grow over equal neighbouring lines. Blocks whose lines have several
+owners, or no anchor, stay.
 
 Cases: lines are compared without white space at their ends. Blank lines are not
 counted: they neither break a block nor are shared, and go where the lines on
 both sides go. A null text has no lines and stays null. Documents are ordered by
 doc_id and text; those without doc_id come last. Rows that agree in doc_id and
 text are one document and treated alike: if it is the first with its lines, all
-these rows keep them. A document that loses all its lines has an empty text.
-Only ``text`` changes; other columns stay as they are.
+these rows keep them. What a document has twice itself, and no earlier one has,
+stays. A document that loses all its lines has an empty text. Only ``text``
+changes; other columns stay as they are.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -166,6 +174,81 @@ def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def shortest_runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """Runs [from, to) of ``least`` words that have no shorter one with the same first, or the same last line."""
+    before = [0, *accumulate(words)]
+    enough = lambda a, b: before[b] - before[a] >= least
+    out, end, start = set(), 0, 0
+    for a in range(len(words)):
+        end = max(end, a + 1)
+        while end <= len(words) and not enough(a, end):
+            end += 1
+        if end > len(words):
+            break
+        out.add((a, end))
+    for b in range(1, len(words) + 1):
+        while start + 1 < b and enough(start + 1, b):
+            start += 1
+        if enough(start, b):
+            out.add((start, b))
+    return out
+
+
+def run_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per distinct shortest run and document: (doc_id, text_key, run, at, size); ``at`` has the places of its first line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, runs, places, sizes = [], [], [], []
+
+            def out() -> pa.RecordBatch:
+                at = pa.array(rows, type=pa.int64())
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(runs, type=pa.int64())]
+                columns += [pa.array(places, type=pa.list_(pa.int32())), pa.array(sizes, type=pa.int32())]
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "run", "at", "size"])
+
+            for i, text in enumerate(batch.column(2)):
+                lines = _lines(text.as_py())
+                found: dict[str, list[int]] = {}
+                size: dict[str, int] = {}
+                for a, b in sorted(shortest_runs([len(x.split()) for x in lines], min_words)):
+                    x = "\n".join(lines[a:b])
+                    found.setdefault(x, []).append(a)
+                    size[x] = b - a
+                for x, at in found.items():
+                    rows.append(i)
+                    runs.append(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) - (1 << 63))
+                    places.append(at)
+                    sizes.append(size[x])
+                if len(rows) > 50_000:
+                    yield out()
+                    rows, runs, places, sizes = [], [], [], []
+            yield out()
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, f"doc_id {kind}, text_key long, run long, at array<int>, size int"
+    )
+
+
+def common_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per later document that loses lines: doc_id, text_key, gone (positions), partners."""
+    runs = stored(run_table(docs, min_words), "runs")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = runs.groupBy("run").agg(F.min(rank).alias("first"), F.count("*").alias("docs"))
+    # as in common_blocks
+    owners = stored(first.filter("docs > 1").select("run", "first.doc_id", "first.text_key").toDF("run", "owner_id", "owner_key"), "owners")
+    shared = runs.join(owners, "run").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("owner_id")) & (F.col("text_key") == F.col("owner_key")))
+    )
+    lines = F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1)))
+    grouped = shared.groupBy("doc_id", "text_key").agg(
+        F.array_distinct(F.flatten(F.collect_set(lines))).alias("gone"),
+        F.size(F.collect_set(F.struct("owner_id", "owner_key"))).alias("partners"),
+    )
+    return grouped
+
+
 @F.pandas_udf(T.StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else cut(t, set(g)) for t, g in zip(text, gone)], dtype=object)
@@ -190,13 +273,22 @@ def cut(text: str, gone: set[int]) -> str:
     return "\n".join(kept)
 
 
+def drop_common_runs(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = True, counts: bool = False) -> DataFrame:
+    """``docs`` without the blocks that any earlier document has; arguments as for ``drop_common_lines``."""
+    return _drop(docs, common_runs(docs, min_words), keep_empty, counts)
+
+
 def drop_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = True, counts: bool = False) -> DataFrame:
     """``docs`` with the common blocks deleted.
 
     Without ``keep_empty`` a document that loses all its lines goes. With
     ``counts`` columns n_gone (lines) and n_partners are added.
     """
-    d, g = docs.alias("d"), common_blocks(docs, min_words).alias("g")
+    return _drop(docs, common_blocks(docs, min_words), keep_empty, counts)
+
+
+def _drop(docs: DataFrame, gone: DataFrame, keep_empty: bool, counts: bool) -> DataFrame:
+    d, g = docs.alias("d"), gone.alias("g")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key"))
     hit = F.col("g.gone").isNotNull()
     joined = d.join(g, same, "left").select(

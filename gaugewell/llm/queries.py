@@ -131,7 +131,7 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rest = line_dedup.drop_common_lines(docs, counts=True)
+    rest = line_dedup.drop_common_runs(docs, counts=True)
     return rest.select("doc_id", "n_gone", "n_partners", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
