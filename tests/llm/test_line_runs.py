@@ -66,3 +66,10 @@ def test_cases(spark):
     texts = dict(ROWS)
     assert all(t == ("" if i == 6 or i is None and t is not None else texts[i] if i else None) for i, t in rows)
     assert not line_dedup.drop_common_runs(no_docs(spark)).collect()
+
+
+def test_repeated_and_swapped_passages(spark):
+    passage = lambda name: "\n".join(f"{name} one two three four five {i}" for i in range(6))
+    a, b = passage("a"), passage("b")
+    texts = [f"{a}\nbetween\n{a}", f"head\n{a}", f"{a}\nmiddle\n{a}", b, f"{b}\nmore\n{b}", f"{passage('c')}\n{passage('d')}", f"{passage('d')}\n{passage('c')}"]
+    assert rest_of(spark, texts) == [texts[0], "head", "middle", b, "more", texts[5], ""]
