@@ -10,7 +10,10 @@ those that end at one. Such a run's hash belongs to the first document
 (smallest doc_id) that has the run, and goes from all others. So a run that
 very many documents share gives as many rows, a block may be made up of the
 runs of several owners, and neither repeated, nor moved, nor frequent lines
-break one. Partners are the owners of the runs that go.
+break one. Partners are the owners of the runs that go. In scripts without
+spaces between words (Chinese, Japanese, Thai and others) a line may be a single
+word, so a run also counts as long enough with twice ``min_words`` of their
+characters; texts in other scripts are counted by words only.
 
 ``drop_common_lines`` is the narrower rule that gives each line one partner.
 A line's hash belongs to the first document that has the line, and a later
@@ -33,6 +36,7 @@ changes; other columns stay as they are.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -46,6 +50,9 @@ from pyspark.sql import types as T
 from .common import stored
 
 MIN_WORDS = 8
+CHARS_A_WORD = 2
+# Thai, Lao, Tibetan, Burmese, Khmer, Kana, Han
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _lines(text: str | None) -> list[str]:
@@ -174,10 +181,18 @@ def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def shortest_runs(words: list[int], least: int) -> set[tuple[int, int]]:
-    """Runs [from, to) of ``least`` words that have no shorter one with the same first, or the same last line."""
-    before = [0, *accumulate(words)]
-    enough = lambda a, b: before[b] - before[a] >= least
+def _unspaced(line: str) -> int:
+    """Characters of scripts that put no spaces between words."""
+    return 0 if line.isascii() else len(_UNSPACED.findall(line))
+
+
+def shortest_runs(words: list[int], least: int, unspaced: list[int] | None = None) -> set[tuple[int, int]]:
+    """Runs [from, to) that are long enough and have no shorter such run with the same first, or the same last line.
+
+    Long enough is ``least`` words, or CHARS_A_WORD times as many of the characters counted in ``unspaced``.
+    """
+    before, chars = [0, *accumulate(words)], [0, *accumulate(unspaced or [0] * len(words))]
+    enough = lambda a, b: before[b] - before[a] >= least or chars[b] - chars[a] >= least * CHARS_A_WORD
     out, end, start = set(), 0, 0
     for a in range(len(words)):
         end = max(end, a + 1)
@@ -211,7 +226,7 @@ def run_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 lines = _lines(text.as_py())
                 found: dict[str, list[int]] = {}
                 size: dict[str, int] = {}
-                for a, b in sorted(shortest_runs([len(x.split()) for x in lines], min_words)):
+                for a, b in sorted(shortest_runs([len(x.split()) for x in lines], min_words, [_unspaced(x) for x in lines])):
                     x = "\n".join(lines[a:b])
                     found.setdefault(x, []).append(a)
                     size[x] = b - a

@@ -73,3 +73,9 @@ def test_repeated_and_swapped_passages(spark):
     a, b = passage("a"), passage("b")
     texts = [f"{a}\nbetween\n{a}", f"head\n{a}", f"{a}\nmiddle\n{a}", b, f"{b}\nmore\n{b}", f"{passage('c')}\n{passage('d')}", f"{passage('d')}\n{passage('c')}"]
     assert rest_of(spark, texts) == [texts[0], "head", "middle", b, "more", texts[5], ""]
+
+
+def test_scripts_without_spaces(spark):
+    lines = [f"これは共有された行の{c}番です。" for c in "一二三四五六七"]
+    texts = ["\n".join(lines), "頭\n" + "\n".join(lines), "一二三\n四五六\n七八九", "一二三\n四五六\n七八九"]
+    assert rest_of(spark, texts) == [texts[0], "頭", texts[2], texts[3]]  # nine characters are too few
