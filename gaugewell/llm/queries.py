@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from gaugewell.session import scratch_path
 
-from . import decontaminate, exact_dedup, line_dedup, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
+from . import (
+    decontaminate, exact_dedup, filter_audit, lexical, line_dedup, packing, pii, quality, secret_scan, simhash, token_counts,
+    url_filter, warc,
+)
 from .common import of_kinds, spans_text, table
 from .encoding import vocabulary, vocabulary_pattern
 
@@ -158,6 +161,72 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part="lang")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails FROM d),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+      FROM m LEFT JOIN labels USING (doc_id) GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (SELECT p.l || q.l || r.l || s.l || u.l AS o FROM l p, l q, l r, l s, l u
+      WHERE p.l NOT IN (q.l, r.l, s.l, u.l) AND q.l NOT IN (r.l, s.l, u.l) AND r.l NOT IN (s.l, u.l) AND s.l <> u.l),
+k AS (SELECT o, k.k, o[k.k] AS letter FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS k) k),
+g AS (SELECT part, fails, n, good, toxic, o, (SELECT min(k) FROM unnest([1, 2, 3, 4, 5]) AS x(k) WHERE contains(fails, o[k])) AS gone FROM c, o),
+r AS (SELECT part, g.o AS filter_order, k::INT AS step, letter,
+             sum(CASE WHEN gone IS NULL OR gone > k THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN gone = k THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN gone < k AND contains(fails, letter) THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN fails = letter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN gone = k THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN gone = k THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+      FROM g JOIN k ON g.o = k.o GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = scratch_path(spark, "archives")
+    warc.write_archives(pages, archives)
+    records = warc.read_chunks(spark, archives, data=False)
+    return records.select(
+        "page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "uri"
+    )
+
+
+# The SQL has the target URI only as far as urls need no percent-encoding.
+OP12_SQL = """
+SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 100 AND page_id > first THEN first END AS refers_to, url AS uri
+FROM (SELECT page_id, url, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+g AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY term, docs),
+m AS (SELECT doc_id, 10 + (90 * len(w) * docs) // terms AS m FROM d, s),
+p AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN f USING (term) JOIN g USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -169,5 +238,15 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
+    "op13_lexical_search": op13_lexical_search,
+}
+SQL = {
+    "op1_decontaminate": OP1_SQL,
+    "op3_exact_dedup": OP3_SQL,
+    "op6_url_filter": OP6_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_warc": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op6_url_filter": OP6_SQL, "op3_exact_dedup": OP3_SQL}
