@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import types as T
 
 from gaugewell.schema import SENSORS, reading_schema
 
-_BAD = "_corrupt_record"
 _STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
@@ -47,61 +47,102 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _only_value(text: Column) -> Column:
-    """The text of the one JSON value in ``text``; NULL if it is malformed or something follows the value.
+@dataclass(frozen=True)
+class _Strict:
+    """How a text is read: its typed fields, and two names that no text can hold.
 
-    A parser stops behind the first value. So the text is put before an end mark
-    that nobody can know, as a list of two, and both have to be found.
+    A parser stops behind the first value of a text. So the text is put into a list
+    before an end mark, ``{name: [text, {name: 1}]}``, and read as a whole: it is one
+    value of the right form if the list has two members and the second one is the
+    mark. Anything else in it, a wrong type included, fills column ``bad``.
     """
+
+    schema: T.StructType
+    name: str
+    bad: str
+
+    @classmethod
+    def of(cls, schema: T.StructType) -> _Strict:
+        return cls(schema, f"m{uuid.uuid4().hex}", f"b{uuid.uuid4().hex}")
+
+    @property
+    def options(self) -> dict[str, str]:
+        return {"columnNameOfCorruptRecord": self.bad, **_STRICT}
+
+    @property
+    def item(self) -> T.StructType:
+        own = [T.StructField(self.name, T.IntegerType()), T.StructField(self.bad, T.StringType())]
+        return T.StructType([*self.schema.fields, *own])
+
+    def parse(self, text: Column, listed: bool) -> Column:
+        """``text`` and the end mark as a typed list; ``listed``: the text is a list of objects, not an object."""
+        member = T.ArrayType(self.item) if listed else self.item
+        whole = T.StructType([T.StructField(self.name, T.ArrayType(member)), T.StructField(self.bad, T.StringType())])
+        mark = f'{{"{self.name}":1}}'
+        parts = [F.lit(f'{{"{self.name}":['), text, F.lit(f",{f'[{mark}]' if listed else mark}]}}")]
+        return F.from_json(F.concat(*parts), whole, self.options)
+
+    def value(self, parsed: Column, listed: bool) -> Column:
+        """What the text holds; NULL unless all of it could be read."""
+        members = parsed[self.name]
+        end = F.get(members, F.lit(1))
+        mark = F.get(end, F.lit(0))[self.name] if listed else end[self.name]
+        sound = parsed[self.bad].isNull() & (F.size(members) == 2) & (mark == 1)
+        return F.when(sound, F.get(members, F.lit(0)))
+
+    def malformed(self, row: str) -> Column:
+        """Whether the object could not be read, or holds a fractional number too large for its type."""
+        parsed = F.col(row)
+        names = [f.name for f in self.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        broken = parsed.isNull() | parsed[self.bad].isNotNull()
+        if not names:
+            return broken
+        values = ", ".join(f"CAST({row}.`{n}` AS DOUBLE)" for n in names)
+        return broken | F.expr(f"exists(array({values}), v -> coalesce(isnan(v) OR abs(v) = double('infinity'), false))")
+
+
+def _only_value(text: Column) -> Column:
+    """The text of the one JSON value in ``text``; NULL if it is malformed or something follows the value."""
     mark = uuid.uuid4().hex
     both = F.from_json(F.concat(F.lit("["), text, F.lit(f',"{mark}"]')), T.ArrayType(T.StringType()), _STRICT)
     return _once(both, lambda b: F.when((F.size(b) == 2) & (F.get(b, F.lit(1)) == mark), F.get(b, F.lit(0))))
 
 
-def _infinite(parsed: str, schema: T.StructType) -> Column:
-    """Whether a fractional number is too large for its type."""
-    names = [f.name for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if not names:
-        return F.lit(False)
-    listed = ", ".join(f"CAST({parsed}.`{n}` AS DOUBLE)" for n in names)
-    return F.expr(f"exists(array({listed}), v -> coalesce(isnan(v) OR abs(v) = double('infinity'), false))")
-
+def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructType | None = None) -> DataFrame:
+    """One object per message. Adds the reading's fields and ``malformed``; each message is parsed once.
 
-def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructType | None = None, single: bool = False) -> DataFrame:
-    """One object per message. Adds the reading's fields and ``malformed``.
-
-    A field of the wrong type makes the whole message malformed even though
-    the parser fills in the other fields, so the corrupt-record column decides.
-    So do a second value or other text behind the object, NaN, numbers beyond
-    the type's range and single-quoted text. Fields outside the schema are ignored.
-    ``single`` says that each text is known to be one value.
+    A field of the wrong type makes the whole message malformed. So do a second
+    value or other text behind the object, NaN, numbers beyond the type's range and
+    single-quoted text. Fields outside the schema are ignored.
     """
     schema = schema or reading_schema()
-    strict = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    parsed = F.from_json(F.col(value), strict, {"columnNameOfCorruptRecord": _BAD, **_STRICT})
-    staged = messages.withColumn("_parsed", parsed)
-    row = F.col("_parsed")
-    malformed = row.isNull() | row[_BAD].isNotNull() | _infinite("_parsed", schema)
-    if not single:
-        malformed = malformed | _only_value(F.col(value)).isNull()
-    return staged.select(*messages.columns, malformed.alias("malformed"), *_filled("_parsed", schema))
+    strict = _Strict.of(schema)
+    parsed = messages.withColumn("_parsed", strict.parse(F.col(value), False))
+    rows = parsed.withColumn("_row", strict.value(F.col("_parsed"), False))
+    return rows.select(*messages.columns, strict.malformed("_row").alias("malformed"), *_filled("_row", schema))
 
 
 def decode_arrays(bodies: DataFrame, value: str = "value", schema: T.StructType | None = None) -> DataFrame:
     """One array of objects per body, exploded to readings with their position.
 
-    A body that is not an array, or has text behind it, comes back as one
-    malformed row; an empty array gives no rows.
+    A body is parsed once. Only one that cannot be read as a whole is looked at
+    again, object by object, to tell which of them are malformed. A body that is
+    not an array, or has text behind it, comes back as one malformed row; an
+    empty array gives no rows.
     """
-    texts = T.ArrayType(T.StringType())
-    items = _once(
-        _only_value(F.col(value)), lambda body: F.when(F.ltrim(body).startswith("["), F.from_json(body, texts, _STRICT))
+    schema = schema or reading_schema()
+    strict = _Strict.of(schema)
+    texts = _once(
+        _only_value(F.col(value)),
+        lambda body: F.when(F.ltrim(body).startswith("["), F.from_json(body, T.ArrayType(T.StringType()), _STRICT)),
     )
+    again = F.transform(F.coalesce(texts, F.array(F.lit(None).cast("string"))), lambda t: F.from_json(t, strict.item, strict.options))
     kept = [c for c in bodies.columns if c != value]
-    lists = bodies.select(*kept, F.coalesce(items, F.array(F.lit(None).cast("string"))).alias("_items"))
-    exploded = lists.select(*kept, F.posexplode("_items").alias("position", value))
-    # the items of a list are single values
-    return decode_messages(exploded, value, schema, single=True).drop(value)
+    parsed = bodies.withColumn("_parsed", strict.parse(F.col(value), True))
+    lists = parsed.select(*kept, F.coalesce(strict.value(F.col("_parsed"), True), again).alias("_items"))
+    # an inner explode would put a filter on the list below it, for which the body would be parsed once more
+    rows = lists.select(*kept, F.posexplode_outer("_items").alias("position", "_row")).where("position IS NOT NULL")
+    return rows.select(*kept, "position", strict.malformed("_row").alias("malformed"), *_filled("_row", schema))
 
 
 def rejects(decoded: DataFrame, value: str = "value") -> DataFrame:

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gaugewell.operators.ordering import CHUNK, SPLIT, ChunkPlan, plan_chunks
@@ -24,7 +25,7 @@ Steps = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 # Step codes. CARRY sets the counter to the value it brings along.
 UP, DOWN, RESET, CARRY = 1, -1, 0, 2
-_STEP, _CARRIED, _FIRST = "_step", "_carried", "_rank"
+_STEP, _CARRIED, _FIRST, _KEY = "_step", "_carried", "_rank", "_key"
 
 
 def bounded_counter(
@@ -44,9 +45,10 @@ def bounded_counter(
 
     ``step`` holds UP, DOWN or RESET. ``start`` (machine, counter) gives
     counters to begin with; machines not in it begin at 0. Rows are shuffled
-    once on (machine, chunk) and replayed as a stream of Arrow batches; only
-    machines too large for one task are first summarised per chunk. ``placed``
-    says that ``chunks.place`` was applied already.
+    once on (machine, chunk) and replayed in order; only the key and the step of
+    a row travel to Python, in a stream of Arrow batches, and the counter comes
+    back beside it. Only machines too large for one task are first summarised per
+    chunk. ``placed`` says that ``chunks.place`` was applied already.
     """
     plan = chunks or plan_chunks(rows, [machine], ts, tie, **chunking)
     stepped = rows.withColumn(_STEP, F.col(step).cast("int"))
@@ -67,28 +69,31 @@ def bounded_counter(
     if carried is not None or not placed:
         body = body.repartition(*plan.groups)
     ordered = body.sortWithinPartitions(machine, CHUNK, _FIRST, ts, tie)
-    kept = [c for c in ordered.columns if c not in (CHUNK, _FIRST, _STEP, _CARRIED)]
-    schema = T.StructType([ordered.schema[c] for c in kept] + [T.StructField(name, T.IntegerType())])
+    counted = ordered.withColumn(name, _replay(F.col(machine), F.col(CHUNK), F.col(_STEP), F.col(_CARRIED), limit))
+    # a carried value is no row and has no counter; a filter on the step would be moved below the replay
+    return counted.where(F.col(name).isNotNull()).drop(CHUNK, _FIRST, _STEP, _CARRIED)
 
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, x = _Keys(machine), 0
-        for batch in batches:
-            if batch.num_rows == 0:
+
+def _replay(machine: Column, chunk: Column, step: Column, carried: Column, limit: int) -> Column:
+    """The counter after each row of a task, whose rows are sorted; NULL for carried values."""
+
+    @arrow_udf("int")
+    def counters(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        keys, x = _Keys(_KEY), 0
+        for key, part, code, value in batches:
+            if not len(key):
+                yield pa.array([], pa.int32())
                 continue
-            begins = keys.begins(batch)
-            code = _numbers(batch.column(_STEP))
-            steps = _steps(code, _numbers(batch.column(_CARRIED)), limit)
-            shift, low, high = _scan(steps, _segments(begins))
+            begins = keys.begins(pa.RecordBatch.from_arrays([key, part], names=[_KEY, CHUNK]))
+            codes = _numbers(code)
+            shift, low, high = _scan(_steps(codes, _numbers(value), limit), _segments(begins))
             # the first rows may go on with the group of the last batch
             entry = np.where(np.cumsum(begins) == 0, x, 0)
             out = np.minimum(high, np.maximum(low, entry + shift))
             x = int(out[-1])
-            mine = pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [pa.array(out, pa.int32())], names=[*kept, name]
-            )
-            yield mine.filter(pa.array(code != CARRY))
+            yield pa.array(out, pa.int32(), mask=codes == CARRY)
 
-    return ordered.mapInArrow(replay, schema)
+    return counters.asNondeterministic()(machine, chunk, step, carried)
 
 
 class _Keys:
