@@ -20,7 +20,7 @@ from gaugewell.functions import messages as msg
 from gaugewell.functions import scalar as fn
 from gaugewell.operators import autoencoder as ae
 from gaugewell.operators import prepare, selection
-from gaugewell.operators.batching import assign_batches, batch_last_counter
+from gaugewell.operators.batching import assign_batches, assign_timed_batches, batch_last_counter
 from gaugewell.operators.failures import breakdown_windows, exclude_before_failure, exclude_before_failure_ordered
 from gaugewell.operators.ordering import plan_chunks
 from gaugewell.operators.scaler import Scaler, scaler_statistics
@@ -876,6 +876,26 @@ check("batch_assign_split", f"SELECT id, seq, CAST((seq - 1) // 20 AS BIGINT) AS
 )
 
 
+# Events a hundred thousand times as fast, in whole milliseconds, so that both limits and ties at the time limit occur.
+_TIMED_SQL = """WITH RECURSIVE a AS (SELECT event_id AS id, epoch_us(ts) // 100000000 AS ms, row_number() OVER (ORDER BY epoch_us(ts) // 100000000, event_id) AS seq FROM events),
+  n AS (SELECT seq, least(seq + 20, 1 + count(*) OVER (ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND 49 FOLLOWING)) AS next FROM a),
+  s(seq) AS (SELECT min(seq) FROM a UNION ALL SELECT n.next FROM s JOIN n ON n.seq = s.seq WHERE n.next <= (SELECT max(seq) FROM a))
+  SELECT id, a.seq, CAST(count(s.seq) OVER (ORDER BY a.seq) - 1 AS BIGINT) AS batch_id FROM a LEFT JOIN s ON a.seq = s.seq"""
+
+
+def _timed_batches(**chunking) -> Query:
+    def run(spark, sf_dir):
+        fast = F.timestamp_millis(F.expr("unix_micros(CAST(ts AS TIMESTAMP)) DIV 100000000"))
+        rows = readings(spark, sf_dir).select("id", fast.alias("ts"))
+        return assign_timed_batches(rows, **chunking).select("id", "seq", "batch_id")
+
+    return run
+
+
+check("batch_assign_timeout", _TIMED_SQL)(_timed_batches())
+check("batch_assign_timeout_split", _TIMED_SQL)(_timed_batches(**FORCE_SPLIT))
+
+
 @check(
     "batch_last_counter",
     f"""WITH RECURSIVE {_flagged_sql()}, {_walk('flagged')},
@@ -964,13 +984,26 @@ def monitoring_two_writers(spark, sf_dir):
     return _shown(readers.read_monitoring(spark, path))
 
 
+# Readings as requests of 20, of which every seventh is cut off.
+_REQUESTED = f"""{SCORED}, {VECTORS}, {VECTOR_THRESHOLDS},
+        q AS (SELECT *, n // 20 AS batch_id, n % 20 AS position FROM (
+                SELECT v.id, machine_id, e, v.ts, row_number() OVER (ORDER BY ts, v.id) - 1 AS n FROM vectors v JOIN scored s USING (id))),
+        base AS (SELECT q.*, e > threshold AS anomaly, CASE WHEN e > threshold THEN 1 ELSE -1 END AS step,
+                        row_number() OVER (PARTITION BY machine_id ORDER BY n) AS rn
+                 FROM q JOIN vthr USING (machine_id) WHERE batch_id % 7 <> 2), {_walk('base')}"""
+
+
+def _served(spark, sf_dir) -> tuple[serving.Served, str]:
+    requests = _requests(vectors(spark, sf_dir))
+    cut = F.when(F.col("batch_id") % 7 == 2, F.expr("substr(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    table = scratch_path(spark, "monitoring")
+    limits = vector_thresholds(spark, sf_dir)
+    return serving.serve_batch(requests.withColumn("value", cut), scorer(spark, sf_dir), limits, table, 1), table
+
+
 @check(
     "batch_request",
-    f"""WITH RECURSIVE {SCORED}, {VECTORS}, {VECTOR_THRESHOLDS},
-        q AS (SELECT *, n // 20 AS batch_id, n % 20 AS position FROM (
-                SELECT v.id, machine_id, e, row_number() OVER (ORDER BY ts, v.id) - 1 AS n FROM vectors v JOIN scored s USING (id))),
-        base AS (SELECT q.*, CASE WHEN e > threshold THEN 1 ELSE -1 END AS step, row_number() OVER (PARTITION BY machine_id ORDER BY n) AS rn
-                 FROM q JOIN vthr USING (machine_id) WHERE batch_id % 7 <> 2), {_walk('base')},
+    f"""WITH RECURSIVE {_REQUESTED},
         a AS (SELECT batch_id, string_agg(CAST(CAST(round(e * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY position) AS errors,
                      CAST(arg_max(c, position) AS INTEGER) AS anomaly_counter FROM base JOIN walk USING (machine_id, rn) GROUP BY batch_id)
         SELECT CAST(batch_id AS BIGINT) AS batch_id, any_value(errors) AS errors, any_value(anomaly_counter) AS anomaly_counter,
@@ -979,11 +1012,8 @@ def monitoring_two_writers(spark, sf_dir):
         FROM q LEFT JOIN a USING (batch_id) GROUP BY batch_id""",
 )
 def batch_request(spark, sf_dir):
-    """Requests of 20 readings, some cut off: decode, score, flag, count, store, answer, refuse."""
-    requests = _requests(vectors(spark, sf_dir))
-    cut = F.when(F.col("batch_id") % 7 == 2, F.expr("substr(value, 1, length(value) - 1)")).otherwise(F.col("value"))
-    table = scratch_path(spark, "monitoring")
-    served = serving.serve_batch(requests.withColumn("value", cut), scorer(spark, sf_dir), vector_thresholds(spark, sf_dir), table, 1)
+    """Decode, score, flag, count, store, answer, refuse."""
+    served, _ = _served(spark, sf_dir)
     count = lambda reason: F.sum((F.col("reason") == reason).cast("long")).alias(reason)
     refused = served.rejects.groupBy("batch_id").agg(count(serving.MALFORMED), count(serving.NO_THRESHOLD))
     both = served.response.join(refused, "batch_id", "full")
@@ -991,6 +1021,20 @@ def batch_request(spark, sf_dir):
     return both.select("batch_id", _millionths("reconstruction_errors").alias("errors"), "anomaly_counter", *zero)
 
 
+@check(
+    "batch_request_stored",
+    f"""WITH RECURSIVE {_REQUESTED}, t AS (SELECT batch_id, min(ts) AS sent FROM q GROUP BY batch_id)
+        SELECT (1::BIGINT << 30) + row_number() OVER (ORDER BY n) AS id, make_timestamp(((epoch_us(sent) + 500000) // 1000000) * 1000000) AS created_at,
+               machine_id, {', '.join('v.' + s for s in SENSORS)}, CAST(NULL AS DOUBLE) AS sensor_52, round(e, 6) AS reconstruction_error,
+               anomaly, CAST(c AS INTEGER) AS anomaly_counter, '{ORIGIN_BATCH}' AS origin
+        FROM base JOIN walk USING (machine_id, rn) JOIN t USING (batch_id) JOIN (SELECT id, {', '.join(SENSORS)} FROM vectors) v USING (id)""",
+)
+def batch_request_stored(spark, sf_dir):
+    """The rows that the requests left in the monitoring table, all columns of them."""
+    _, table = _served(spark, sf_dir)
+    return _shown(readers.read_monitoring(spark, table))
+
+
 def _requests(rows: DataFrame) -> DataFrame:
     batched = assign_batches(rows)
     times = batched.groupBy("batch_id").agg(F.min("ts").alias("ts"))

@@ -11,18 +11,21 @@ from gaugewell.functions.messages import decode_arrays
 from gaugewell.functions.scalar import anomaly_flag, sensor_array
 from gaugewell.operators.autoencoder import Weights, reconstruction_error
 from gaugewell.operators.counter import DOWN, RESET, UP, bounded_counter
-from gaugewell.operators.ordering import carry_value, plan_chunks
+from gaugewell.operators.ordering import carry_value, plan_chunks, row_sequence
 from gaugewell.operators.scaler import Scaler
 from gaugewell.operators.thresholds import attach_threshold, merge_events
 from gaugewell.schema import ORIGIN_BATCH, SENSORS
 from gaugewell.session import scratch_path
 from gaugewell.sources.readers import read_scaler_version, read_weights
-from gaugewell.sources.writers import append_monitoring, monitoring_rows, write_scaler_version, write_weights
+from gaugewell.sources.writers import SEQUENCE, append_monitoring, monitoring_rows, write_scaler_version, write_weights
 
 # Why a reading was refused.
 MALFORMED, NO_SCORE, NO_THRESHOLD = "malformed", "no_score", "no_threshold"
 # Readings of one request.
 REQUEST_BITS = 20
+_ROW = "_row"
+# Rows that one task may hold in order where they have but a few narrow columns, some 80 bytes.
+NARROW_CHUNK_ROWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -158,32 +161,39 @@ def serve_batch(
 
     A request with a malformed reading is refused as a whole; readings without
     score or threshold are refused one by one and move no counter. Bodies are
-    decoded and scored once and stored in the shared folder; everything behind
-    reads from there, the look for busy machines only three narrow columns.
+    decoded and scored once, and the wide rows stored in the shared folder. Judging,
+    counting and numbering work on a few narrow columns of them; the wide rows are
+    read once more, to be joined with the result and appended.
     """
     spark = requests.sparkSession
     decoded = decode_arrays(requests.select("batch_id", "ts", "value"))
     place = F.when(F.col("position") < 1 << REQUEST_BITS, F.col("position")).otherwise(
         F.raise_error(F.lit(f"a request holds at most {1 << REQUEST_BITS} readings")).cast("int")
     )
-    known = scorer(decoded.withColumn("id", F.shiftleft(F.col("batch_id"), REQUEST_BITS) + place))
-    path = scratch_path(spark, "requests")
-    known.write.parquet(path)
-    readings = spark.read.schema(known.schema).parquet(path)
-
-    bad = readings.where("malformed").select("batch_id").distinct()
-    judged = judge(readings.join(bad, "batch_id", "left_anti"), thresholds)
-    usable = judged.where(F.col("reason").isNull()).drop("reason", "malformed")
-    plan = plan_chunks(readings, ["machine_id"], "ts", "id", **chunking)
-    counted = count_anomalies(usable, chunks=plan)
-    done = scratch_path(spark, "counted")
-    counted.write.parquet(done)
-    counted = spark.read.schema(counted.schema).parquet(done)
-    arrival = plan_chunks(readings, [], "ts", "id", **chunking)
-    rows = monitoring_rows(counted, origin, append_id, ingested_at="ts", writer=writer, chunks=arrival)
-    append_monitoring(rows, table, append_id, writer=writer)
+    numbered = decoded.withColumns({"id": F.shiftleft(F.col("batch_id"), REQUEST_BITS) + place, _ROW: F.monotonically_increasing_id()})
+    readings = _stored(scorer(numbered), "requests")
+
+    chunking = {"min_rows": NARROW_CHUNK_ROWS, **chunking}
+    narrow = readings.select(_ROW, "batch_id", "position", "machine_id", "ts", "id", "reconstruction_error", "malformed")
+    bad = narrow.where("malformed").select("batch_id").distinct()
+    judged = judge(narrow.join(bad, "batch_id", "left_anti"), thresholds)
+    usable = judged.where(F.col("reason").isNull()).drop("reason", "malformed", "threshold")
+    counted = count_anomalies(usable, chunks=plan_chunks(narrow, ["machine_id"], "ts", "id", **chunking))
+    # row numbers of the append, in order of arrival
+    arrival = plan_chunks(narrow, [], "ts", "id", **chunking)
+    marks = _stored(row_sequence(counted, [], "ts", "id", SEQUENCE, chunks=arrival), "counted")
+
+    wide = readings.select(_ROW, "machine_id", "ts", "reconstruction_error", *SENSORS)
+    rows = wide.join(marks.select(_ROW, "anomaly", "anomaly_counter", SEQUENCE), _ROW)
+    append_monitoring(monitoring_rows(rows, origin, append_id, ingested_at="ts", writer=writer, numbered=True), table, append_id, writer=writer)
 
     keys = ["batch_id", "position", "machine_id"]
-    refused = readings.join(bad, "batch_id", "left_semi").select(*keys, F.lit(MALFORMED).alias("reason"))
+    refused = narrow.join(bad, "batch_id", "left_semi").select(*keys, F.lit(MALFORMED).alias("reason"))
     lost = judged.where(F.col("reason").isNotNull()).select(*keys, "reason")
-    return Served(batch_response(counted, seq="position"), refused.unionByName(lost))
+    return Served(batch_response(marks, seq="position"), refused.unionByName(lost))
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

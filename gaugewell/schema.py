@@ -13,9 +13,10 @@ BROKEN = "BROKEN"
 RECOVERING = "RECOVERING"
 MISSING = "MISSING"
 
-# Counter ceiling, queue batch size, and the windows around a breakdown.
+# Counter ceiling, queue batch size and time limit, and the windows around a breakdown.
 COUNTER_LIMIT = 20
 BATCH_SIZE = 20
+BATCH_TIMEOUT_MS = 50
 EXCLUDE_HOURS_BEFORE = 1
 WINDOW_HOURS_BEFORE = 8
 WINDOW_HOURS_AFTER = 3

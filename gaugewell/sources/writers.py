@@ -9,6 +9,9 @@ from gaugewell.functions.scalar import round_to_second
 from gaugewell.operators.ordering import row_sequence
 from gaugewell.schema import APPEND_BITS, MACHINE_BUCKETS, MONITORING_SCHEMA, ORIGIN_STREAM, ROW_BITS, WRITER_BITS
 
+# The number of a row within its append.
+SEQUENCE = "_seq"
+
 
 def write_scored(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """The scored history as Parquet, or as CSV with a header."""
@@ -63,21 +66,24 @@ def monitoring_rows(
     ts: str = "ts",
     tie: str = "id",
     writer: int | None = None,
+    numbered: bool = False,
     **chunking,
 ) -> DataFrame:
     """Rows of the monitoring table, numbered in arrival order within the append.
 
+    ``numbered`` says that column SEQUENCE has these numbers already, from 1.
+
     ``ingested_at`` names a column with the arrival time; without it the time
     of the job counts, as with a column default. Sensors the rows lack stay NULL.
     Ids of different writers or appends never meet; an append with more rows than
     its range of ids is an error.
     """
-    numbered = row_sequence(scored, [], ts, tie, "_seq", **chunking)
+    rows = scored if numbered else row_sequence(scored, [], ts, tie, SEQUENCE, **chunking)
     arrived = F.col(ingested_at) if ingested_at else F.current_timestamp()
     first = _append_key(writer_of(origin) if writer is None else writer, append_id) << ROW_BITS
     too_many = F.raise_error(F.lit(f"an append holds at most {1 << ROW_BITS} rows")).cast("long")
     values = {
-        "id": F.when(F.col("_seq") < 1 << ROW_BITS, F.lit(first) + F.col("_seq")).otherwise(too_many),
+        "id": F.when(F.col(SEQUENCE) < 1 << ROW_BITS, F.lit(first) + F.col(SEQUENCE)).otherwise(too_many),
         "created_at": round_to_second(arrived),
         "origin": F.lit(origin),
     }
@@ -88,7 +94,7 @@ def monitoring_rows(
         source = field.name if field.name in scored.columns else "NULL"
         return F.expr(f"CAST({source} AS {field.dataType.simpleString()}) AS {field.name}")
 
-    return numbered.select(*[stored(f) for f in MONITORING_SCHEMA.fields])
+    return rows.select(*[stored(f) for f in MONITORING_SCHEMA.fields])
 
 
 def append_monitoring(rows: DataFrame, path: str, append_id: int, buckets: int = MACHINE_BUCKETS, writer: int = 0) -> None:

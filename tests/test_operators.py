@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.operators import failures, prepare, selection
-from gaugewell.operators.batching import assign_batches, batch_last_counter
+from gaugewell.operators.batching import assign_batches, assign_timed_batches, batch_last_counter
 from gaugewell.operators.counter import bounded_counter
 from gaugewell.operators.ordering import CHUNK, carry_value, plan_chunks, row_sequence
 from gaugewell.operators.scaler import Scaler, scale_by, scaler_statistics
@@ -325,3 +325,37 @@ def test_a_sensor_without_range_scales_to_zero_in_both_forms(spark):
     got = Scaler((None,), (None,)).transform(rows, ["sensor_00"], "train").collect()
     assert [r[0] for r in got] == [0.0, None]
     assert scale_rows(np.array([[5.0]]), np.array([np.nan]), np.array([np.nan]), "train").tolist() == [[0.0]]
+
+
+def timed(rows, size, timeout_ms):
+    """(id, batch) by going through the rows in order."""
+    out, first, n, batch = [], None, 0, -1
+    for ts, i in sorted(rows):
+        if batch < 0 or n == size or ts >= first + dt.timedelta(milliseconds=timeout_ms):
+            first, n, batch = ts, 0, batch + 1
+        n += 1
+        out.append((i, batch))
+    return out
+
+
+@pytest.mark.parametrize("size, timeout_ms", [(20, 50), (3, 50), (7, 100_000)])
+def test_batches_close_by_count_or_time(spark, size, timeout_ms):
+    rng = random.Random(size)
+    rows, now = [], T0
+    for i in range(700):
+        # bursts, steady runs of 5 ms (ties at 50 ms) and pauses
+        now += dt.timedelta(milliseconds=rng.choice([0, 0, 5, 5, 5, 1] if i % 200 < 150 else [10, 50, 51, 400]))
+        rows.append((now, i))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(i, ts) for ts, i in rows], "id long, ts timestamp").repartition(3)
+    for chunking in ({}, {"min_rows": 30, "pieces": 16}):
+        got = assign_timed_batches(frame, size=size, timeout_ms=timeout_ms, **chunking).orderBy("seq").collect()
+        assert [(r["id"], r["batch_id"]) for r in got] == timed(rows, size, timeout_ms)
+        assert [r["seq"] for r in got] == list(range(1, 701))
+
+
+def test_batches_without_times(spark):
+    rows = [(i, None) for i in range(5)] + [(9, T0), (10, T0 + dt.timedelta(milliseconds=50))]
+    frame = spark.createDataFrame(rows, "id long, ts timestamp")
+    assert [r["batch_id"] for r in assign_timed_batches(frame, size=4).orderBy("seq").collect()] == [0, 0, 0, 0, 1, 2, 3]
+    assert not assign_timed_batches(frame.limit(0)).collect()
