@@ -53,40 +53,55 @@ class WordEncoder:
     def __call__(self, text: str | None) -> bytes:
         chunks = (text or "").replace("\n", " ").split(" ")
         known = self.known
-        if new := {c for c in chunks if c not in known}:
+        if new := set(chunks).difference(known):
             if len(known) + len(new) > self.keep:
                 known, self.old = {"": b""}, known
                 self.known, new = known, set(chunks)
             self._learn(new)
-        return b"".join([known[c] for c in chunks])
+        return b"".join(map(known.__getitem__, chunks))
 
     def _learn(self, chunks: set[str]) -> None:
-        known, old = self.known, self.old
+        known, old, tokenize = self.known, self.old, self.model.tokenize
         forms, missing = [], set()
         for chunk in chunks:
             if chunk in old:
                 known[chunk] = old[chunk]
                 continue
-            word = chunk.rstrip(_MARKS)
-            if not word or not word[-1].lower().isalpha():  # as the vocabulary sees it, folded
-                word = chunk
-            plain = word.lower() if word.isascii() and word.isalpha() else word
-            forms.append((chunk, plain, chunk[len(word) :]))
-            if plain not in known:
-                if plain in old:
-                    known[plain] = old[plain]
-                elif plain.isascii() and plain.isalpha():
+            marks = ""
+            if chunk.isascii() and chunk.isalpha():
+                plain, simple = chunk.lower(), True
+            else:
+                plain = chunk.rstrip(_MARKS)
+                if not plain or not plain[-1].lower().isalpha():  # as the vocabulary sees it, folded
+                    plain = chunk
+                marks = chunk[len(plain) :]
+                if simple := plain.isascii() and plain.isalpha():
+                    plain = plain.lower()
+            ids = known.get(plain)
+            if ids is None:
+                ids = old.get(plain)
+                if ids is None and simple:
                     # one pre-token, which nothing before the model changes
-                    known[plain] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-                else:
-                    missing.add(plain)
+                    ids = array("I", [t.id for t in tokenize(plain)]).tobytes()
+                if ids is not None:
+                    known[plain] = ids
+            if ids is None:
+                missing.add(plain)
+                forms.append((chunk, plain, marks))
+            elif marks:
+                known[chunk] = ids + self._mark(marks)
+            else:
+                known[chunk] = ids
         known.update(self._encode(list(missing)))
         for chunk, plain, marks in forms:
-            if marks not in self.marks:
-                if len(self.marks) > 1000:
-                    self.marks = {"": b""}
-                self.marks.update(self._encode([marks]))
-            known[chunk] = known[plain] + self.marks[marks]
+            known[chunk] = known[plain] + self._mark(marks)
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 1000:
+                self.marks = {"": b""}
+            self.marks.update(self._encode([marks]))
+        return self.marks[marks]
 
     def _encode(self, chunks: list[str]) -> dict[str, bytes]:
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) if chunks else []

@@ -23,7 +23,7 @@ Repeated rows are packed as often as they occur. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -44,20 +44,18 @@ class Limits:
     loss: int = 2048
 
 
-@dataclass
+@dataclass(slots=True)
 class Piece:
     doc: tuple  # (doc_id, tokens of the document)
     start: int
     ids: bytes
     free: int  # leading ids that bear no loss
+    size: int = field(init=False)
+    loss: int = field(init=False)
 
-    @property
-    def size(self) -> int:
-        return len(self.ids) // 4
-
-    @property
-    def loss(self) -> int:
-        return max(0, self.size - self.free)
+    def __post_init__(self) -> None:
+        self.size = len(self.ids) // 4
+        self.loss = max(0, self.size - self.free)
 
     def cut(self, n: int) -> tuple[Piece, Piece]:
         rest = Piece(self.doc, self.start + n, self.ids[4 * n :], max(0, self.free - n))
@@ -65,12 +63,20 @@ class Piece:
 
 
 class Packer:
-    """Sequences from a stream of pieces; each sequence is a list of pieces."""
+    """Sequences from a stream of pieces; each sequence is a list of pieces.
+
+    ``need`` has the demands of the pool's pieces, a column a piece and a row a
+    limit, as they come; ``share`` has them as shares of the limits. Columns of pieces
+    that were placed are zero until the next ones move up.
+    """
 
     def __init__(self, limits: Limits) -> None:
         self.limits = limits
         self.most = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.float64)
-        self.pool: list[Piece] = []
+        self.pool: list[Piece | None] = []
+        self.need = np.zeros((3, 2 * POOL))
+        self.share = np.zeros((3, 2 * POOL))
+        self.held = 0  # pieces in the pool
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         full = self.limits.tokens
@@ -79,40 +85,59 @@ class Packer:
             yield [head]
         if not piece.size:
             return
-        self.pool.append(piece)
-        if len(self.pool) >= POOL:
-            while len(self.pool) > POOL // 2:
+        self._put(piece)
+        if self.held >= POOL:
+            while self.held > POOL // 2:
                 yield self._next()
 
     def rest(self) -> Iterator[list[Piece]]:
-        while self.pool:
+        while self.held:
             yield self._next()
 
+    def _put(self, piece: Piece, at: int | None = None) -> None:
+        if at is None:
+            if len(self.pool) == self.need.shape[1]:
+                kept = [i for i, p in enumerate(self.pool) if p]
+                self.pool = [self.pool[i] for i in kept]
+                for table in (self.need, self.share):
+                    table[:, : len(kept)] = table[:, kept]
+            at = len(self.pool)
+            self.pool.append(None)
+            self.held += 1
+        self.pool[at] = piece
+        self.need[:, at] = (piece.size, 1, piece.loss)
+        self.share[:, at] = self.need[:, at] / self.most
+
     @staticmethod
     def _room(piece: Piece, tokens: int, loss: int) -> int:
         """Leading ids of the piece that fit."""
         return min(piece.size, tokens, loss + piece.free)
 
     def _next(self) -> list[Piece]:
-        need = np.array([(p.size, 1, p.loss) for p in self.pool], dtype=np.float64)
         left = self.most.copy()
-        open_ = np.ones(len(self.pool), dtype=bool)
         placed: list[Piece] = []
-        while left[0] > 0 and left[1] > 0 and open_.any():
-            score = (need / self.most) @ (left / self.most)
-            fits = open_ & (need <= left).all(axis=1)
-            at = int(np.argmax(np.where(fits if fits.any() else open_, score, -1.0)))
+        while left[0] > 0 and left[1] > 0 and self.held:
+            n = len(self.pool)
+            score = (left / self.most) @ self.share[:, :n]
+            # an open piece asks for a segment, so only columns of placed pieces score zero for it
+            score[self.need[1, :n] == 0] = -1.0
+            fits = np.where((self.need[:, :n] <= left[:, None]).all(axis=0), score, -1.0)
+            at = int(fits.argmax())
+            whole = fits[at] >= 0
+            if not whole:
+                at = int(score.argmax())
             room = self._room(self.pool[at], int(left[0]), int(left[2]))
             if not room:
                 break  # no loss left, and the best piece bears loss at once
-            if fits.any():
-                piece, open_[at] = self.pool[at], False
+            if whole:
+                piece, self.pool[at] = self.pool[at], None
+                self.need[:, at] = self.share[:, at] = 0
+                self.held -= 1
             else:
-                piece, self.pool[at] = self.pool[at].cut(room)
-                need[at] = (self.pool[at].size, 1, self.pool[at].loss)
+                piece, rest = self.pool[at].cut(room)
+                self._put(rest, at)
             placed.append(piece)
             left -= (piece.size, 1, piece.loss)
-        self.pool = [p for p, keep in zip(self.pool, open_) if keep]
         return self._even(placed)
 
     def _even(self, placed: list[Piece]) -> list[Piece]:
@@ -127,19 +152,19 @@ class Packer:
                 head, last = last.cut(last.size - over)
                 placed.append(head)
             over -= last.size
-            self.pool.append(last)
+            self._put(last)
         return placed
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits = Limits(), prompt: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, loss_tokens, sequence_id, offset.
 
-    ``vocabulary`` is the path of a tokenizers file on every executor. A column
-    ``prompt`` in ``docs`` is used if it is there.
+    ``vocabulary`` is the path of a tokenizers file on every executor. ``prompt``
+    names the column with the prompts, if there are any.
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-    prompt = F.col("prompt").cast("string") if "prompt" in docs.columns else F.lit(None).cast("string")
+    prompts = F.col(f"`{prompt}`").cast("string") if prompt else F.lit(None).cast("string")
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,4 +201,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits = Lim
         if out:
             yield flush()
 
-    return docs.select("doc_id", "text", prompt.alias("prompt")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", prompts.alias("prompt")).mapInArrow(run, schema)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 SAME = "one two three four five six seven eight nine ten eleven\nalpha beta gamma delta epsilon zeta eta theta iota"
-CLASH = ["words", "at", "n", "len", "key", "gram", "items", "fp", "row", "rest", "score", "f", "digest", "kind", "start", "end", "found", "text_key", "line", "gone", "n_gone", "_copy"]
+CLASH = ["words", "at", "n", "len", "key", "gram", "items", "fp", "row", "rest", "score", "f", "digest", "kind", "start", "end", "found", "text_key", "line", "gone", "n_gone", "_copy", "prompt"]
 ROWS = [
     (1, None),
     (2, ""),

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from helpers import edge_docs, no_docs
 from pyspark.sql import functions as F
-from test_text_operators import check_packing, contaminated, slow_components, slow_fingerprint, slow_line_dedup
+from test_line_runs import brute
+from test_near_dedup import brute_roots
+from test_text_operators import check_packing, contaminated
 
 from gaugewell.llm import encoding, line_dedup, packing, quality
 from gaugewell.llm.common import stored
@@ -34,15 +36,15 @@ def test_stages(spark):
 
     cut = stored(stages["line_dedup"](spark, good, SF), "t")
     ids = sorted(now)
-    texts = slow_line_dedup([now[i]["text"] for i in ids], line_dedup.MIN_WORDS)
+    texts = brute([now[i]["text"] for i in ids], line_dedup.MIN_WORDS)
     want = {i: t for i, t in zip(ids, texts) if t.strip() or t == now[i]["text"]}
     now = rows_of(cut)
     assert {i: r["text"] for i, r in now.items()} == want and all(r["n_chars"] == len(r["text"]) for r in now.values())
 
     single = stored(stages["near_dedup"](spark, cut, SF), "t")
     ids = sorted(now)
-    heads = slow_components([slow_fingerprint(now[i]["text"]) for i in ids], ids, 4)
-    assert rows_of(single) == {i: now[i] for i in set(heads)}
+    heads = {ids[root] for root in brute_roots([now[i]["text"] for i in ids])}
+    assert rows_of(single) == {i: now[i] for i in heads}
     now = rows_of(single)
 
     clean = stored(stages["decontaminate"](spark, single, SF), "t")

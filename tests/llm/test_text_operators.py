@@ -461,7 +461,7 @@ def test_packing(spark, limits):
     rows = [(i, text(), rng.choice([None, "", text()])) for i in range(150)] + [(150, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, prompt string").repartition(2)
     ids = {i: np.array([*np.frombuffer(encode(p), "<u4"), *np.frombuffer(encode(t), "<u4"), 1]) for i, t, p in rows}
-    packed = packing.pack(docs, path, limits=limits).collect()
+    packed = packing.pack(docs, path, limits=limits, prompt="prompt").collect()
     check_packing(packed, ids, limits)
     loss = Counter()
     for r in packed:
