@@ -1,28 +1,26 @@
-"""Line dedup: blocks of lines that an earlier document has go from the later ones.
-
-``drop_common_runs`` deletes from a document every block of neighbouring lines,
-of ``min_words`` words or more, that any earlier document has as neighbouring
-lines too, wherever it stands there: the lines are those which aligning the
-document with each earlier one, again and again until no common block is left,
-would delete. No pairs of documents are made for that. A block is covered by its
-shortest runs of ``min_words`` words, those that start at one of its lines and
-those that end at one. Such a run's hash belongs to the first document
-(smallest doc_id) that has the run, and goes from all others. So a run that
-very many documents share gives as many rows, a block may be made up of the
-runs of several owners, and neither repeated, nor moved, nor frequent lines
-break one. Partners are the owners of the runs that go. In scripts without
-spaces between words (Chinese, Japanese, Thai and others) a line may be a single
-word, so a run also counts as long enough with twice ``min_words`` of their
+"""Line dedup by pairwise alignment: blocks that an earlier document has go from the later one.
+
+Documents overlap if they share a run of neighbouring lines of ``min_words`` words
+or more. Such runs are cut as short as possible, those that start at a line and
+those that end at one, and their hashes are rare even where single lines are not.
+A run's partner is the first document (smallest doc_id) that has it, however many
+have it, so a passage of very many documents makes a star around its first
+holder, never all pairs, and a document has as many partners as it has passages
+of different origin, a pair for each. Repeated runs are reduced to one row a
+document before the shuffle.
+
+The lines of each pair are then aligned (``align``) by patience diff: lines that
+occur once in both are matched in order (longest increasing subsequence), the
+ranges between them in the same way, and where no line is left that occurs once,
+by the longest common block. Blocks that the alignment finds, and that have
+``min_words`` words, go from the later document. What an alignment in order leaves
+out, passages that are moved or repeated, is looked up by its shortest runs in the
+same pair. So what goes is what aligning each document with all earlier ones,
+again and again until no common block is left, would delete. In scripts
+without spaces between words (Chinese, Japanese, Thai and others) a line may be a
+single word, so a block also counts as long enough with twice ``min_words`` of their
 characters; texts in other scripts are counted by words only.
 
-``drop_common_lines`` is the narrower rule that gives each line one partner.
-A line's hash belongs to the first document that has the line, and a later
-document with the line overlaps with that one only. Of a later document and one
-partner, the lines they share that way are aligned by patience diff: lines that
-occur once in both are matched in order (longest increasing subsequence), and
-matches grow over equal neighbouring lines. Blocks whose lines have several
-owners, or no anchor, stay.
-
 Cases: lines are compared without white space at their ends. Blank lines are not
 counted: they neither break a block nor are shared, and go where the lines on
 both sides go. A null text has no lines and stays null. Documents are ordered by
@@ -51,6 +49,7 @@ from .common import stored
 
 MIN_WORDS = 8
 CHARS_A_WORD = 2
+_TRIES = 1_000_000  # equal lines of two ranges, pair by pair, that the longest common block is looked for among
 # Thai, Lao, Tibetan, Burmese, Khmer, Kana, Han
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -59,40 +58,27 @@ def _lines(text: str | None) -> list[str]:
     return [x for line in (text or "").split("\n") if (x := line.strip())]
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """A row per distinct line and document: (doc_id, text_key, line, at, words).
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7) - (1 << 63)
 
-    ``at`` has all its positions among the document's lines that aren't blank.
-    """
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, text_key, and of each line that isn't blank its hash, words and characters of unspaced scripts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, line, places, words = [], [], [], []
-
-            def out() -> pa.RecordBatch:
-                at = pa.array(rows, type=pa.int64())
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, type=pa.int64())]
-                columns += [pa.array(places, type=pa.list_(pa.int32())), pa.array(words, type=pa.int32())]
-                return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line", "at", "words"])
-
-            for i, text in enumerate(batch.column(2)):
-                found: dict[str, list[int]] = {}
-                for k, x in enumerate(_lines(text.as_py())):
-                    found.setdefault(x, []).append(k)
-                for x, at in found.items():
-                    rows.append(i)
-                    line.append(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) - (1 << 63))
-                    places.append(at)
-                    words.append(len(x.split()))
-                if len(rows) > 50_000:
-                    yield out()
-                    rows, line, places, words = [], [], [], []
-            yield out()
+            lines, words, unspaced = [], [], []
+            for text in batch.column(2):
+                mine = _lines(text.as_py())
+                lines.append([_hash(x) for x in mine])
+                words.append([len(x.split()) for x in mine])
+                unspaced.append([_unspaced(x) for x in mine])
+            columns = [pa.array(lines, type=pa.list_(pa.int64())), *[pa.array(c, type=pa.list_(pa.int32())) for c in (words, unspaced)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "lines", "words", "unspaced"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_key long, line long, at array<int>, words int"
-    )
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, lines array<long>, words array<int>, unspaced array<int>")
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -113,25 +99,57 @@ def _increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(mine: list[tuple[list[int], list[int], int]]) -> list[tuple[int, int]]:
-    """Aligned (position in the later, position in the earlier document).
-
-    ``mine``: of each shared line its positions in both documents and its words.
-    """
-    anchors = sorted((a[0], b[0]) for a, b, _ in mine if len(a) == 1 and len(b) == 1)
-    pairs = [anchors[i] for i in _increasing([b for _, b in anchors])]
-    line_of_a = {p: k for k, (a, _, _) in enumerate(mine) for p in a}
-    line_of_b = {p: k for k, (_, b, _) in enumerate(mine) for p in b}
-    out = dict(pairs)
-    for step in (-1, 1):
-        taken = set(out.values())
-        for a, b in sorted(out.items(), reverse=step < 0):
-            a, b = a + step, b + step
-            while a not in out and b not in taken and a in line_of_a and line_of_a[a] == line_of_b.get(b):
-                out[a] = b
-                taken.add(b)
-                a, b = a + step, b + step
-    return sorted(out.items())
+def _once(lines: list[int], lo: int, hi: int) -> dict[int, int]:
+    """The lines that occur once in the range, with their place."""
+    seen: dict[int, int] = {}
+    for k in range(lo, hi):
+        seen[lines[k]] = -1 if lines[k] in seen else k
+    return {x: k for x, k in seen.items() if k >= 0}
+
+
+def _longest(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest common block (place in ``a``, place in ``b``, lines) of two ranges; 0 lines if too many lines repeat to try."""
+    there: dict[int, list[int]] = {}
+    for j in range(blo, bhi):
+        there.setdefault(b[j], []).append(j)
+    if sum(len(there.get(a[i], ())) for i in range(alo, ahi)) > _TRIES:
+        return alo, blo, 0  # ``align`` finds such blocks by their runs
+    best, before = (alo, blo, 0), {}
+    for i in range(alo, ahi):
+        now = {j: before.get(j - 1, 0) + 1 for j in there.get(a[i], ())}
+        for j, k in now.items():
+            if k > best[2]:
+                best = (i - k + 1, j - k + 1, k)
+        before = now
+    return best
+
+
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of equal lines, in order in both texts."""
+    out: list[tuple[int, int]] = []
+    open_ = [(0, len(a), 0, len(b))]
+    while open_:
+        alo, ahi, blo, bhi = open_.pop()
+        while alo < ahi and blo < bhi and a[alo] == b[blo]:
+            out.append((alo, blo))
+            alo, blo = alo + 1, blo + 1
+        while alo < ahi and blo < bhi and a[ahi - 1] == b[bhi - 1]:
+            ahi, bhi = ahi - 1, bhi - 1
+            out.append((ahi, bhi))
+        if alo == ahi or blo == bhi:
+            continue
+        mine, theirs = _once(a, alo, ahi), _once(b, blo, bhi)
+        common = [(k, theirs[x]) for x, k in mine.items() if x in theirs]  # in the order of ``a``
+        if common:
+            anchors = [common[k] for k in _increasing([j for _, j in common])]
+            edges = [(alo, blo), *anchors, (ahi, bhi)]
+            open_ += [(i, k, j, m) for (i, j), (k, m) in zip(edges, edges[1:])]
+            continue
+        i, j, n = _longest(a, b, alo, ahi, blo, bhi)
+        if n:
+            out += [(i + k, j + k) for k in range(n)]
+            open_ += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
+    return sorted(out)
 
 
 def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -147,38 +165,32 @@ def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per later document that loses lines: doc_id, text_key, gone (positions), partners."""
-    lines = stored(line_table(docs), "lines")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = lines.groupBy("line").agg(F.min(F.struct(rank.alias("rank"), F.col("at").alias("there"))).alias("first"), F.count("*").alias("docs"))
-    # lines of one document only end here; written, so that both sides of the next join are shuffled and a frequent line can be split
-    owners = stored(first.filter("docs > 1").select("line", "first.rank.doc_id", "first.rank.text_key", "first.there").toDF("line", "owner_id", "owner_key", "there"), "owners")
-    shared = lines.join(owners, "line").filter(
-        ~(F.col("doc_id").eqNullSafe(F.col("owner_id")) & (F.col("text_key") == F.col("owner_key")))
-    )
-    grouped = shared.groupBy("doc_id", "text_key", "owner_id", "owner_key").agg(F.collect_list(F.struct("at", "there", "words")).alias("shared"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, keep = [], []
-            for i, row in enumerate(batch.column(2)):
-                mine = [(x["at"], x["there"], x["words"]) for x in row.as_py()]
-                words = {p: w for a, _, w in mine for p in a}
-                found = [s for s in blocks(align(mine)) if sum(words[p] for p in range(*s)) >= min_words]
-                if found:
-                    keep.append(i)
-                    spans.append([p for s in found for p in range(*s)])
-            at = pa.array(keep, type=pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(spans, type=pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "gone"])
+def align(mine: list[int], words: list[int], unspaced: list[int], theirs: list[int], least: int = MIN_WORDS) -> set[int]:
+    """Places of the lines of the later document that are in a common block of ``least`` words with the earlier one.
 
-    kind = dict(docs.dtypes)["doc_id"]
-    aligned = grouped.select("doc_id", "text_key", "shared").mapInArrow(run, f"doc_id {kind}, text_key long, gone array<int>")
-    # a line has one partner, so no position comes twice
-    return aligned.groupBy("doc_id", "text_key").agg(
-        F.flatten(F.collect_list("gone")).alias("gone"), F.count("*").cast("int").alias("partners")
-    )
+    ``mine`` and ``theirs`` are the hashes of their lines; ``words`` and ``unspaced`` belong to ``mine``.
+    """
+    gone: set[int] = set()
+    for a, b in blocks(patience(mine, theirs)):
+        if sum(words[a:b]) >= least or sum(unspaced[a:b]) >= least * CHARS_A_WORD:
+            gone |= set(range(a, b))
+    if len(gone) == len(mine):
+        return gone
+    # moved and repeated passages: the shortest runs of the earlier document, within lines that both have
+    size = {x: (w, u) for x, w, u in zip(mine, words, unspaced)}
+    there: set[tuple[int, ...]] = set()
+    at = 0
+    while at < len(theirs):
+        end = at
+        while end < len(theirs) and theirs[end] in size:
+            end += 1
+        part = theirs[at:end]
+        there |= {tuple(part[a:b]) for a, b in shortest_runs([size[x][0] for x in part], least, [size[x][1] for x in part])}
+        at = end + 1
+    for a, b in shortest_runs(words, least, unspaced):
+        if tuple(mine[a:b]) in there:
+            gone |= set(range(a, b))
+    return gone
 
 
 def _unspaced(line: str) -> int:
@@ -210,58 +222,70 @@ def shortest_runs(words: list[int], least: int, unspaced: list[int] | None = Non
 
 
 def run_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per distinct shortest run and document: (doc_id, text_key, run, at, size); ``at`` has the places of its first line."""
+    """A row per distinct shortest run and document: (doc_id, text_key, run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, runs, places, sizes = [], [], [], []
+            rows, runs = [], []
 
             def out() -> pa.RecordBatch:
                 at = pa.array(rows, type=pa.int64())
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(runs, type=pa.int64())]
-                columns += [pa.array(places, type=pa.list_(pa.int32())), pa.array(sizes, type=pa.int32())]
-                return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "run", "at", "size"])
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(runs, type=pa.int64())], ["doc_id", "text_key", "run"])
 
             for i, text in enumerate(batch.column(2)):
                 lines = _lines(text.as_py())
-                found: dict[str, list[int]] = {}
-                size: dict[str, int] = {}
-                for a, b in sorted(shortest_runs([len(x.split()) for x in lines], min_words, [_unspaced(x) for x in lines])):
-                    x = "\n".join(lines[a:b])
-                    found.setdefault(x, []).append(a)
-                    size[x] = b - a
-                for x, at in found.items():
-                    rows.append(i)
-                    runs.append(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) - (1 << 63))
-                    places.append(at)
-                    sizes.append(size[x])
+                found = shortest_runs([len(x.split()) for x in lines], min_words, [_unspaced(x) for x in lines])
+                mine = {_hash("\n".join(lines[a:b])) for a, b in found}
+                rows += [i] * len(mine)
+                runs += sorted(mine)
                 if len(rows) > 50_000:
                     yield out()
-                    rows, runs, places, sizes = [], [], [], []
+                    rows, runs = [], []
             yield out()
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_key long, run long, at array<int>, size int"
-    )
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, run long")
 
 
-def common_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per later document that loses lines: doc_id, text_key, gone (positions), partners."""
+def partners(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Distinct pairs (doc_id, text_key, owner_id, owner_key) of a document and the first one with a run of it."""
     runs = stored(run_table(docs, min_words), "runs")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = runs.groupBy("run").agg(F.min(rank).alias("first"), F.count("*").alias("docs"))
-    # as in common_blocks
+    # runs of one document only end here; written, so that both sides of the next join are shuffled and a frequent run can be split
     owners = stored(first.filter("docs > 1").select("run", "first.doc_id", "first.text_key").toDF("run", "owner_id", "owner_key"), "owners")
     shared = runs.join(owners, "run").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("owner_id")) & (F.col("text_key") == F.col("owner_key")))
     )
-    lines = F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1)))
-    grouped = shared.groupBy("doc_id", "text_key").agg(
-        F.array_distinct(F.flatten(F.collect_set(lines))).alias("gone"),
-        F.size(F.collect_set(F.struct("owner_id", "owner_key"))).alias("partners"),
+    return shared.select("doc_id", "text_key", "owner_id", "owner_key").distinct()
+
+
+def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per later document that loses lines: doc_id, text_key, gone (positions), partners."""
+    pairs = stored(partners(docs, min_words), "line_partners")
+    lines = stored(line_table(docs).dropDuplicates(["doc_id", "text_key"]), "document_lines")
+    p, d, o = pairs.alias("p"), lines.alias("d"), lines.alias("o")
+    of = lambda side, i, k: F.col(f"{side}.doc_id").eqNullSafe(F.col(f"p.{i}")) & (F.col(f"{side}.text_key") == F.col(f"p.{k}"))
+    both = p.join(d, of("d", "doc_id", "text_key")).join(o, of("o", "owner_id", "owner_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, keep = [], []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                if found := align(*row, min_words):
+                    keep.append(i)
+                    gone.append(sorted(found))
+            at = pa.array(keep, type=pa.int64())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(gone, type=pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "gone"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    aligned = both.select("p.doc_id", "p.text_key", F.col("d.lines").alias("mine"), "d.words", "d.unspaced", F.col("o.lines").alias("theirs")).mapInArrow(
+        run, f"doc_id {kind}, text_key long, gone array<int>"
+    )
+    return aligned.groupBy("doc_id", "text_key").agg(
+        F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"), F.count("*").cast("int").alias("partners")
     )
-    return grouped
 
 
 @F.pandas_udf(T.StringType())
@@ -288,11 +312,6 @@ def cut(text: str, gone: set[int]) -> str:
     return "\n".join(kept)
 
 
-def drop_common_runs(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = True, counts: bool = False) -> DataFrame:
-    """``docs`` without the blocks that any earlier document has; arguments as for ``drop_common_lines``."""
-    return _drop(docs, common_runs(docs, min_words), keep_empty, counts)
-
-
 def drop_common_lines(docs: DataFrame, min_words: int = MIN_WORDS, keep_empty: bool = True, counts: bool = False) -> DataFrame:
     """``docs`` with the common blocks deleted.
 

@@ -283,47 +283,10 @@ def test_url_filter(spark):
 # --- line dedup ---
 
 
-def slow_line_dedup(texts, least):
-    owner = {}
-    for i, text in enumerate(texts):
-        for line in line_dedup._lines(text):
-            owner.setdefault(line, i)
-    out = []
-    for i, text in enumerate(texts):
-        lines, gone, shared = line_dedup._lines(text), set(), {}
-        for k, line in enumerate(lines):
-            if owner[line] != i:
-                shared.setdefault(owner[line], {}).setdefault(line, []).append(k)
-        for o, mine in shared.items():
-            theirs = line_dedup._lines(texts[o])
-            pairs = line_dedup.align([(at, [k for k, x in enumerate(theirs) if x == line], len(line.split())) for line, at in mine.items()])
-            for a, b in line_dedup.blocks(pairs):
-                if sum(len(lines[k].split()) for k in range(a, b)) >= least:
-                    gone |= set(range(a, b))
-        out.append(None if text is None else line_dedup.cut(text, gone))
-    return out
-
-
-def test_align():
-    # a b c d (later) against a x b c d: anchors in order, one run of three
-    one = lambda a, b: ([a], [b], 5)
-    pairs = line_dedup.align([one(0, 0), one(1, 2), one(2, 3), one(3, 4)])
-    assert pairs == [(0, 0), (1, 2), (2, 3), (3, 4)] and line_dedup.blocks(pairs) == [(0, 1), (1, 4)]
-    # a moved line is no anchor; a repeated line joins its neighbours
-    assert line_dedup.align([one(0, 2), one(1, 0), one(2, 1)]) == [(1, 0), (2, 1)]
-    assert line_dedup.align([one(0, 0), ([1, 5], [1, 9], 1), one(2, 2)]) == [(0, 0), (1, 1), (2, 2)]
-    assert line_dedup.align([([1, 5], [1, 9], 1)]) == []
+def test_cut():
     assert line_dedup.cut("a\n\nb\n \nc", {1}) == "a\n\n \nc" and line_dedup.cut("a\n\nb\nc", {0, 1}) == "c"
 
 
-def test_line_dedup(spark):
-    rng = random.Random(9)
-    lines = [f"line {i} " + "word " * rng.randint(1, 6) for i in range(25)]
-    texts = ["\n".join(rng.choice([*lines, ""]) for _ in range(rng.randint(1, 15))) for _ in range(60)]
-    got = {r.doc_id: r.text for r in line_dedup.drop_common_lines(docs_of(spark, texts), min_words=8).collect()}
-    assert [got[i] for i in range(60)] == slow_line_dedup(texts, 8)
-
-
 def test_line_dedup_cases(spark):
     docs = edge_docs(spark)
     out = line_dedup.drop_common_lines(docs)
