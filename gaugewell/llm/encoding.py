@@ -60,6 +60,10 @@ class WordEncoder:
             self._learn(new)
         return b"".join(map(known.__getitem__, chunks))
 
+    def forget(self) -> None:
+        """Keep the younger generation only; for the end of a task, whose worker may go on with other work."""
+        self.old = {}
+
     def _learn(self, chunks: set[str]) -> None:
         known, old, tokenize = self.known, self.old, self.model.tokenize
         forms, missing = [], set()

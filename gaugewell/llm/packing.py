@@ -198,6 +198,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits = Lim
                     yield flush()
         for placed in packer.rest():
             write(placed)
+        encode.forget()
         if out:
             yield flush()
 
