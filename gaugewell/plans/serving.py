@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.functions.messages import decode_arrays
@@ -54,12 +54,16 @@ class Scorer:
         return readings.withColumn(name, error)
 
 
+def _reason(error: str) -> Column:
+    return F.when(F.col(error).isNull(), NO_SCORE).when(F.col("threshold").isNull(), NO_THRESHOLD)
+
+
 def judge(scored: DataFrame, thresholds: DataFrame, error: str = "reconstruction_error") -> DataFrame:
     """Add threshold, anomaly and, where a reading cannot be judged, the ``reason``."""
     joined = attach_threshold(scored, thresholds)
     return joined.withColumns({
         "anomaly": anomaly_flag(F.col(error), F.col("threshold")),
-        "reason": F.when(F.col(error).isNull(), NO_SCORE).when(F.col("threshold").isNull(), NO_THRESHOLD),
+        "reason": _reason(error),
     })
 
 
@@ -81,14 +85,20 @@ def count_with_history(
     tie: str = "id",
     error: str = "reconstruction_error",
     start: DataFrame | None = None,
-    keep_control: bool = False,
     **chunking,
 ) -> DataFrame:
     """Threshold at reading time, anomaly and counter, where writing a threshold sets the counter to 0.
 
-    ``start`` holds (machine_id, threshold, counter) from before the first
-    event. ``keep_control`` keeps the threshold events in the result.
+    ``start`` holds (machine_id, threshold, counter) from before the first event.
     """
+    counted, _ = judge_with_history(scored, history, ts, tie, error, start, **chunking)
+    return counted.where(~F.col("is_control")).drop("is_control", "event_order")
+
+
+def judge_with_history(
+    scored: DataFrame, history: DataFrame, ts: str = "ts", tie: str = "id", error: str = "reconstruction_error", start: DataFrame | None = None, **chunking
+) -> tuple[DataFrame, DataFrame]:
+    """As ``count_with_history``: the counted readings with the threshold events, and the other readings with the ``reason``."""
     events = merge_events(scored, history, ts, tie)
     known = "set_threshold"
     if start is not None:
@@ -105,15 +115,15 @@ def count_with_history(
     here = {"chunks": chunks, "placed": True}
     filled = carry_value(chunks.place(events), ["machine_id"], ts, "event_order", known, "threshold", **here)
     filled = filled.where(F.col("event_order") >= 0)
-    usable = filled.where(F.col("is_control") | (F.col("threshold").isNotNull() & F.col(error).isNotNull()))
+    reason = F.when(~F.col("is_control"), _reason(error))
+    usable = filled.where(reason.isNull())
+    refused = filled.withColumn("reason", reason).where(F.col("reason").isNotNull())
     flagged = usable.withColumn(
         "anomaly", F.when(~F.col("is_control"), anomaly_flag(F.col(error), F.col("threshold")))
     ).withColumn("step", F.when(F.col("is_control"), RESET).when(F.col("anomaly"), UP).otherwise(DOWN))
     counters = start.select("machine_id", "counter") if start is not None else None
     counted = bounded_counter(flagged, ts=ts, tie="event_order", start=counters, **here)
-    if keep_control:
-        return counted.drop("step", known)
-    return counted.where(~F.col("is_control")).drop("step", known, "is_control", "event_order")
+    return counted.drop("step", known), refused
 
 
 def score_batch(readings: DataFrame, scorer: Scorer, thresholds: DataFrame, ts: str = "ts", tie: str = "id", **chunking) -> DataFrame:

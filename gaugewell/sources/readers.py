@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from gaugewell.functions.messages import encode_reading
 from gaugewell.functions.scalar import parse_or_zero
 from gaugewell.operators.selection import not_null
-from gaugewell.schema import MACHINE_BUCKETS, MONITORING_SCHEMA, SCALER_SCHEMA, SENSORS, WEIGHTS_SCHEMA, history_schema
+from gaugewell.schema import MONITORING_SCHEMA, SCALER_SCHEMA, SENSORS, WEIGHTS_SCHEMA, history_schema
 
 # Fixed value: the time text of the sensor history.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -98,12 +98,16 @@ def read_scaler_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_monitoring(spark: SparkSession, path: str, machine_id: int | None = None, buckets: int = MACHINE_BUCKETS) -> DataFrame:
-    """The monitoring table, or one machine of it read from its own bucket folders only."""
-    table = spark.read.schema(f"{_ddl()}, writer int, ingest_batch long, machine_bucket int").parquet(path)
+def read_monitoring(spark: SparkSession, path: str, machine_id: int | None = None) -> DataFrame:
+    """The monitoring table, or one machine of it read from its own bucket folders only.
+
+    The number of buckets is read from the folders, and may differ between appends.
+    """
+    table = spark.read.schema(f"{_ddl()}, writer int, ingest_batch long, buckets int, machine_bucket int").parquet(path)
     if machine_id is not None:
-        table = table.where((F.col("machine_bucket") == machine_id % buckets) & (F.col("machine_id") == machine_id))
-    return table.drop("writer", "ingest_batch", "machine_bucket")
+        own = F.col("machine_bucket") == F.pmod(F.lit(machine_id), F.col("buckets"))
+        table = table.where(own & (F.col("machine_id") == machine_id))
+    return table.drop("writer", "ingest_batch", "buckets", "machine_bucket")
 
 
 def read_monitoring_jdbc(spark: SparkSession, url: str, table: str = "monitoring", **options: str) -> DataFrame:

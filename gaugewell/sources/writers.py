@@ -100,18 +100,20 @@ def monitoring_rows(
 def append_monitoring(rows: DataFrame, path: str, append_id: int, buckets: int = MACHINE_BUCKETS, writer: int = 0) -> None:
     """Append under the folder of this writer and append; repeating it replaces the same rows.
 
-    Within the append rows go to a fixed number of machine buckets. The rebalance
-    hint groups a bucket's rows into files of the advisory size and splits a
-    bucket that a busy machine made large.
+    Within the append rows go to a fixed number of machine buckets, which is part of
+    the folder's name, so that a reader finds it whatever a writer chose. The
+    rebalance hint groups a bucket's rows into files of the advisory size and splits
+    a bucket that a busy machine made large.
     """
     _append_key(writer, append_id)
+    folder = f"{path}/writer={writer}/ingest_batch={append_id}"
     (
-        rows.withColumn("machine_bucket", F.pmod(F.col("machine_id"), F.lit(buckets)).cast("int"))
+        rows.withColumns({"buckets": F.lit(buckets), "machine_bucket": F.pmod(F.col("machine_id"), F.lit(buckets)).cast("int")})
         .hint("rebalance", "machine_bucket")
         .sortWithinPartitions("machine_bucket", "machine_id", "id")
         .write.mode("overwrite")
-        .partitionBy("machine_bucket")
-        .parquet(f"{path}/writer={writer}/ingest_batch={append_id}")
+        .partitionBy("buckets", "machine_bucket")
+        .parquet(folder)
     )
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gaugewell.functions.messages import accepted
 from gaugewell.operators.ordering import plan_chunks
-from gaugewell.plans.serving import MALFORMED, NO_SCORE, NO_THRESHOLD, Scorer, count_anomalies, count_with_history, flag_anomalies
+from gaugewell.plans.serving import MALFORMED, Scorer, count_anomalies, judge, judge_with_history
 from gaugewell.schema import ORIGIN_STREAM
 from gaugewell.sources.writers import append_monitoring, monitoring_rows, writer_of
 
@@ -76,16 +75,12 @@ class MonitorJob:
         )
         append_monitoring(rows, self.table, batch_id, writer=self.writer)
 
-    def _refuse(self, decoded: DataFrame, readings: DataFrame, counted: DataFrame, batch_id: int) -> None:
+    def _refuse(self, decoded: DataFrame, lost: DataFrame, batch_id: int) -> None:
         """What is not stored, with the reason: each message of the micro-batch is in one of the two tables."""
-        key = ["machine_id", self.ts, self.tie]
-        kept = [c for c in ("value", *key) if c in decoded.columns]
+        kept = [c for c in ("value", "machine_id", self.ts, self.tie) if c in decoded.columns]
         bad = decoded.where("malformed").select(*kept, F.lit(MALFORMED).alias("reason"))
-        there = counted.select(*[F.col(c).alias(f"_{c}") for c in key])
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
-        lost = readings.join(there, same, "left_anti")
-        reason = F.when(F.col("reconstruction_error").isNull(), NO_SCORE).otherwise(NO_THRESHOLD)
-        bad.unionByName(lost.select(*kept, reason.alias("reason"))).write.mode("overwrite").parquet(f"{self.rejected}/batch={batch_id}")
+        refused = lost.where(F.col("reason").isNotNull()).select(*kept, "reason")
+        bad.unionByName(refused).write.mode("overwrite").parquet(f"{self.rejected}/batch={batch_id}")
 
     @contextmanager
     def _kept(self, *frames: DataFrame) -> Iterator[None]:
@@ -108,12 +103,13 @@ class MonitorJob:
             with self._kept(batch):
                 before = states.before(batch.sparkSession, batch_id)
                 chunks = plan_chunks(batch, ["machine_id"], self.ts, self.tie)
-                good = accepted(batch)
+                judged = judge(accepted(batch), thresholds)
                 start = before.select("machine_id", "counter")
-                counted = count_anomalies(flag_anomalies(good, thresholds), self.ts, self.tie, start=start, chunks=chunks)
+                usable = judged.where(F.col("reason").isNull()).drop("reason")
+                counted = count_anomalies(usable, self.ts, self.tie, start=start, chunks=chunks)
                 with self._kept(counted):
                     self._store(counted, batch, batch_id)
-                    self._refuse(batch, good, counted, batch_id)
+                    self._refuse(batch, judged, batch_id)
                     states.write(_advance(before, counted, self.ts, self.tie), batch_id)
 
         return self._run(scorer(decoded) if scorer else decoded, handle, **trigger)
@@ -138,11 +134,11 @@ class MonitorJob:
                     self.tie,
                 )
                 readings = good.where(F.col("set_threshold").isNull()).drop("set_threshold")
-                counted = count_with_history(readings, written, self.ts, self.tie, start=before, keep_control=True)
+                counted, refused = judge_with_history(readings, written, self.ts, self.tie, start=before)
                 with self._kept(counted):
                     stored = counted.where(~F.col("is_control"))
                     self._store(stored, batch, batch_id)
-                    self._refuse(batch, readings, stored, batch_id)
+                    self._refuse(batch, refused, batch_id)
                     states.write(_advance(before, counted, self.ts, "event_order"), batch_id)
 
         return self._run(scorer(events) if scorer else events, handle, **trigger)

@@ -176,7 +176,15 @@ def test_monitoring_table(spark, tmp_path):
     assert panels.band_series(one, 7).count() == 2 * 52
     assert len(panels.band_panel(spark, one, 7, "42-71").columns) == 2 + 13
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(machine_bucket" in plan
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "machine_bucket" in filters and "buckets" in filters
+    # appends with other numbers of buckets are found as well, and only their own folders are read
+    for n, buckets in enumerate((1, 64), start=4):
+        writers.append_monitoring(rows, path, n, buckets=buckets)
+    one = readers.read_monitoring(spark, path, 7)
+    assert one.count() == 3 * 2 and readers.read_monitoring(spark, path, -1).count() == 0
+    files = {f for f in one.select("_metadata.file_path").distinct().toPandas()["file_path"]}
+    assert {f.split("buckets=")[1].split("/part")[0] for f in files} == {"16/machine_bucket=7", "1/machine_bucket=0", "64/machine_bucket=7"}
 
 
 def test_state_slots_alternate(spark, tmp_path):

@@ -11,7 +11,7 @@ from gaugewell.operators.counter import bounded_counter
 from gaugewell.operators.ordering import CHUNK, carry_value, plan_chunks, row_sequence
 from gaugewell.operators.scaler import Scaler, scale_by, scaler_statistics
 from gaugewell.operators.thresholds import attach_threshold_asof, latest_thresholds
-from gaugewell.plans.serving import count_with_history
+from gaugewell.plans.serving import NO_SCORE, NO_THRESHOLD, count_with_history, judge_with_history
 
 T0 = dt.datetime(2024, 1, 1)
 SPLIT = {"min_rows": 20, "pieces": 16}
@@ -359,3 +359,12 @@ def test_batches_without_times(spark):
     frame = spark.createDataFrame(rows, "id long, ts timestamp")
     assert [r["batch_id"] for r in assign_timed_batches(frame, size=4).orderBy("seq").collect()] == [0, 0, 0, 0, 1, 2, 3]
     assert not assign_timed_batches(frame.limit(0)).collect()
+
+
+def test_readings_with_one_key_are_judged_one_by_one(spark):
+    """Of two readings with the same machine, time and id only the one without a score is refused."""
+    rows = spark.createDataFrame([(1, 5, T0, 0.9), (1, 5, T0, None), (2, 6, T0, 0.1)], "machine_id int, id long, ts timestamp, reconstruction_error double")
+    history = spark.createDataFrame([(1, 0.5, T0, 1)], "machine_id int, threshold double, effective_at timestamp, id long")
+    counted, refused = judge_with_history(rows, history)
+    assert [(r["machine_id"], r["anomaly_counter"]) for r in counted.where("NOT is_control").collect()] == [(1, 1)]
+    assert sorted((r["machine_id"], r["reason"]) for r in refused.collect()) == [(1, NO_SCORE), (2, NO_THRESHOLD)]
