@@ -14,6 +14,8 @@ and text exactly one stays. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,12 @@ class DigestIndex:
     """The index at ``path``, a folder all executors share; created when it is missing.
 
     ``buckets`` is fixed at creation: some 200 MB of digests in each is a good
-    size. ``name`` is the name in the session's catalog only.
+    size. ``name`` is the name in the session's catalog only, one for each path.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int = 64) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "digest_index_" + path.rstrip("/").rpartition("/")[2].replace("-", "_").replace(".", "_")
+        self.name = "digest_index_" + hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:32]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS `{self.name}` (digest BINARY, keep_id {id_type}, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"

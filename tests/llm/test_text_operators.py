@@ -192,6 +192,14 @@ def test_index_side_is_not_shuffled(spark, tmp_path):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_indexes_with_the_same_last_name(spark, tmp_path):
+    rows = docs_of(spark, ["a", "b", "a"])
+    for folder in ("x", "y"):
+        index = exact_dedup.DigestIndex(spark, f"{tmp_path}/{folder}/index", buckets=2)
+        assert sum(r.kept for r in exact_dedup.deduplicate(rows, index, "one").collect()) == 2
+        assert index.rows().count() == 2
+
+
 # --- quality ---
 
 
