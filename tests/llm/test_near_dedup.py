@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from helpers import edge_docs, no_docs
 from test_text_operators import LOWER, docs_of
 
@@ -53,6 +54,21 @@ def test_near_groups_find_all_similar_texts(spark):
     assert len(set(want)) < len({r.component_id for r in simhash.near_groups(docs_of(spark, texts)).collect()})
 
 
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for size in (1, 2, 9, 40, 300, 5000):
+        for edits in (0, 1, size // 10, size // 9 + 1, size // 2):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[edits:], rng.integers(0, 1 << 63, edits, dtype=np.uint64)]))
+            bits = np.stack([near_dedup.sketch(a), near_dedup.sketch(b)]).view(np.uint64)
+            kept = near_dedup._near(np.array([len(a), len(b)]), bits, np.array([0]), np.array([1]))[0]
+            assert kept or not near_dedup.similar(a, b)
+            assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
+            ruled_out += not kept
+    assert ruled_out >= 5
+
+
 def test_near_groups_cases(spark):
     assert not near_dedup.near_groups(no_docs(spark)).collect()
     docs = edge_docs(spark)
