@@ -16,7 +16,7 @@ from gaugewell.operators.selection import not_null
 from gaugewell.operators.training import TrainedModel, train_autoencoder
 from gaugewell.schema import SENSORS
 from gaugewell.session import scratch_path
-from gaugewell.sources.readers import read_history
+from gaugewell.sources.readers import read_history, read_history_or_refuse
 from gaugewell.sources.writers import write_scaler_version, write_scored, write_weights
 
 
@@ -65,10 +65,18 @@ def run_offline(
     exclude: bool = True,
     partitions: int | None = None,
     sensors: list[str] = SENSORS,
+    refuse: bool = False,
 ) -> OfflineRun:
-    """Train on a history, store scaler and weights, score the same history."""
+    """Train on a history, store scaler and weights, score the same history.
+
+    A malformed line is an error, or with ``refuse`` is stored with its reason under ``refused`` and left out.
+    """
     # the text is parsed once; medians, scaler, training and scoring read the Parquet copy
-    history = _stored(read_history(spark, history_path, sensors), "history")
+    if refuse:
+        history, refused = read_history_or_refuse(spark, history_path, sensors)
+        refused.write.mode("overwrite").parquet(f"{output_path}/refused")
+    else:
+        history = _stored(read_history(spark, history_path, sensors), "history")
     imputer = Imputer.fit(history)
     cleaned = _stored(clean(history, imputer), "cleaned")
     learn = training_rows(cleaned, exclude).withColumn("id", F.unix_micros("timestamp"))

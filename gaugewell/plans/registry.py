@@ -275,6 +275,35 @@ def sensor_csv_scan(spark, sf_dir):
     return rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+_SQL_FAULT = """CASE WHEN l_orderkey % 7 = 1 THEN 'cells' WHEN l_orderkey % 11 = 2 THEN 'number' WHEN l_orderkey % 5 = 3 THEN 'time' END"""
+
+
+@check(
+    "history_rejects",
+    f"""WITH {WIDE}, judged AS (SELECT *, {_SQL_FAULT} AS reason FROM wide)
+        SELECT reason, CASE WHEN reason IS NOT NULL THEN CAST(l_orderkey * 8 + l_linenumber AS BIGINT) END AS index,
+               {', '.join(f'CASE WHEN reason IS NULL THEN {c} END AS {c}' for c in ['timestamp', *WIDE_SENSORS, 'machine_status'])}
+        FROM judged""",
+)
+def history_rejects(spark, sf_dir):
+    order = F.col("l_orderkey")
+    text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    damaged = wide(spark, sf_dir).select(
+        (order * 8 + F.col("l_linenumber")).alias("index"),
+        F.when(order % 5 == 3, F.concat(F.lit("on "), text)).otherwise(text).alias("timestamp"),
+        F.when(order % 11 == 2, "n/a").otherwise(F.col(WIDE_SENSORS[0]).cast("string")).alias(WIDE_SENSORS[0]),
+        *WIDE_SENSORS[1:],
+        F.when(order % 7 == 1, F.concat(F.coalesce("machine_status", F.lit("")), F.lit(",more"))).otherwise(F.col("machine_status")).alias("machine_status"),
+    )
+    path = scratch_path(spark, "damaged_history")
+    # without quotes, a comma in a cell makes two of it
+    damaged.write.option("header", True).option("quote", "").csv(path)
+    rows, refused = readers.read_history_or_refuse(spark, path, WIDE_SENSORS)
+    index = F.split("line", ",")[0].cast("long").alias("index")
+    rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return rows.unionByName(refused.select("reason", index), allowMissingColumns=True)
+
+
 @check(
     "scored_csv_scan",
     f"""WITH {WIDE} SELECT timestamp, sensor_00, sensor_02, sensor_03, machine_status, sensor_01 AS reconstruction_errors

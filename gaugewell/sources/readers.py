@@ -10,6 +10,7 @@ from gaugewell.functions.messages import encode_reading
 from gaugewell.functions.scalar import parse_or_zero
 from gaugewell.operators.selection import not_null
 from gaugewell.schema import MONITORING_SCHEMA, SCALER_SCHEMA, SENSORS, WEIGHTS_SCHEMA, history_schema
+from gaugewell.session import scratch_path
 
 # Fixed value: the time text of the sensor history.
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -35,6 +36,50 @@ def read_history(spark: SparkSession, path: str, sensors: list[str] = SENSORS) -
     return _csv(spark, path, history_schema(sensors)).drop("index").withColumn("timestamp", _timestamp())
 
 
+def _judge_history(spark: SparkSession, path: str, sensors: list[str]) -> DataFrame:
+    """A history with the ``reason`` to refuse a row and the ``line`` it came from, both NULL for a good row.
+
+    Spark checks only cells of columns that are read, so the whole frame has to be written.
+    """
+    schema = history_schema(sensors)
+    width = len(schema.fields)
+    rows = (
+        spark.read.schema(T.StructType([*schema.fields, T.StructField("_line", T.StringType())]))
+        .option("header", True)
+        .option("enforceSchema", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_line")
+        .csv(path)
+    )
+    time = F.try_to_timestamp("timestamp", F.lit(TIME_FORMAT))
+    outside_quotes = F.regexp_replace("_line", r'"(?:[^"\\]|\\.)*"', "")
+    reason = (
+        F.when(F.size(F.split(outside_quotes, ",")) != width, "cells")
+        .when(F.col("_line").isNotNull(), "number")
+        .when(F.col("timestamp").isNotNull() & time.isNull(), "time")
+    )
+    # a line whose only fault is its time was parsed, so its text is put together again
+    again = F.to_csv(F.struct(*[f.name for f in schema.fields]))
+    line = F.when(reason.isNotNull(), F.coalesce("_line", again))
+    return rows.select(time.alias("timestamp"), *sensors, "machine_status", reason.alias("reason"), line.alias("line"))
+
+
+def read_history_or_refuse(spark: SparkSession, path: str, sensors: list[str] = SENSORS) -> tuple[DataFrame, DataFrame]:
+    """The good rows of a history, as ``read_history`` gives them, and (reason, line) of the others.
+
+    Reasons: ``cells`` (too many or too few of them), ``number`` (a cell that should be one is none),
+    ``time`` (an unreadable one); the first that holds is given. Empty cells are NULL and no fault. The
+    text is parsed once and written to the shared folder in two partitions, of which each result reads
+    its own; nothing is shuffled.
+    """
+    judged = _judge_history(spark, path, sensors).withColumn("refused", F.col("reason").isNotNull())
+    store = scratch_path(spark, "judged_history")
+    judged.write.partitionBy("refused").parquet(store)
+    found = spark.read.schema(judged.schema).parquet(store)
+    good = found.where(~F.col("refused")).drop("reason", "line", "refused")
+    return good, found.where("refused").select("reason", "line")
+
+
 def read_scored_history(spark: SparkSession, path: str, sensors: list[str] = SENSORS) -> DataFrame:
     """A scored history; rows with any NULL are dropped."""
     return not_null(_csv(spark, path, history_schema(sensors, scored=True))).withColumn("timestamp", _timestamp())

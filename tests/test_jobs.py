@@ -135,6 +135,50 @@ def test_malformed_history_is_an_error(spark, tmp_path):
     assert row["sensor_01"] is None and row["sensor_00"] == 1.0 and "index" not in row
 
 
+def test_malformed_lines_are_refused_with_a_reason(spark, tmp_path):
+    path = tmp_path / "mixed.csv"
+    good = ["0,2020-01-01 00:00:00,1,,1,1,NORMAL", "1,2020-01-01 00:01:00.5,NaN,2,1,1,", '2,,1,2,3,4,"a, b"', ",2020-01-01 00:00:00,,,,,"]
+    bad = {
+        "3,2020-01-01 00:00:00,1,x,1,1,NORMAL": "number",
+        "3.5,2020-01-01 00:00:00,1,1,1,1,NORMAL": "number",
+        "4,yesterday,1,2,1,1,NORMAL": "time",
+        "5,2020-02-30 00:00:00,1,2,1,1,NORMAL": "time",
+        "6,yesterday,x,2,1,1,NORMAL,more": "cells",
+        "7,2020-01-01 00:00:00,1": "cells",
+        '8,2020-01-01 00:00:00,1,2,1,1,"a, b",more': "cells",
+        '9,yesterday,x,2,1,1,"a, b"': "number",
+    }
+    header = "i,timestamp," + ",".join(SMALL) + ",machine_status"
+    path.write_text("\n".join([header, *good, *bad]) + "\n")
+    rows, refused = readers.read_history_or_refuse(spark, str(path), SMALL)
+    assert {(r["line"].split(",")[0], r["reason"]) for r in refused.collect()} == {(k.split(",")[0], v) for k, v in bad.items()}
+    assert {r["line"] for r in refused.where("reason <> 'time'").collect()} == {k for k, v in bad.items() if v != "time"}
+    # the good lines come out as the strict reader gives them
+    clean = tmp_path / "clean.csv"
+    clean.write_text("\n".join([header, *good]) + "\n")
+    strict = readers.read_history(spark, str(clean), SMALL)
+    assert rows.schema == strict.schema
+    assert sorted(map(str, rows.collect())) == sorted(map(str, strict.collect()))
+    # a result has its rows whichever columns are read of it
+    assert rows.select("sensor_02").count() == len(good) and refused.count() == len(bad)
+    for text in ("", header + "\n"):
+        path.write_text(text)
+        rows, refused = readers.read_history_or_refuse(spark, str(path), SMALL)
+        assert rows.isEmpty() and refused.isEmpty()
+
+
+def test_offline_run_keeps_refused_lines(spark, tmp_path):
+    header = "i,timestamp," + ",".join(SMALL) + ",machine_status"
+    lines = [f"{i},2020-01-01 {i // 60:02}:{i % 60:02}:00,{i % 7},{i % 5},{i % 3},{i % 2},NORMAL" for i in range(240)]
+    lines[17], lines[99] = "17,at noon,1,1,1,1,NORMAL", "99,2020-01-01 00:00:00,one,1,1,1,NORMAL"
+    path = tmp_path / "history.csv"
+    path.write_text("\n".join([header, *lines]) + "\n")
+    run = offline.run_offline(spark, str(path), str(tmp_path / "out"), epochs=1, partitions=2, sensors=SMALL, refuse=True)
+    assert run.scored.count() == 238
+    refused = spark.read.parquet(str(tmp_path / "out" / "refused")).collect()
+    assert sorted((r["reason"], r["line"].split(",")[0]) for r in refused) == [("number", "99"), ("time", "17")]
+
+
 def test_scaler_files(spark, tmp_path):
     table = Scaler((0.0, -1.0, 2.0), (1.0, 1.0, 4.0)).to_table(spark)
     writers.write_scaler(table, str(tmp_path / "p"))
