@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewell.session import join_side, scratch_path
@@ -51,16 +51,35 @@ def exact_medians(rows: DataFrame, columns: list[str], by: list[str] | None = No
     raise AssertionError("a bracket over the whole range cannot miss")
 
 
+def _bin() -> Column:
+    """The bin of a value, in the order of values; ``first`` and ``last`` are the ends of the finite ones.
+
+    Infinities and NaN have bins of their own, as all values below the bracket (NULL) have; halves keep a
+    wide range from overflowing.
+    """
+    value, first, last = F.col("value"), F.col("first"), F.col("last")
+    span = last / 2 - first / 2
+    return (
+        F.when(value.isNull(), F.lit(-1))
+        .when(F.isnan(value), F.lit(_VALUE_BINS + 3))
+        .when(value == float("inf"), F.lit(_VALUE_BINS + 2))
+        .when(value == float("-inf"), F.lit(0))
+        .when(span > 0, 1 + F.floor((value / 2 - first / 2) / span * _VALUE_BINS))
+        .otherwise(F.lit(1))
+        .cast("long")
+    )
+
+
 def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margin: float | None) -> DataFrame:
-    infinite = F.lit(float("inf"))
     wanted = [] if margin is None else [0.5 - margin, 0.5 + margin]
 
     # expression texts: a wide table has many of them, and building them from parts costs a call per part
     def sketch(i: int, c: str) -> list[str]:
-        found = [f"count(`{c}`) AS n_{i}"]
+        value = f"CAST(`{c}` AS DOUBLE)"
+        finite = f"if(abs({value}) < double('infinity'), {value}, NULL)"
+        found = [f"count(`{c}`) AS n_{i}", f"min({finite}) AS min_{i}", f"max({finite}) AS max_{i}"]
         if wanted:
-            value = f"nanvl(CAST(`{c}` AS DOUBLE), double('infinity'))"
-            found.append(f"percentile_approx({value}, array({wanted[0]}D, {wanted[1]}D), {_SKETCH}) AS q_{i}")
+            found.append(f"percentile_approx(nanvl({value}, double('infinity')), array({wanted[0]}D, {wanted[1]}D), {_SKETCH}) AS q_{i}")
         return found
 
     def bracket(i: int, c: str) -> str:
@@ -68,9 +87,11 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         lo, hi = "double('-infinity')", "double('nan')"
         if wanted:
             lo, hi = f"q_{i}[0]", f"if(q_{i}[1] = double('infinity'), {hi}, q_{i}[1])"
-        return f"named_struct('n', n_{i}, 'lo', {lo}, 'hi', {hi}) AS `{c}`"
+        # the finite values inside, between which the bins lie
+        first, last = f"greatest({lo}, min_{i})", f"least({hi}, max_{i})"
+        return f"named_struct('n', n_{i}, 'lo', {lo}, 'hi', {hi}, 'first', {first}, 'last', {last}) AS `{c}`"
 
-    parts = ("n", "lo", "hi")
+    parts = ("n", "lo", "hi", "first", "last")
     sketches = rows.groupBy(*by).agg(*[F.expr(part) for i, c in enumerate(columns) for part in sketch(i, c)])
     if not by:
         # a single row, which stays on the driver from here on
@@ -91,7 +112,7 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         edges = {c: (F.lit(only[c]["lo"]).cast("double"), F.lit(only[c]["hi"]).cast("double")) for c in columns}
         listed = [(i, c, *[only[c][p] for p in parts]) for i, c in enumerate(columns)]
         long = F.broadcast(
-            rows.sparkSession.createDataFrame(listed, "idx int, column string, n long, lo double, hi double")
+            rows.sparkSession.createDataFrame(listed, "idx int, column string, n long, lo double, hi double, first double, last double")
         )
 
     def near(i: int, c: str):
@@ -106,17 +127,7 @@ def _bracketed_medians(rows: DataFrame, columns: list[str], by: list[str], margi
         .groupBy(*by, F.col("s.idx").alias("idx"), F.col("s.value").alias("value"))
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    span = F.col("hi") - F.col("lo")
-    bin_ = (
-        F.when(F.col("value").isNull(), F.lit(-1))
-        .when(
-            (span > 0) & (span < infinite) & ~F.isnan("value"),
-            F.floor((F.col("value") - F.col("lo")) / span * _VALUE_BINS),
-        )
-        .otherwise(F.lit(0))
-        .cast("long")
-    )
-    binned = join_same(counts, long, group).withColumn("bin", bin_)
+    binned = join_same(counts, long, group).withColumn("bin", _bin())
 
     # ranks are 0-based; the two middle ranks coincide for an odd count
     first_rank, second_rank = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)

@@ -260,6 +260,39 @@ def test_medians_of_awkward_distributions(spark):
     assert by == {(g, c): median(v[g::3]) for g in range(3) for c, v in columns.items()}
 
 
+def test_medians_of_infinities_and_nan(spark):
+    rng = random.Random(8)
+    n, inf, nan = 6_001, math.inf, math.nan
+    columns = {
+        "mostly": [inf if rng.random() < 0.9 else rng.gauss(0, 1) for _ in range(n)],
+        "below": [-inf if rng.random() < 0.9 else rng.gauss(0, 1) for _ in range(n)],
+        "edge": [inf if i % 2 else float(i) for i in range(n)],
+        "both": [rng.choice([inf, -inf, rng.gauss(0, 1), rng.gauss(0, 1)]) for _ in range(n)],
+        "unknown": [nan if rng.random() < 0.7 else rng.gauss(0, 1) for _ in range(n)],
+        "some": [nan if rng.random() < 0.2 else rng.uniform(-1.7e308, 1.7e308) for _ in range(n)],
+    }
+    order = lambda v: (math.isnan(v), v)  # noqa: E731  NaN comes last
+
+    def middle(values):
+        v = sorted(values, key=order)
+        a, b = v[(len(v) - 1) // 2], v[len(v) // 2]
+        return a if a == b or math.isnan(a) else a + (b - a) / 2
+
+    rows = spark.createDataFrame([(i % 3, *v) for i, v in enumerate(zip(*columns.values()))], "g int, " + ", ".join(f"{c} double" for c in columns))
+    for margin in (0.001, None):
+        got = {r["column"]: r["median"] for r in selection._bracketed_medians(rows, list(columns), [], margin).collect()}
+        assert {c: repr(v) for c, v in got.items()} == {c: repr(middle(v)) for c, v in columns.items()}
+    by = {(r["g"], r["column"]): repr(r["median"]) for r in selection.exact_medians(rows, list(columns), ["g"]).collect()}
+    assert by == {(g, c): repr(middle(v[g::3])) for g in range(3) for c, v in columns.items()}
+
+
+def test_bins_keep_the_order_and_spread_the_values(spark):
+    values = [-math.inf, *[i * 1e304 for i in range(-9000, 9001)], math.inf, math.nan]
+    rows = spark.createDataFrame([(v, -9e307, 9e307) for v in values], "value double, first double, last double")
+    bins = [r["bin"] for r in rows.select("value", selection._bin().alias("bin")).orderBy("value").collect()]
+    assert bins == sorted(bins) and len(set(bins)) > 4000 and len(set(bins[-3:])) == 3 and bins[0] < bins[1]
+
+
 def test_missed_bracket_is_widened(spark, monkeypatch):
     rows = spark.range(1000).selectExpr("cast(id as double) as x")
     real, calls = selection._bracketed_medians, []
