@@ -1,19 +1,22 @@
 """Training the autoencoder with one Spark job per epoch.
 
-Each partition runs Adam on mini-batches of its own rows, starting from the
-same parameters and moments; after the epoch these are averaged, weighted by
-the rows each partition saw (parallel SGD with parameter averaging, Zinkevich
-et al. 2010). With one partition this is plain Adam.
+Rows are dealt to slices by a hash of their id. Each slice runs Adam on
+mini-batches of its own rows, starting from the same parameters and moments;
+after the epoch these are averaged, weighted by the rows of each slice (parallel
+SGD with parameter averaging, Zinkevich et al. 2010). With one slice this is
+plain Adam. Slices, and the order of a slice's rows in an epoch, are functions
+of seed, epoch and id, so the outcome does not depend on how rows lie in tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.functions.scalar import sensor_array
@@ -36,12 +39,19 @@ class TrainedModel:
     stopped_early: bool
 
 
-def should_stop(losses: list[float], patience: int = PATIENCE) -> bool:
-    """True once the last ``patience`` epochs brought no strictly smaller loss."""
+def stop_epoch(losses: Iterable[float], patience: int = PATIENCE) -> int | None:
+    """The first epoch, from 1, after which ``patience`` epochs brought no strictly smaller loss."""
     best, stale = float("inf"), 0
-    for loss in losses:
+    for epoch, loss in enumerate(losses, 1):
         best, stale = (loss, 0) if loss < best else (best, stale + 1)
-    return stale >= patience
+        if stale >= patience:
+            return epoch
+    return None
+
+
+def stop_epochs(losses: Column, patience: int = PATIENCE) -> Column:
+    """``stop_epoch`` of an array of losses."""
+    return F.pandas_udf(lambda lists: lists.map(lambda one: stop_epoch(one, patience)).astype("Int32"), "int")(losses)
 
 
 def _pack(arrays) -> np.ndarray:
@@ -80,49 +90,63 @@ def _adam(flat, first, second, gradient, step):
 _RESULT = "position int, total double, first double, second double, weight double, batches double, loss double"
 
 
+def slice_of(tie: str, slices: int, seed: int) -> Column:
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(tie).cast("string"))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(slices)).cast("int")
+
+
+def epoch_order(tie: str, seed: int, epoch: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(tie).cast("string")))
+
+
 def _run_epoch(data: DataFrame, scaler: Scaler, flat, first, second, steps: int, shapes, epoch: int, seed: int):
     spark = data.sparkSession
     state = spark.sparkContext.broadcast((flat, first, second))
     size = len(flat)
     low, high = np.array(scaler.low, dtype=float), np.array(scaler.high, dtype=float)
 
-    def mini_batches(batches: Iterator[pa.RecordBatch], rng) -> Iterator[np.ndarray]:
-        rest = None
+    def mini_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """(slice, rows); the last of a slice may be short."""
+        now, rest = None, None
         for batch in batches:
-            column = batch.column(0)
-            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-            x = scale_rows(x, low, high, "train")[rng.permutation(len(x))]
-            x = x if rest is None else np.vstack([rest, x])
-            full = len(x) - len(x) % MINI_BATCH
-            for at in range(0, full, MINI_BATCH):
-                yield x[at : at + MINI_BATCH]
-            rest = x[full:]
+            if not len(batch):
+                continue
+            slices = batch.column(1).to_numpy()
+            x = scale_rows(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1), low, high, "train")
+            cuts = np.flatnonzero(np.diff(slices)) + 1
+            for which, part in zip(slices[np.append(0, cuts)], np.split(x, cuts)):
+                if which == now:
+                    part = np.vstack([rest, part])
+                elif rest is not None and len(rest):
+                    yield now, rest
+                full = len(part) - len(part) % MINI_BATCH
+                for at in range(0, full, MINI_BATCH):
+                    yield which, part[at : at + MINI_BATCH]
+                now, rest = which, part[full:]
         if rest is not None and len(rest):
-            yield rest
+            yield now, rest
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m, v = (a.copy() for a in state.value)
-        step, seen, loss_sum, count = steps, 0, 0.0, 0
-        rng = np.random.default_rng((seed, epoch))
-        for x in mini_batches(batches, rng):
-            step += 1
-            loss, gradient = loss_and_gradient(_unpack(w, shapes), x)
-            w, m, v = _adam(w, m, v, _pack(gradient), step)
-            seen, loss_sum, count = seen + len(x), loss_sum + loss, count + 1
-        if not count:
-            return
-        at = np.arange(size, dtype=np.int32)
-        once = np.zeros(size)
-        batch_count, batch_loss = once.copy(), once.copy()
-        batch_count[0], batch_loss[0] = count, loss_sum
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a) for a in (at, w * seen, m * seen, v * seen, np.full(size, float(seen)), batch_count, batch_loss)],
-            names=["position", "total", "first", "second", "weight", "batches", "loss"],
-        )
-
-    # the partitions' parameters are averaged by Spark; one record per parameter comes back
+        for _, own in groupby(mini_batches(batches), key=lambda pair: pair[0]):
+            w, m, v = (a.copy() for a in state.value)
+            seen, loss_sum, count = 0, 0.0, 0
+            for _, x in own:
+                count += 1
+                loss, gradient = loss_and_gradient(_unpack(w, shapes), x)
+                w, m, v = _adam(w, m, v, _pack(gradient), steps + count)
+                seen, loss_sum = seen + len(x), loss_sum + loss
+            batch_count, batch_loss = np.zeros(size), np.zeros(size)
+            batch_count[0], batch_loss[0] = count, loss_sum
+            at = np.arange(size, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a) for a in (at, w * seen, m * seen, v * seen, np.full(size, float(seen)), batch_count, batch_loss)],
+                names=["position", "total", "first", "second", "weight", "batches", "loss"],
+            )
+
+    ordered = data.sortWithinPartitions("slice", epoch_order("tie", seed, epoch)).select("x", "slice")
+    # the slices' parameters are averaged by Spark; one record per parameter comes back
     averaged = (
-        data.mapInArrow(learn, _RESULT)
+        ordered.mapInArrow(learn, _RESULT)
         .groupBy("position")
         .agg(
             (F.sum("total") / F.sum("weight")).alias("w"),
@@ -151,18 +175,21 @@ def train_autoencoder(
     patience: int = PATIENCE,
     partitions: int | None = None,
     seed: int = 42,
+    start: Weights | None = None,
 ) -> TrainedModel:
     """Fit the scaler and the autoencoder; the last epoch's weights are kept.
 
-    Rows are spread once by a hash of ``tie`` so that every partition sees a
-    fair mix; each epoch shuffles them again inside the Arrow batches.
+    ``partitions`` is the number of slices, one a task (default: that of a shuffle).
+    Rows are shuffled to them once; each epoch sorts a slice anew, which may spill.
+    Rows that share an id follow each other in any order. ``start`` replaces the
+    random first weights.
     """
     scaler = Scaler.fit(rows, sensors)
-    hashed = rows.select(sensor_array(sensors).alias("x"), F.xxhash64(F.col(tie), F.lit(seed)).alias("h"))
-    spread = hashed.repartition(partitions, "h") if partitions else hashed.repartition("h")
-    data = spread.select("x").persist()
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = rows.select(sensor_array(sensors).alias("x"), F.col(tie).alias("tie"), slice_of(tie, partitions, seed).alias("slice"))
+    data = sliced.repartitionById(partitions, "slice").persist()
     try:
-        weights = Weights.initial((len(sensors), *WIDTHS[1:-1], len(sensors)), seed)
+        weights = start or Weights.initial((len(sensors), *WIDTHS[1:-1], len(sensors)), seed)
         shapes = [layer.shape for layer in weights.layers]
         w = _pack(weights.layers)
         m, v, steps = np.zeros_like(w), np.zeros_like(w), 0
@@ -170,12 +197,11 @@ def train_autoencoder(
         for epoch in range(epochs):
             w, m, v, steps, loss = _run_epoch(data, scaler, w, m, v, steps, shapes, epoch, seed)
             losses.append(loss)
-            if should_stop(losses, patience):
+            if stop_epoch(losses, patience):
                 break
     finally:
         data.unpersist()
-    stopped = len(losses) < epochs or should_stop(losses, patience)
-    return TrainedModel(Weights(tuple(_unpack(w, shapes))), scaler, tuple(losses), stopped)
+    return TrainedModel(Weights(tuple(_unpack(w, shapes))), scaler, tuple(losses), stop_epoch(losses, patience) is not None)
 
 
 def full_batch_step(rows: DataFrame, weights: Weights, scaler: Scaler, sensors: list[str] = SENSORS) -> tuple[Weights, float]:

@@ -30,7 +30,7 @@ from gaugewell.operators.thresholds import (
     latest_thresholds,
     without_threshold,
 )
-from gaugewell.operators.training import full_batch_step, train_autoencoder
+from gaugewell.operators.training import full_batch_step, stop_epoch, stop_epochs, train_autoencoder
 from gaugewell.plans import offline, panels, serving
 from gaugewell.schema import ORIGIN_BATCH, ORIGIN_STREAM, SENSOR_BANDS, SENSORS
 from gaugewell.session import scratch_path
@@ -691,7 +691,7 @@ def train(spark, sf_dir):
     writers.write_weights(model.weights.to_table(spark, "0.0.1"), path)
     finite = F.min(~F.isnan("value") & (F.abs("value") < float("inf")))
     table = readers.read_weights(spark, path).groupBy("layer").agg(F.count("*").alias("weights"), finite.alias("finite"))
-    return table.withColumn("loss_fell", F.lit(model.losses[-1] < model.losses[0] and model.losses[-1] == min(model.losses[-5:])) | F.lit(model.stopped_early))
+    return table.withColumn("loss_fell", F.lit(model.losses[-1] < model.losses[0] and stop_epoch(model.losses[:-1]) is None))
 
 
 def _sql_step() -> str:
@@ -728,6 +728,77 @@ def train_step(spark, sf_dir):
     return stepped.to_table(spark, "1").select("layer", "row", "col", _r("value"))
 
 
+_SLICES, _SEED = 4, 42
+
+
+def _sql_epoch() -> str:
+    """All mini-batches of one epoch in long form; a layer's input has a last row of ones for the bias."""
+    last = len(ae.WIDTHS) - 1
+    start = " UNION ALL ".join(
+        f"SELECT {n} AS layer, r, c, (((r * 7 + c * 13 + {n * 5}) % 11) - 5) / 20.0::DOUBLE AS w"
+        f" FROM range(0, {ae.WIDTHS[n] + 1}) t(r), range(0, {ae.WIDTHS[n + 1]}) s(c)"
+        for n in range(last)
+    )
+    step = ["s AS (SELECT * FROM state)", "b AS (SELECT dealt.* FROM dealt JOIN (SELECT DISTINCT slice, step FROM s) n ON dealt.slice = n.slice AND dealt.k = n.step + 1)"]
+    step.append("size AS (SELECT slice, count(*) AS size FROM b GROUP BY slice)")
+    step.append("a0 AS (SELECT slice, id, i - 1 AS r, x[i] AS v FROM b, range(1, 53) t(i))")
+    for n in range(last):
+        total = f"sum(i{n}.v * s.w)"
+        value = f"greatest(0.0, {total})" if n < last - 1 else total
+        step.append(f"i{n} AS (SELECT * FROM a{n} UNION ALL SELECT slice, id, {ae.WIDTHS[n]}, 1.0 FROM b)")
+        step.append(f"a{n + 1} AS (SELECT slice, id, c AS r, {value} AS v FROM i{n} JOIN s USING (slice, r) WHERE layer = {n} GROUP BY slice, id, c)")
+    step.append(f"e AS (SELECT o.slice, o.id, o.r AS c, o.v - i.v AS d, 52.0 * size AS cells FROM a{last} o JOIN a0 i USING (slice, id, r) JOIN size USING (slice))")
+    step.append(f"u{last} AS (SELECT slice, id, c, 2 * d / cells AS u FROM e)")
+    for n in range(last - 1, -1, -1):
+        step.append(f"g{n} AS (SELECT {n} AS layer, slice, r, c, sum(v * u) AS g FROM i{n} JOIN u{n + 1} USING (slice, id) GROUP BY slice, r, c)")
+        if n:
+            step.append(
+                f"u{n} AS (SELECT slice, u.id, s.r AS c, sum(u.u * s.w) * max(CASE WHEN a.v > 0 THEN 1.0 ELSE 0.0 END) AS u FROM u{n + 1} u"
+                f" JOIN s USING (slice, c) JOIN a{n} a USING (slice, id, r) WHERE s.layer = {n} GROUP BY slice, u.id, s.r)"
+            )
+    grown = " UNION ALL ".join(f"SELECT * FROM g{n}" for n in range(last))
+    step.append(f"h AS (SELECT s.slice, s.step + 1 AS step, s.layer, s.r, s.c, s.w, 0.9 * s.m + 0.1 * g AS m, 0.999 * s.v + 0.001 * g * g AS v FROM s JOIN ({grown}) USING (slice, layer, r, c))")
+    moved = "w - 0.001 * sqrt(1 - pow(0.999, step)) / (1 - pow(0.9, step)) * m / (sqrt(v) + 1e-8 * sqrt(1 - pow(0.999, step)))"
+    loss = "SELECT slice, s.step + 1, -1, 0, 0, s.w + loss, 0.0, 0.0 FROM s JOIN (SELECT slice, sum(d * d / cells) AS loss FROM e GROUP BY slice) USING (slice) WHERE layer = -1"
+    dealt = (
+        f"dealt AS (SELECT id, x, slice, (row_number() OVER (PARTITION BY slice ORDER BY md5('{_SEED}:0:' || id)) - 1) // 50 + 1 AS k"
+        f" FROM (SELECT *, CAST('0x' || md5('{_SEED}:' || id)[1:8] AS BIGINT) % {_SLICES} AS slice FROM x))"
+    )
+    return f"""WITH RECURSIVE {SCORED.split('h1 AS')[0].rstrip().rstrip(',')}, {dealt},
+      state(slice, step, layer, r, c, w, m, v) AS (
+        SELECT slice, 0, layer, r, c, w, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT slice FROM dealt), ({start} UNION ALL SELECT -1, 0, 0, 0.0)
+        UNION ALL (WITH {', '.join(step)} SELECT slice, step, layer, r, c, {moved} AS w, m, v FROM h UNION ALL {loss})),
+      done AS (SELECT state.*, n FROM state JOIN (SELECT slice, max(k) AS step, count(*) AS n FROM dealt GROUP BY slice) USING (slice, step))
+      SELECT CAST(layer AS INTEGER) AS layer, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col,
+        round(CASE WHEN layer < 0 THEN sum(w) / sum(step) ELSE sum(w * n) / sum(n) END, 6) AS value FROM done GROUP BY layer, r, c"""
+
+
+@check("train_epoch", _sql_epoch())
+def train_epoch(spark, sf_dir):
+    """One epoch from known weights, as training runs it; the loss is layer -1."""
+    model = train_autoencoder(vectors(spark, sf_dir), epochs=1, partitions=_SLICES, seed=_SEED, start=formula_weights())
+    loss = spark.range(1).select(
+        F.lit(-1).alias("layer"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.round(F.lit(model.losses[0]), 6).alias("value")
+    )
+    return model.weights.to_table(spark, "1").select("layer", "row", "col", _r("value")).unionByName(loss)
+
+
+@check(
+    "early_stop_epoch",
+    """WITH l AS (SELECT l_orderkey, CAST(l_extendedprice AS DOUBLE) AS loss,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS epoch FROM lineitem),
+       b AS (SELECT *, min(loss) OVER (PARTITION BY l_orderkey ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM l),
+       f AS (SELECT *, max(CASE WHEN best IS NULL OR loss < best THEN epoch END) OVER (PARTITION BY l_orderkey ORDER BY epoch) AS fell FROM b)
+       SELECT l_orderkey, CAST(min(CASE WHEN epoch - fell >= 2 THEN epoch END) AS INTEGER) AS stop_epoch FROM f GROUP BY l_orderkey""",
+)
+def early_stop_epoch(spark, sf_dir):
+    """An order's prices, at most seven, play the losses of a run."""
+    runs = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_extendedprice").cast("double").alias("loss")))).alias("runs")
+    )
+    return runs.select("l_orderkey", stop_epochs(F.col("runs.loss"), patience=2).alias("stop_epoch"))
+
+
 @check("score_loaded", f"WITH {SCORED} SELECT id, round(e, 6) AS reconstruction_error FROM scored")
 def score_loaded(spark, sf_dir):
     """The model is stored with two versions and loaded by its version."""

@@ -40,8 +40,8 @@ def test_gradient_matches_differences():
 
 def test_early_stopping():
     losses = [5.0, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0]
-    assert [training.should_stop(losses[: i + 1]) for i in range(7)] == [False] * 6 + [True]
-    assert not training.should_stop([5.0, 4.0, 4.0, 4.0, 4.0, 4.0, 3.0])
+    assert [training.stop_epoch(losses[: i + 1]) for i in range(7)] == [None] * 6 + [7]
+    assert training.stop_epoch([5.0, 4.0, 4.0, 4.0, 4.0, 4.0, 3.0]) is None
 
 
 def test_training_lowers_the_loss_and_saves_versions(spark, tmp_path):
