@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,20 +69,33 @@ def impute_by(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return joined.select(*kept)
 
 
-def null_audit(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """NULL count per column and in total, as one row from one aggregate."""
-    columns = columns or rows.columns
+def _null_counts(columns: list[str]) -> list[Column]:
     counts = [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
     total = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0)).cast("long").alias("total_nulls")
-    return rows.agg(*counts, total)
+    return [*counts, total]
+
+
+def null_audit(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """NULL count per column and in total, as one row from one aggregate."""
+    return rows.agg(*_null_counts(columns or rows.columns))
+
 
+def clean(rows: DataFrame, imputer: Imputer | None = None, path: str | None = None) -> DataFrame:
+    """Impute and make sure nothing is left to fill; raises ValueError otherwise.
 
-def clean(rows: DataFrame, imputer: Imputer | None = None) -> DataFrame:
-    """Impute and make sure nothing is left to fill; raises ValueError otherwise."""
+    With a ``path`` the result is stored there and read back, and the write itself
+    counts the nulls; without one they are counted by a pass of their own.
+    """
     filled = (imputer or Imputer.fit(rows)).transform(rows)
-    left = null_audit(filled).first()["total_nulls"]
-    if left:
-        raise ValueError(f"{left} null values are left after imputation")
+    if path is None:
+        left = null_audit(filled).first().asDict()
+    else:
+        audit = Observation()
+        filled.observe(audit, *_null_counts(filled.columns)).write.mode("overwrite").parquet(path)
+        left, filled = audit.get, filled.sparkSession.read.schema(filled.schema).parquet(path)
+    if left.get("total_nulls"):
+        where = ", ".join(c for c in filled.columns if left[c])
+        raise ValueError(f"{left['total_nulls']} null values are left after imputation: {where}")
     return filled
 
 

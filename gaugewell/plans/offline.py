@@ -78,7 +78,7 @@ def run_offline(
     else:
         history = _stored(read_history(spark, history_path, sensors), "history")
     imputer = Imputer.fit(history)
-    cleaned = _stored(clean(history, imputer), "cleaned")
+    cleaned = clean(history, imputer, scratch_path(spark, "cleaned"))
     learn = training_rows(cleaned, exclude).withColumn("id", F.unix_micros("timestamp"))
     model = train_autoencoder(learn, sensors, epochs=epochs, partitions=partitions)
     write_scaler_version(model.scaler.to_table(spark), version, f"{output_path}/scaler")

@@ -10,7 +10,7 @@ from gaugewell.operators.scaler import Scaler
 from gaugewell.plans import offline, panels, serving
 from gaugewell.schema import ORIGIN_STREAM, MONITORING_SCHEMA, SENSORS
 from gaugewell.sources import readers, writers
-from gaugewell.streaming.monitor import StatePair
+from gaugewell.streaming import monitor
 
 SMALL = [f"sensor_{i:02d}" for i in range(4)]
 
@@ -59,6 +59,20 @@ def test_training_lowers_the_loss_and_saves_versions(spark, tmp_path):
         training.train_autoencoder(rows.limit(0).fillna(0.0), SMALL, epochs=1)
 
 
+def test_training_does_not_depend_on_the_layout(spark):
+    """Slices and orders come from the ids; batches of the transfer cut mini-batches."""
+    rows = ramp(spark, 400)
+    first = training.train_autoencoder(rows.coalesce(1), SMALL, epochs=2, partitions=3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = training.train_autoencoder(rows.repartition(5), SMALL, epochs=2, partitions=3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert first.losses == pytest.approx(again.losses, abs=1e-12)
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(first.weights.layers, again.weights.layers))
+
+
 def test_training_on_one_partition_is_plain_adam(spark):
     rows = ramp(spark, 40)  # less than one mini-batch, so row order does not matter
     model = training.train_autoencoder(rows, SMALL, epochs=3, partitions=1)
@@ -231,13 +245,44 @@ def test_monitoring_table(spark, tmp_path):
     assert {f.split("buckets=")[1].split("/part")[0] for f in files} == {"16/machine_bucket=7", "1/machine_bucket=0", "64/machine_bucket=7"}
 
 
-def test_state_slots_alternate(spark, tmp_path):
-    states = StatePair(str(tmp_path / "state"))
-    assert states.before(spark, 0).count() == 0
-    for batch in range(3):
-        states.write(spark.createDataFrame([(1, 0.5, batch)], "machine_id int, threshold double, counter int"), batch)
-        assert states.before(spark, batch + 1).first()["counter"] == batch
-    assert states.before(spark, 2).first()["counter"] == 1  # a repeated batch still finds its input
+STATE_ROWS = "machine_id int, threshold double, counter int"
+
+
+def test_state_after_many_batches_and_repeats(spark, tmp_path):
+    states = monitor.MachineState(str(tmp_path / "state"), period=3)
+    known = {}
+    machines = spark.range(7).select(F.col("id").cast("int").alias("machine_id"))
+    for batch in range(11):
+        changed = {(batch * k) % 7: (float(batch), batch + k) for k in (1, 2)}
+        for _ in range(2):  # the second time it is a repeat after a failure
+            found = {r["machine_id"]: (r["threshold"], r["counter"]) for r in states.before(spark, batch, machines).collect()}
+            assert found == known
+            states.write(spark.createDataFrame([(m, *v) for m, v in changed.items()], STATE_ROWS), batch)
+        known |= changed
+
+
+def test_state_writes_touched_machines_only(spark, tmp_path):
+    path = str(tmp_path / "state")
+    states = monitor.MachineState(path, period=2)
+    everyone = spark.range(100_000).select(F.col("id").cast("int").alias("machine_id"), F.lit(0.5).alias("threshold"), F.lit(3).alias("counter"))
+    states.write(everyone, 0)
+    states.write(everyone.limit(0), 1)
+    touched = everyone.where("machine_id % 10000 = 0").select("machine_id")
+    before = states.before(spark, 2, touched.union(spark.createDataFrame([(None,), (-5,)], "machine_id int")))
+    assert before.count() == 10
+    counted = touched.select(
+        "machine_id", F.lit(0.5).alias("threshold"), F.lit(4).alias("anomaly_counter"), F.lit(1).alias("ts"), F.lit(1).alias("id")
+    )
+    states.write(monitor._changes(before, counted, "ts", "id"), 2)
+    assert spark.read.parquet(f"{path}/slot=0").count() == 10
+    assert states.before(spark, 3, everyone.select("machine_id")).groupBy("counter").count().orderBy("counter").collect() == [(3, 99_990), (4, 10)]
+
+
+def test_a_micro_batch_that_loses_messages_is_an_error(spark):
+    batch = spark.range(5)
+    monitor._check_complete(batch, 5, 7)
+    with pytest.raises(RuntimeError, match="micro-batch 7: 5 messages, 4"):
+        monitor._check_complete(batch, 4, 7)
 
 
 def test_no_threshold_moves_no_counter(spark):

@@ -401,3 +401,16 @@ def test_readings_with_one_key_are_judged_one_by_one(spark):
     counted, refused = judge_with_history(rows, history)
     assert [(r["machine_id"], r["anomaly_counter"]) for r in counted.where("NOT is_control").collect()] == [(1, 1)]
     assert sorted((r["machine_id"], r["reason"]) for r in refused.collect()) == [(1, NO_SCORE), (2, NO_THRESHOLD)]
+
+
+def test_clean_counts_what_is_left_while_it_writes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1.0, "a", True), (2, None, None, True)], "id int, x double, s string, b boolean")
+    imputer = prepare.Imputer.fit(rows)
+    stored = prepare.clean(rows, imputer, str(tmp_path / "clean"))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, prepare.clean(rows, imputer).collect()))
+    assert stored.dtypes == imputer.transform(rows).dtypes and stored.count() == 2
+    assert prepare.clean(rows.limit(0), imputer, str(tmp_path / "none")).count() == 0
+    open_ = rows.withColumn("b", F.when(F.col("id") == 1, F.col("b")))
+    for path in (None, str(tmp_path / "open")):
+        with pytest.raises(ValueError, match="1 null values are left after imputation: b"):
+            prepare.clean(open_, imputer, path)
