@@ -24,9 +24,9 @@ from .common import lower_ascii, repeated, stored
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on lower-cased text
 _NOT_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # the same on the text as it is
 
-# Windows, at some 200 bytes each, that are sent to every executor. Larger
-# benchmarks are joined by a shuffle on the hash.
-BROADCAST_WINDOWS = 250_000
+# Bytes of windows, as rows in memory, that are sent to every executor. Those of
+# larger benchmarks are joined by a shuffle on the hash.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -52,16 +52,14 @@ def windows(benchmark: DataFrame, n: int) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Of every document a head row (``at`` -1), and each of its windows that an item has.
+def _row_bytes() -> Column:
+    """A window's size in memory: each string or number in words of eight bytes, and its place in an array."""
+    strings = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + 24 + F.octet_length(s))
+    return 64 + strings("gram") + strings("items")
 
-    Columns: doc_id, text_key, n_words, at, n, items.
-    """
-    grams = stored(windows(benchmark, n), "windows")
-    known = grams.groupBy("n").count().collect()  # a row for each length, n at most
-    lengths = sorted(r["n"] for r in known) or [n]
-    if sum(r["count"] for r in known) <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
+
+def _keyed(docs: DataFrame, lengths: list[int], n: int) -> DataFrame:
+    """Of every document a head row (``at`` -1) and its windows: doc_id, text_key, words, n_words, at, len, at_key."""
     placed = docs.select(
         "doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words")
     ).select(
@@ -75,15 +73,50 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     else:
         placed = placed.withColumn("len", F.lit(lengths[0]))
     whole = (F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.col("n_words"))
-    keyed = placed.withColumn("at_key", F.when(whole, F.xxhash64(_slice("at", F.col("len")))))
+    return placed.withColumn("at_key", F.when(whole, F.xxhash64(_slice("at", F.col("len")))))
+
+
+def _look_up(keyed: DataFrame, grams: DataFrame) -> DataFrame:
+    """The hits where the windows of the items are at hand."""
     # The words are compared after the join: as a join key they would be copied for every window.
     return (
-        keyed.join(grams, F.col("at_key") == F.col("key"), "left")
+        keyed.join(F.broadcast(grams), F.col("at_key") == F.col("key"), "left")
         .filter((F.col("at") < 0) | (_slice("at", F.col("len")) == F.col("gram")))
         .select("doc_id", "text_key", "n_words", "at", F.coalesce("n", F.lit(1)).alias("n"), "items")
     )
 
 
+def _look_up_far(docs: DataFrame, keyed: DataFrame, grams: DataFrame) -> DataFrame:
+    """The same by shuffles: of a window only its place and hash travel, and texts only where a hash was found."""
+    narrow = keyed.filter(F.col("at_key").isNotNull()).select("doc_id", "text_key", "at", "at_key")
+    hit = F.struct("at", "n", "gram", "items")
+    found = narrow.join(grams, F.col("at_key") == F.col("key")).groupBy("doc_id", "text_key").agg(F.collect_set(hit).alias("found"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.text_key") == F.col("f.text_key"))
+    read = texts.alias("t").join(found.alias("f"), same).select("t.doc_id", "t.text_key", words(F.col("t.text")).alias("words"), "f.found")
+    true = F.filter("found", lambda f: F.slice("words", f["at"] + 1, f["n"]) == f["gram"])
+    rows = read.select("doc_id", "text_key", F.size("words").alias("n_words"), F.explode(true).alias("hit"))
+    hits_ = rows.select("doc_id", "text_key", "n_words", "hit.at", "hit.n", "hit.items")
+    heads = docs.select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).alias("n_words"), F.lit(-1).alias("at"),
+        F.lit(1).alias("n"), F.lit(None).cast("array<string>").alias("items"),
+    )
+    return heads.unionByName(hits_)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """Of every document a head row (``at`` -1), and each of its windows that an item has.
+
+    Columns: doc_id, text_key, n_words, at, n, items.
+    """
+    grams = stored(windows(benchmark, n), "windows")
+    known = grams.groupBy("n").agg(F.sum(_row_bytes()).alias("bytes")).collect()  # a row for each length, n at most
+    keyed = _keyed(docs, sorted(r["n"] for r in known) or [n], n)
+    if sum(r["bytes"] for r in known) <= BROADCAST_BYTES:
+        return _look_up(keyed, grams)
+    return _look_up_far(docs, keyed, grams)
+
+
 def covered(found: DataFrame) -> DataFrame:
     """``found`` with ``from``: words [from, at + n) are those no earlier hit of the document covers."""
     before = W.partitionBy("doc_id", "text_key").orderBy("at", "n").rowsBetween(W.unboundedPreceding, -1)

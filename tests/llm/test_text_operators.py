@@ -47,9 +47,9 @@ def contaminated(texts, items, n):
     return out
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, -1])
 def test_contamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     rng = random.Random(5)
     words = ["a", "B", "c", "É", "é", "1", "x-y", "İ"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "  "]) for _ in range(n))
@@ -72,7 +72,24 @@ def test_decontaminate_removes(spark):
     assert cut == {0: "Before it; after (it)", 1: "clean text"}
 
 
-def test_contamination_cases(spark):
+def test_more_windows_than_are_broadcast(spark):
+    """1.1 million windows: only places and hashes of windows travel, and texts where a hash was found."""
+    item = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("w"), F.col("item_id") * 20 + i)), " ")
+    bench = spark.range(100_000).select(F.col("id").alias("item_id")).withColumn("text", item)
+    own = [" ".join(f"w{20 * i + k}" for k in range(3, 15)) for i in (7, 99_999)]
+    docs = docs_of(spark, ["x y " + own[0] + " z", own[1], "w1 w2 w3 w4 w5 w6 w7 w8 w9 w11 w12", None])
+    found = decontaminate.contamination(docs, bench)
+    plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert len(sent) > 1 and not any(re.search(r"\bwords#", columns) for columns in sent)
+    assert sum("text#" in columns for columns in sent) == 1
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()}
+    assert got == {0: (15, 12, ["7"]), 1: (12, 12, ["99999"]), 2: (11, 0, []), 3: (0, 0, [])}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, -1])
+def test_contamination_cases(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     docs, bench = edge_docs(spark), spark.createDataFrame([(1, SAME)], "item_id long, text string")
     rows = decontaminate.contamination(docs, bench).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ROWS)
