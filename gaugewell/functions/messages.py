@@ -117,7 +117,8 @@ def decode_messages(messages: DataFrame, value: str = "value", schema: T.StructT
     """
     schema = schema or reading_schema()
     strict = _Strict.of(schema)
-    parsed = messages.withColumn("_parsed", strict.parse(F.col(value), False))
+    # an outer explode lets no filter through, in which the parse would be repeated for every part of the condition
+    parsed = messages.select(*messages.columns, F.explode_outer(F.array(strict.parse(F.col(value), False))).alias("_parsed"))
     rows = parsed.withColumn("_row", strict.value(F.col("_parsed"), False))
     return rows.select(*messages.columns, strict.malformed("_row").alias("malformed"), *_filled("_row", schema))
 

@@ -123,3 +123,11 @@ def test_strict_messages(spark):
     bodies = spark.createDataFrame([(1, '[{"machine_id":1},{"machine_id":2}]'), (2, '[{"machine_id":1}] tail'), (3, "[]")], "batch_id long, value string")
     got = sorted((r["batch_id"], r["machine_id"], r["malformed"]) for r in msg.decode_arrays(bodies, schema=SCHEMA).collect())
     assert got == [(1, 1, False), (1, 2, False), (2, 0, True)]
+
+
+def test_a_filter_on_decoded_messages_does_not_parse_again(spark):
+    texts = spark.range(40).select("id", F.concat(F.lit('{"machine_id":'), F.when(F.col("id") % 4 != 1, F.col("id").cast("string")).otherwise("x"), F.lit("}")).alias("value"))
+    decoded = msg.decode_messages(texts, schema=SCHEMA)
+    for kept, want in ((msg.accepted(decoded), [i for i in range(40) if i % 4 != 1]), (msg.rejects(decoded), list(range(1, 40, 4)))):
+        assert kept._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+        assert sorted(r["id"] for r in kept.collect()) == want
