@@ -26,7 +26,10 @@ def remove_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of similarity 4/5 join, in shingles of five words, one stays."""
+    """Of texts that links of similarity 4/5 join, in shingles of five words, one stays.
+
+    SimHash fingerprints in tiles bring up the links; an exact join adds those that differ in more bits.
+    """
     return simhash.keep_one(docs, near_dedup.near_groups(docs))
 
 

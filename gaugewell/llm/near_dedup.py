@@ -1,13 +1,19 @@
-"""Near-duplicates by shingle similarity: an exact join by prefix filter.
+"""Near-duplicates by SimHash, completed to all links of a shingle similarity.
 
 Text is lower-cased (A-Z), split into words at ASCII white space and shingled by
 ``K`` words, as in ``simhash``. Two texts are linked when the Jaccard similarity
 of their sets of distinct shingles (as XXH64 values) is 4/5 or more, and texts
-that links join form one component. No link is missed: if the shingles are put
-in any fixed order, similar texts share one among the first fifth (and one) of
-each, so only texts that share such a shingle are compared. The order is by
-hash, but shingles of many texts come last, so a common passage brings few texts
-together. Pairs whose sizes or places of the shared shingle rule the similarity
+that links join form one component.
+
+First ``simhash`` compares the fingerprints of all texts in its tiles. Texts of
+one fingerprint, and those of fingerprints ``RADIUS`` bits apart at most, are
+candidates; what has the similarity is a link.
+
+Similar texts may differ in more bits, so an exact join adds the links between
+texts that are not joined yet. It misses none: if the shingles are put in any
+fixed order, similar texts share one among the first fifth (and one) of each, so
+only texts that share such a shingle are compared. The order is by hash, but
+shingles of many texts come last, so a common passage brings few texts together. Pairs whose sizes or places of the shared shingle rule the similarity
 out are skipped. So are pairs whose sketches do: a text's sketch holds, for each
 of ``BITS`` classes of shingles, whether their number is odd, so texts whose
 sketches differ in d bits differ in d shingles or more, and similar texts differ
@@ -35,10 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import stored
 from .components import components
 
 K = 5
+RADIUS = 4  # bits
 FREQUENT = 10  # texts
 COUNTED = 44
 MOST_FREQUENT = 2_000_000  # shingles sent to every executor; with more, FREQUENT is doubled until they are fewer
@@ -233,18 +241,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
 
-def _links(shared: DataFrame, texts: DataFrame, sketches: DataFrame, roots: DataFrame | None, stars: bool) -> DataFrame:
-    if roots is None:
-        rows = shared.withColumn("root", F.col("key"))
-    else:
-        rows = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rows = rows.join(sketches, "key").select("token", "key", "n", "pos", "root", *_WORDS).repartition("token").sortWithinPartitions("token")
-    pairs = stored(rows.mapInArrow(_pairs(stars), "a long, b long").distinct(), "near_pairs")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar."""
     side: Callable[[str], DataFrame] = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(_verify, "a long, b long"), "near_links")
 
 
+def simhash_links(texts: DataFrame, radius: int = RADIUS, tile: int = simhash.TILE) -> DataFrame:
+    """Links (a, b) that SimHash finds among distinct texts (key, text), each counted exactly.
+
+    A large group of texts with one fingerprint is linked to its first text, and
+    fingerprints by a spanning forest of their links, not pair by pair.
+    """
+    rows = stored(simhash.fingerprints(texts.withColumnRenamed("key", "doc_id"), K).select(F.col("doc_id").alias("key"), "fp"), "fingerprints")
+    fps = stored(rows.groupBy("fp").agg(F.min("key").alias("first")), "distinct_fp")
+    same = rows.join(fps, "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    first: Callable[[str], DataFrame] = lambda c: fps.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    near = simhash.near_links(fps.select("fp"), radius, tile).distinct().join(first("a"), "a").join(first("b"), "b")
+    pairs = same.union(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))).distinct()
+    return _verified(stored(pairs, "simhash_pairs"), texts)
+
+
+def _links(shared: DataFrame, texts: DataFrame, sketches: DataFrame, roots: DataFrame, stars: bool) -> DataFrame:
+    rows = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = rows.join(sketches, "key").select("token", "key", "n", "pos", "root", *_WORDS).repartition("token").sortWithinPartitions("token")
+    return _verified(stored(rows.mapInArrow(_pairs(stars), "a long, b long").distinct(), "near_pairs"), texts)
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_key, root (one value for each component), component_id (the component's smallest doc_id)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
@@ -253,8 +277,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     several = prefixes.withColumn("texts", F.count("*").over(Window.partitionBy("token"))).filter("texts > 1")
     shared = stored(several.drop("texts"), "shared_shingles")
     sketches = stored(texts.select("key", "text").mapInArrow(_sketches, ", ".join(f"{c} long" for c in ["key", *_WORDS])), "sketches")
-    links = _links(shared, texts, sketches, None, stars=True)
-    links = links.union(_links(shared, texts, sketches, components(links), stars=False))
+    links = simhash_links(texts)
+    for stars in (True, False):
+        links = links.union(_links(shared, texts, sketches, components(links), stars))
     roots = components(links)
     firsts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first"))
     named = firsts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))

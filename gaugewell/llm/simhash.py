@@ -77,10 +77,11 @@ def _bands(radius: int) -> list[tuple[int, int]]:
 
 
 class _Forest:
-    """Components among rows 0..n-1, merged from arrays of links."""
+    """Components among rows 0..n-1, merged from arrays of links; ``used`` are the links that merged two of them."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.used: list[np.ndarray] = [np.zeros((2, 0), dtype=np.int64)]
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         root = self.root
@@ -90,7 +91,11 @@ class _Forest:
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(root, high, low)
+            won = np.nonzero(root[high] == low)[0]
+            first = won[np.unique(high[won], return_index=True)[1]]
+            self.used.append(np.stack([i[first], j[first]]))
             while True:
                 up = root[root]
                 if np.array_equal(up, root):
@@ -114,8 +119,8 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
         hi = int(np.searchsorted(counts, int(counts[min(at + _BLOCK, len(left)) - 1]) + radius, "right")) if within else len(values)
         i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ values[None, lo:hi]) <= radius)
         trees.add(i + at, j + lo)
-    child = np.nonzero(trees.root != np.arange(len(values)))[0]
-    return values[child], values[trees.root[child]]
+    i, j = np.concatenate(trees.used, axis=1)
+    return values[i], values[j]
 
 
 def _compare(radius: int):

@@ -2,9 +2,10 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 from helpers import edge_docs, no_docs
-from test_text_operators import LOWER, docs_of
+from test_text_operators import LOWER, docs_of, slow_components
 
 from gaugewell.llm import near_dedup, simhash
 
@@ -86,3 +87,51 @@ def test_keep_one_tells_rows_without_ids_apart(spark):
         assert sorted(("" if r.doc_id is None else str(r.doc_id), r.text) for r in kept) == want
     one = docs.filter("doc_id = 1 or text like 'd%'")
     assert [r.doc_id for r in simhash.keep_one(one, simhash.near_groups(one)).collect()] == [1]
+
+
+def test_forest_consists_of_links():
+    rng = np.random.default_rng(9)
+    seeds = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 4), dtype=np.uint64), axis=1)
+    fps = np.unique(np.repeat(seeds, 60) ^ flips)
+    a, b = simhash.forest(fps, None, 4)
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+    root = dict(zip(fps.tolist(), fps.tolist()))
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = root[x], root[y]
+        assert x != y  # no link is one too many
+        root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+    want = slow_components(fps.tolist(), fps.tolist(), 4)
+    assert len(set(zip(root.values(), want))) == len(set(root.values())) == len(set(want))
+
+
+def test_simhash_brings_up_links(spark):
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = []
+    for i in range(60):
+        base = [word() for _ in range(rng.randint(6, 300))]
+        copy = list(base)
+        copy[-1] = word()
+        texts += [" ".join(base), " ".join(copy).upper()]
+    texts.append(texts[0].replace(" ", "\n"))
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    # each text is near to one other at most, the third of the first pair apart
+    want = {(i, i + 1) for i in range(0, 120, 2) if (fps[i] ^ fps[i + 1]).bit_count() <= 4 and len(set(brute_roots(texts[i : i + 2]))) == 1}
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")
+    for tile in (4, simhash.TILE):
+        got = {(r.a, r.b) for r in near_dedup.simhash_links(frame, tile=tile).collect()}
+        assert got == want | {(0, 120)} and 10 < len(want) < 60
+
+
+def test_the_stage_compares_fingerprints_first(spark, monkeypatch):
+    compared, joined = [], []
+    near_links, links = simhash.near_links, near_dedup._links
+    monkeypatch.setattr(simhash, "near_links", lambda *a: compared.append(a[1:]) or near_links(*a))
+    monkeypatch.setattr(near_dedup, "_links", lambda *a: joined.append({r.node for r in a[3].collect()}) or links(*a))
+    base = " ".join(f"w{i}" for i in range(400))
+    docs = docs_of(spark, [base, base.upper(), base + " more", "another text"])
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3]
+    # what the exact join is given is joined already
+    assert compared == [(4, simhash.TILE)] and [len(j) for j in joined] == [3, 3]
